@@ -1 +1,6 @@
-"""See the modules."""
+"""Every query of the engine, by name."""
+
+from . import scalar_queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
