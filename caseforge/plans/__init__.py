@@ -1,6 +1,6 @@
 """Every query of the engine, by name."""
 
-from . import scalar_queries
+from . import relational_queries, scalar_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
