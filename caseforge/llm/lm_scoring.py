@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import saved
+from .store import release, saved
 from .words import (
     BLOCK_BYTES,
     BUCKET_BYTES,
@@ -189,6 +189,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_byt
     starts = d.filter(~F.col("held_out")).count()
     by_block = d.groupBy("block")
     words = saved(answered(by_block.applyInArrow(count_words, REQUEST), _add)).withColumn("starts", F.lit(starts))
+    release(docs.sparkSession)
     pairs = answered(by_block.cogroup(words.groupBy("block")).applyInArrow(count_pairs, REQUEST), _add_pairs)
     model = words.withColumn("pairs", F.lit(False)).unionByName(pairs.withColumn("starts", F.lit(starts)).withColumn("pairs", F.lit(True)))
     return by_block.cogroup(model.groupBy("block")).applyInArrow(traverse, OUT)
