@@ -1,6 +1,6 @@
 """Every query of the engine, by name."""
 
-from . import relational_queries, scalar_queries, vector_queries
+from . import model_queries, relational_queries, scalar_queries, vector_queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
