@@ -148,7 +148,7 @@ def validated(spark, sf_dir):
     return e.select("event_id", S.validated("treatment", S.decision("s", ALLOWED), F.col("event_id") % 9 != 0).alias("v")).select("event_id", "v.ok", "v.reason")
 
 
-@query("sca24_label_encodings", "SELECT doc_id, quality * 0.9 + 0.05 AS smoothed, round(sqrt(1 - (quality * 0.9 + 0.05)), 6) AS amp_no, round(sqrt(quality * 0.9 + 0.05), 6) AS amp_yes FROM labels")
+@query("sca24_label_encodings", "SELECT doc_id, (quality * 0.9 + 0.05)::DOUBLE AS smoothed, round(sqrt(1 - (quality * 0.9 + 0.05)), 6) AS amp_no, round(sqrt(quality * 0.9 + 0.05), 6) AS amp_yes FROM labels")
 def label_encodings(spark, sf_dir):
     y = table(spark, sf_dir, "labels").withColumn("smoothed", S.smoothed_label("quality", 0.1)).withColumn("a", S.amplitudes("smoothed"))
     return y.select("doc_id", "smoothed", F.round(F.get("a", 0), 6).alias("amp_no"), F.round(F.get("a", 1), 6).alias("amp_yes"))
