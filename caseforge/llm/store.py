@@ -17,18 +17,23 @@ def use_shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="caseforge-checkpoint-"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, its lineage cut there."""
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle and checkpoint files of plans that nothing refers to any more.
+
+    It learns of them by the driver's garbage collection, which may be far off on a driver that only plans.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its lineage cut there and what it was made from let go."""
+    use_shared_folder(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have: the given ones, with ``_`` added as often as need be."""
     taken, out = {c.lower() for c in df.columns}, []
