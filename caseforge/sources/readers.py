@@ -15,7 +15,10 @@ def case_files(spark: SparkSession, root: str, file: str, schema: str | T.DataTy
     """``case_id, doc`` for each ``root/<case>/file``; a file that isn't the schema's JSON gives a null doc."""
     raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", file).text(root)
     case = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
-    return raw.select(case.alias("case_id"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("doc"))
+    # A bare JSON string is no struct: it is read as the field of one.
+    bare = F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x")
+    doc = bare if schema == "string" else F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    return raw.select(case.alias("case_id"), doc.alias("doc"))
 
 
 def case_table(spark: SparkSession, root: str, files: dict[str, tuple[str, str]]) -> DataFrame:
