@@ -13,7 +13,7 @@ JOBS = "pk string, inputs array<struct<socket:struct<slug:string,relative_path:s
 
 def case_files(spark: SparkSession, root: str, file: str, schema: str | T.DataType) -> DataFrame:
     """``case_id, doc`` for each ``root/<case>/file``; a file that isn't the schema's JSON gives a null doc."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", file).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file).text(root, wholetext=True)
     case = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
     # A bare JSON string is no struct: it is read as the field of one.
     bare = F.get_json_object(F.concat(F.lit('{"x":'), "value", F.lit("}")), "$.x")
@@ -46,7 +46,7 @@ def write_config(spark: SparkSession, path: str, config: dict) -> None:
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()["value"])
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def save_bundle(path: str, config: dict, **tables: DataFrame) -> None:
