@@ -181,7 +181,7 @@ def test_sources(spark, tmp_path):
     readers.save_bundle(f"{tmp_path}/b", {"k": 1}, rows=d)
     config, tables = readers.load_bundle(spark, f"{tmp_path}/b")
     assert config["k"] == 1 and tables["rows"].count() == 3
-    assert readers.manifest(spark, f"{tmp_path}/a.csv").first().length == 28
+    assert readers.manifest(spark, f"{tmp_path}/a.csv").first().length == len("k,v\n1,2.5\n2,\n3,NA\n4,n/a\n")
     (tmp_path / "p.json").write_text(json.dumps([{"pk": "1", "inputs": [{"socket": {"slug": s, "relative_path": s}, "value": s} for s in ("b", "a")], "outputs": []}]))
     j = readers.jobs(spark, f"{tmp_path}/p.json", {"a|b": "task1"}).withColumn("x", readers.input_value("inputs", ["z", "b"])).first()
     assert (j.task, j.x) == ("task1", "b")
