@@ -76,7 +76,11 @@ def jobs(spark: SparkSession, path: str, routes: dict[str, str]) -> DataFrame:
 
 def input_value(inputs: str, slugs: list[str]) -> Column:
     """The value of the first of several spellings of a slug that a job has."""
-    return F.coalesce(*(F.get(F.transform(F.filter(inputs, lambda i, s=s: i["socket"]["slug"] == s), lambda i: i["value"]), 0) for s in slugs))
+
+    def value_of(slug: str) -> Column:
+        return F.get(F.transform(F.filter(inputs, lambda i: i["socket"]["slug"] == slug), lambda i: i["value"]), 0)
+
+    return F.coalesce(*(value_of(s) for s in slugs))
 
 
 def ground_truth(spark: SparkSession, root: str, decision_file: str, reasoning_file: str, reasoning_schema: str) -> DataFrame:
