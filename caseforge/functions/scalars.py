@@ -38,7 +38,10 @@ def safe_float_or_digits(x: Column | str) -> Column:
 
 
 def safe_int(x: Column | str) -> Column:
-    return safe_float(x).cast("bigint").cast("double")
+    """Truncated toward zero and kept as a float, so numbers beyond 64 bits stay and the sign of zero does too."""
+    v = safe_float(x)
+    whole = F.floor(F.abs(v)).cast("double")
+    return F.when((v != 0) & (F.abs(v) < 2**53), F.when(v < 0, -whole).otherwise(whole)).otherwise(v)
 
 
 def extract_number(x: Column | str) -> Column:
