@@ -25,10 +25,14 @@ from .store import fresh, row_number, saved
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 26
-ROUNDS = 50
-#: The prior: share of good documents, right votes on good and on bad ones, and its weight against what is counted (that of a few documents at least).
-#: That good documents get no bad votes weighs ten times as much: else EM explains a common fault as the habit of good documents.
-PRIOR_GOOD, RIGHT_GOOD, RIGHT_BAD, PRIOR_SHARE, PRIOR_LEAST, SURE = 0.9, 0.998, 0.2, 1.0, 20.0, 10
+ROUNDS = 100
+#: Rules whose bad vote alone marks a fault: each has a kind of bad document. The others (long with few distinct words, lists with repeated
+#: lines, upper case) tell of style, so good documents get such votes too and no document is bad for one of them alone.
+HARD = ("symbols", "repeats", "word_length")
+#: The prior, in documents: a fixed number, which vanishes against a large corpus. Share of good documents; how often they get a bad vote
+#: of a hard and of another rule; how often a bad one gets its own, another hard and another rule's.
+PRIOR_DOCS, PRIOR_GOOD = 300.0, 0.85
+GOOD_HARD, GOOD_SOFT, BAD_OWN, BAD_HARD, BAD_SOFT = 0.001, 0.02, 0.9, 0.03, 0.2
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_shouted", "n_ended_lines")
 
 
@@ -91,33 +95,51 @@ def votes() -> dict[str, Column]:
 
 
 class Weights:
-    """Accuracies of the rules by expectation-maximisation over counted patterns of votes.
+    """Good documents and kinds of bad ones by expectation-maximisation over counted patterns of votes.
 
-    A rule that votes says good of a good document with probability ``right[rule][0]`` and bad
-    of a bad one with ``right[rule][1]``; an abstention says nothing. The start and the prior
-    hold that good documents seldom get a bad vote, while a bad one may be bad in one way only.
+    ``bad_vote[class][rule]`` is how often the rule, if it votes, says bad of a document of the
+    class; class 0 is good, the others are the kinds of bad documents. An abstention says nothing.
+    All shares and votes are estimated from the counts and the prior's fixed number of documents.
+    With one class of bad documents, EM takes a common lone fault for a habit of good ones.
     """
 
     def __init__(self, counts: dict[tuple[int, ...], int], names: list[str]):
         self.names, total = names, sum(counts.values())
-        weight = max(PRIOR_LEAST, PRIOR_SHARE * total)
-        good = {p: 0.02 if -1 in p else 0.98 for p in counts}
+        plain = [n.removeprefix("vote_") for n in names]
+        hard = [n in HARD or n == "endings" for n in plain]
+        start = [[GOOD_HARD if h else GOOD_SOFT for h in hard]]
+        start += [[BAD_OWN if n == own else BAD_HARD if h else BAD_SOFT for n, h in zip(plain, hard)] for own in HARD]
+        share0 = [PRIOR_GOOD] + [(1 - PRIOR_GOOD) / len(HARD)] * len(HARD)
+        self.share, self.bad_vote = share0, start
         for _ in range(ROUNDS):
-            share = (sum(n * good[p] for p, n in counts.items()) + PRIOR_GOOD * weight) / (total + weight)
-            self.prior, self.right = math.log(share / (1 - share)), []
-            for j in range(len(names)):
-                said = [(p[j], n * good[p], n * (1 - good[p])) for p, n in counts.items() if p[j]]
-                yes = (sum(g for v, g, _ in said if v == 1) + RIGHT_GOOD * SURE * weight) / (sum(g for _, g, _ in said) + SURE * weight)
-                no = (sum(b for v, _, b in said if v == -1) + RIGHT_BAD * weight * (1 - share)) / (sum(b for _, _, b in said) + weight * (1 - share))
-                self.right.append((yes, no))
-            self.log_odds = [{1: math.log(yes / (1 - no)), -1: math.log((1 - yes) / no), 0: 0.0} for yes, no in self.right]
-            good = {p: 1 / (1 + math.exp(-(self.prior + sum(self.log_odds[j][v] for j, v in enumerate(p))))) for p in counts}
+            held = {p: [n * x for x in self.classes(p)] for p, n in counts.items()}
+            share, votes_ = [], []
+            for k, (s0, row0) in enumerate(zip(share0, start)):
+                row = []
+                for j, b0 in enumerate(row0):
+                    bad = PRIOR_DOCS * s0 * b0 + sum(h[k] for p, h in held.items() if p[j] == -1)
+                    all_ = PRIOR_DOCS * s0 + sum(h[k] for p, h in held.items() if p[j])
+                    row.append(min(max(bad / all_, 1e-12), 1 - 1e-12))
+                votes_.append(row)
+                share.append((PRIOR_DOCS * s0 + sum(h[k] for h in held.values())) / (PRIOR_DOCS + total))
+            self.share, self.bad_vote = share, votes_
+
+    def classes(self, pattern: tuple[int, ...]) -> list[float]:
+        """The posterior of each class."""
+        logs = [math.log(s) + sum(math.log(b if v == -1 else 1 - b) for b, v in zip(row, pattern) if v) for s, row in zip(self.share, self.bad_vote)]
+        odds = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(odds) for x in odds]
 
     def posterior(self) -> Column:
-        odds = F.lit(self.prior)
-        for name, table in zip(self.names, self.log_odds):
-            odds = odds + F.when(F.col(name) == -1, F.lit(table[-1])).when(F.col(name) == 1, F.lit(table[1])).otherwise(F.lit(table[0]))
-        return 1 / (1 + F.exp(-odds))
+        good, (first, *others) = self.bad_vote[0], zip(self.share[1:], self.bad_vote[1:])
+
+        def odds(share: float, row: list[float]) -> Column:
+            out = F.lit(math.log(share / self.share[0]))
+            for name, b, g in zip(self.names, row, good):
+                out = out + F.when(F.col(name) == -1, F.lit(math.log(b / g))).when(F.col(name) == 1, F.lit(math.log((1 - b) / (1 - g)))).otherwise(F.lit(0.0))
+            return F.exp(out)
+
+        return 1 / (1 + sum((odds(*kind) for kind in others), odds(*first)))
 
 
 def judged(docs: DataFrame, text: str, keep: list[str], least: float = 0.5) -> DataFrame:

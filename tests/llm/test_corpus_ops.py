@@ -251,6 +251,30 @@ def test_weak_supervision_finds_faults_on_held_out_labels(spark):
     assert r.caught > 0.95 and r.spared > 0.98
 
 
+def test_good_documents_keep_one_odd_feature_at_every_size(spark):
+    names = list(quality_rules.votes())
+    clean, junk = (1, 1, 1, 1, 1, 1, 1), (-1, 1, 1, 1, 1, 1, 1)
+    odd = [tuple(-1 if n == f"vote_{rule}" else 1 for n in names) for rule in ("vocabulary", "dup_lines", "shouting")]
+    faults = [(1, -1, -1, 1, 1, -1, 1), (1, -1, 1, 1, -1, 1, 1), (1, -1, 1, 1, 1, -1, 1)]
+    for scale in (1, 100, 10000):
+        w = quality_rules.Weights({clean: 800 * scale, junk: 70 * scale, **{p: 10 * scale for p in odd}, **{p: 30 * scale for p in faults}}, names)
+        assert all(w.classes(p)[0] > 0.5 for p in [clean, *odd]) and all(w.classes(p)[0] < 0.5 for p in [junk, *faults])
+        d = spark.createDataFrame([clean, *odd, junk], ", ".join(f"{n} int" for n in names))
+        got = [r.p for r in d.select(w.posterior().alias("p")).collect()]
+        assert np.allclose(sorted(got), sorted(w.classes(p)[0] for p in [clean, *odd, junk]))
+
+
+def test_planted_good_documents_with_one_bad_vote_are_kept(spark):
+    def lines(i):
+        return [prose(f"{i}_{k}", 12) + "." for k in range(12)]
+
+    odd = {900: " ".join(prose("few", 3000, 120).split()), 901: "\n".join(["Item."] * 20 + lines("list")), 902: prose("loud", 200).upper().replace("W", "WX")}
+    rows = [(i, "\n".join(lines(i))) for i in range(400)] + [(500 + i, " ".join(w + " ###" for w in prose(i, 80).split())) for i in range(30)] + list(odd.items())
+    r = {x.doc_id: x for x in quality_rules.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [r[900].vote_vocabulary, r[901].vote_dup_lines, r[902].vote_shouting] == [-1, -1, -1]
+    assert all(r[i].kept for i in [*range(400), *odd]) and not any(r[500 + i].kept for i in range(30))
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % 3] for k, s in enumerate(names)}
