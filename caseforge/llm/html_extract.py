@@ -4,9 +4,11 @@ The standard library's parser streams a page as events. A block element starts a
 line has its text, its number of tags and the containers it stands in. Lines in elements that
 never hold the article (menus, forms, scripts ... by tag, adverts, notices, comments ... by
 class, id or role) are out. On the others the text-to-tag ratio is smoothed by a Gaussian and
-split in two clusters; the container (article, main, else the block) whose lines of the upper
-cluster hold most text is the content region, and each of its lines stays, short ones too. Pages are
-independent rows; nothing is shuffled.
+split in two clusters; containers are scored by the upper cluster's text in their whole subtree.
+The content region is what main holds, else what the outermost articles hold (if that is a
+quarter of the page's score or more), else the smallest block that holds nearly all of it; each line of its
+subtree stays, short ones, lists, quotes, code, tables and sections too. Pages are independent
+rows; nothing is shuffled.
 
 Cases. A null or empty page, or one without text outside the excluded elements, gives an empty
 text. Rows that repeat an id are rows of their own. Unclosed elements end with their container.
@@ -32,6 +34,8 @@ OUT_NAMES = re.compile(
     r"breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|widget|skip|contentinfo|complementary|search|form)(?:$|[\s_-])",
     re.I,
 )
+#: Share of the score that the outermost main or articles need to be the region; share that a block needs to stand for its parent.
+REGION_SHARE, NEARLY = 0.25, 0.95
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SMOOTH /= SMOOTH.sum()
 
@@ -42,9 +46,12 @@ class _Lines(HTMLParser):
         #: Open elements: tag, 1 if it is out, number of the container.
         self.open: list[tuple[str, int, int]] = []
         self.out = 0
-        self.containers = 1
-        self.regions: list[int] = []
-        self.lines: list[tuple[str, int, int, int]] = []
+        #: Of each container the one around it; those of main, and of article or main, that aren't out.
+        self.around: list[int] = [0]
+        self.mains: set[int] = set()
+        self.regions: set[int] = set()
+        #: Text, tags, container, whether it is a heading.
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -52,15 +59,12 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             container = self.open[-1][2] if self.open else 0
-            self.lines.append((text, self.tags, container, self.regions[-1] if self.regions else 0))
+            self.lines.append((text, self.tags, container, any(re.fullmatch(r"h\d", tag) for tag, _, _ in self.open)))
             self.tags = 0
         self.text = []
 
     def _pop(self) -> None:
-        tag, out, container = self.open.pop()
-        self.out -= out
-        if self.regions and self.regions[-1] == container and tag in REGION_TAGS:
-            self.regions.pop()
+        self.out -= self.open.pop()[1]
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -81,11 +85,14 @@ class _Lines(HTMLParser):
         out = int(tag in OUT_TAGS or bool(named and tag not in ("html", "body", *REGION_TAGS) and OUT_NAMES.search(named)))
         container = self.open[-1][2] if self.open else 0
         if block and tag != "p" and not re.fullmatch(r"h\d|li|t[drh]|d[dt]", tag):
-            container, self.containers = self.containers, self.containers + 1
+            self.around.append(container)
+            container = len(self.around) - 1
         self.open.append((tag, out, container))
         self.out += out
         if tag in REGION_TAGS and not self.out:
-            self.regions.append(container)
+            self.regions.add(container)
+            if tag == "main":
+                self.mains.add(container)
         self.tags += 1
 
     def handle_endtag(self, tag):
@@ -110,7 +117,7 @@ class _Lines(HTMLParser):
         self._end_line()
 
 
-def smoothed_ratio(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+def smoothed_ratio(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
     ratio = np.log1p(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
     return np.convolve(np.pad(ratio, 2, mode="edge"), SMOOTH, "valid")
 
@@ -136,12 +143,44 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     content = upper_cluster(smoothed_ratio(lines))
-    held: dict[tuple[bool, int], int] = {}
-    for (text, _, container, region), c in zip(lines, content):
-        key = (True, region) if region else (False, container)
-        held[key] = held.get(key, 0) + (len(text) if c else 0)
-    best = max(held, key=lambda k: (k[0] and held[k] > 0, held[k], -k[1]))
-    return "\n\n".join(text for text, _, container, region in lines if (region == best[1] if best[0] else not region and container == best[1]))
+    own, below = [0] * len(page.around), [0] * len(page.around)
+    #: Containers whose own lines hold a heading or upper-cluster text.
+    leads, upper = set(), 0
+    for (text, _, container, heading), c in zip(lines, content):
+        own[container] += len(text) * bool(c)
+        upper += len(text) * bool(c)
+        if heading or c:
+            leads.add(container)
+    for k in range(len(own) - 1, -1, -1):
+        below[k] += own[k]
+        if k:
+            below[page.around[k]] += below[k]
+    #: Outermost region of each container; containers are numbered after the ones around them.
+    outermost = [0] * len(own)
+    for k in range(1, len(own)):
+        outermost[k] = outermost[page.around[k]] or (k if k in page.regions else 0)
+    tops = {k for k in page.regions if outermost[k] == k and below[k]}
+    tops = {outermost[k] for k in page.mains if below[k]} or tops
+    if not tops or sum(below[k] for k in tops) < REGION_SHARE * upper:
+        tops = {_smallest(page.around, below, leads)}
+    inside = [k in tops for k in range(len(own))]
+    for k in range(1, len(own)):
+        inside[k] = inside[k] or inside[page.around[k]]
+    return "\n\n".join(text for text, _, container, _ in lines if inside[container])
+
+
+def _smallest(around: list[int], below: list[int], leads: set[int]) -> int:
+    """The smallest container that holds nearly all of the score and has no heading or upper-cluster line beside its parts."""
+    inner: dict[int, list[int]] = {}
+    for k in range(1, len(around)):
+        inner.setdefault(around[k], []).append(k)
+    at = 0
+    while at not in leads and at in inner:
+        best = max(inner[at], key=lambda k: below[k])
+        if below[best] < NEARLY * below[0]:
+            break
+        at = best
+    return at
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -17,6 +17,20 @@ def test_main_text():
     assert html_extract.main_text("<article>" + "<p>word " * 3000).count("word") == 3000
 
 
+def test_nothing_of_the_content_is_dropped():
+    long = "{} has a good number of words in it, so that it reads as content of the page."
+    p = lambda k: f"<p>{long.format(k)}</p>"
+    body = p("Lead") + "<ul><li>First item</li><li>Second item</li></ul><blockquote>" + p("Quote") + "</blockquote><pre>x = 1</pre><table><tr><td>cell a</td><td>cell b</td></tr></table><section><h2>Part one</h2>" + p("One") + "</section><section>" + p("Two") + "<div>" + p("Inner") + "</div></section>"
+    want = [long.format("Lead"), "First item", "Second item", long.format("Quote"), "x = 1", "cell a", "cell b", "Part one", long.format("One"), long.format("Two"), long.format("Inner")]
+    got = lambda html: html_extract.main_text(html).split("\n\n")
+    menu = "<div id=nav><a href=/>menu</a></div><div><a href=/x>x</a> <a href=/y>y</a> <a href=/z>z</a></div>"
+    assert got(f"<body>{menu}<div id=content>{body}</div><footer>me</footer></body>") == want
+    assert got(f"<body>{menu}<div><div id=content><h1>Head</h1><div>{body}</div></div></div></body>") == ["Head", *want]
+    assert got(f"<body>{menu}<main><h1>Head</h1>{p('Top')}<article>{body}</article><p>End.</p></main></body>") == ["Head", long.format("Top"), *want, "End."]
+    assert got(f"<body>{menu}<article>{body}</article><article>{p('More')}</article></body>") == [*want, long.format("More")]
+    assert got(f"<body>{menu}<article><a href=/t>Teaser</a></article><div>{body}</div></body>")[-len(want):] == want
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     r = html_extract.extracted(pages.withColumn("text", F.lit(1))).collect()
