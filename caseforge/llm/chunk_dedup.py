@@ -5,8 +5,10 @@ are zero (one place in four), not before 16 bytes, and at 1,024 bytes at the lat
 character's end). The hash sees the last 16 bytes only, so chunks fall back in step soon after
 an insertion. Chunks are deduplicated by digest over the whole corpus (``words``: blocks of
 documents ask for each digest once and get the number of documents with it and the first of
-them). Neighbouring repeated chunks make a passage; one of ``min_words`` words or more is
-reported. The default, 20, finds a common passage of 50 words whose first and last chunks also
+them). Neighbouring repeated chunks make a run, which is split where its chunks' first document
+changes from the row's own to another: only chunks that another document holds first are a later
+copy, so each text stays in its first document. A passage of ``min_words`` words or more is
+reported. A shorter stretch of copies isn't a passage of its own and stays. The default, 20, finds a common passage of 50 words whose first and last chunks also
 hold words around it.
 
 Cases. Null and empty texts have no chunk. A chunk repeated within one document only isn't
@@ -85,6 +87,44 @@ def _shared(place, sent, blocks):
     return np.stack([n, first], 1), np.zeros(1, np.int64)
 
 
+def _merged(parts: list[tuple[int, int, object]]) -> list[tuple[int, int, object]]:
+    """Neighbours of one label as one."""
+    out = []
+    for a, b, label in parts:
+        if out and out[-1][2] == label:
+            a = out.pop()[0]
+        out.append((a, b, label))
+    return out
+
+
+def _split(text: bytes, at: list[int], first: np.ndarray, own: int, a: int, b: int, min_words: int) -> list[tuple[int, int, int, bool]]:
+    """The passages of a run of repeated chunks ``a`` to ``b``: chunks, first document, whether it is a later copy."""
+
+    def words(x: int, y: int) -> int:
+        return len(text[at[x] : at[y]].split())
+
+    stretches = _merged([(k, k + 1, bool(first[k] != own)) for k in range(a, b)])
+    stretches = _merged([(x, y, later and words(x, y) >= min_words) for x, y, later in stretches])
+    out = []
+    for x, y, later in stretches:
+        if not later:
+            if words(x, y) >= min_words:
+                out.append((x, y, own, False))
+            continue
+        # By first document; a part that is too short goes with the one before it, or after it at the start.
+        parts: list[tuple[int, int, int]] = []
+        for p, q, f in _merged([(k, k + 1, int(first[k])) for k in range(x, y)]):
+            if parts and (words(p, q) < min_words or words(*parts[-1][:2]) < min_words):
+                p0, q0, f0 = parts.pop()
+                p, f = p0, f if q - p > q0 - p0 else f0
+            parts.append((p, q, f))
+        if len(parts) > 1 and words(*parts[-1][:2]) < min_words:
+            (p, _, f), (_, q, _) = parts[-2:]
+            parts[-2:] = [(p, q, f)]
+        out.extend((p, q, f, True) for p, q, f in parts)
+    return out
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per repeated passage: place (code points), size, the first document with it and whether this one is a later copy."""
     size = text_bytes(docs, text)
@@ -105,13 +145,12 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
             repeated = np.concatenate([[False], n > 1, [False]]).astype(np.int8)
             edges = np.flatnonzero(np.diff(repeated))
             text = None
-            for a, b in edges.reshape(-1, 2).tolist():
+            for run in edges.reshape(-1, 2).tolist():
                 text = text if text is not None else t.as_py()
-                start, end = ends[a - 1] if a else 0, ends[b - 1]
-                passage = text[start:end]
-                words = len(passage.split())
-                if words >= min_words:
-                    out.append((None if i == NO_ID else i, len(text[:start].decode()), len(passage.decode()), words, b - a, None if (f := int(first[a:b].min())) == NO_ID else f, bool((first[a:b] != i).any()), xxhash.xxh3_128_hexdigest(passage.strip())))
+                for a, b, f, later in _split(text, [0, *ends], first, i, *run, min_words):
+                    start, end = ends[a - 1] if a else 0, ends[b - 1]
+                    passage = text[start:end]
+                    out.append((None if i == NO_ID else i, len(text[:start].decode()), len(passage.decode()), len(passage.split()), b - a, None if f == NO_ID else f, later, xxhash.xxh3_128_hexdigest(passage.strip())))
         return pa.table([list(x) for x in zip(*out)] if out else [[]] * len(_SPANS), schema=_SPANS)
 
     told = answered(by_block.applyInArrow(ask, REQUEST), _shared)

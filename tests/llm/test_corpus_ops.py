@@ -193,6 +193,28 @@ def test_passages(docs, rows, empty):
     assert chunk_dedup.passages(empty).count() == 0 and chunk_dedup.cut(empty).columns == empty.columns
 
 
+def test_adjacent_passages_stay_once(spark):
+    p, q, r = (prose(f"adjacent {k}", n) for k, n in (("p", 60), ("q", 60), ("r", 60)))
+    around = lambda k, *parts: " ".join(x for j, part in enumerate(parts) for x in (prose(f"around {k} {j}", 30), part)) + " " + prose(f"end {k}", 30)
+    phrase = " ".join(q.split()[20:30])
+    rows = [(0, around(0, q)), (1, around(1, q + " " + p)), (2, around(2, p)), (3, around(3, p + " " + q + " " + r)), (4, around(4, r)), (5, around(5, phrase + " " + r + " " + p))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in chunk_dedup.cut(d).collect()}
+    for k, passage in enumerate((q, p, r)):
+        middle = " ".join(passage.split()[15:45])
+        assert [i for i, t in sorted(kept.items()) if middle in t] == [(0, 1, 3)[k]]
+    of = defaultdict(set)
+    for x in chunk_dedup.passages(d).collect():
+        of[x.doc_id].add((x.first_doc_id, x.removed))
+    assert of == {0: {(0, False)}, 1: {(0, True), (1, False)}, 2: {(1, True)}, 3: {(0, True), (1, True), (3, False)}, 4: {(3, True)}, 5: {(3, True), (1, True)}}
+    # Whatever is beside what, each chunk of the corpus stays somewhere.
+    rng = np.random.default_rng(5)
+    parts = [prose(f"part {k}", int(rng.integers(3, 60))) for k in range(12)]
+    rows = [(i, " ".join(parts[k] for k in rng.permutation(12)[:4])) for i in range(40)]
+    left = Counter(w for x in chunk_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect() for w in x.text.split())
+    assert {w for _, t in rows for w in t.split()} == set(left)
+
+
 def test_chunks_survive_insertions():
     text = prose("chunks", 2000).encode()
     parts = lambda t: {t[a:b] for a, b in zip([0, *chunk_dedup.cuts(t)], chunk_dedup.cuts(t))}
