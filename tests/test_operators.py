@@ -19,6 +19,7 @@ from caseforge.operators import resampling as R
 from caseforge.operators import sets
 from caseforge.operators import vectors as V
 from caseforge.operators.refine import Refiner, auto_config
+from caseforge.plans import QUERIES
 from caseforge.sources import readers
 from caseforge.streaming import scores
 
@@ -89,6 +90,19 @@ def test_threshold_search_equals_enumeration(spark):
     assert (r.moe, r.tau1, r.tau2) == pytest.approx(best, abs=1e-9)
 
 
+def test_threshold_triples_search_all_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    ids = np.array(sorted(r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id").collect()))
+    x, c = ids * 37 % 101 / 100.0, ids * 7 % 4
+    u = np.unique(x)
+    taus = [0.0, *((u[1:] + u[:-1]) / 2), 1.0]
+    # The upper end has all rows below it.
+    over = np.array([*(x >= t for t in taus[:-1]), x < 0]).astype(int)
+    best = min((round(float(np.mean([np.abs(e[c == k]).mean() for k in np.unique(c)])), 12), taus[i], taus[j], taus[k_]) for i, j, k_ in combinations(range(len(taus)), 3) for e in [over[i] + over[j] + over[k_] - c])
+    r = QUERIES["mod15_threshold_triples"](spark, sf).first()
+    assert len(set(c)) == 4 and r.moe > 0 and (r.moe, r.tau1, r.tau2, r.tau3) == pytest.approx(best, abs=1e-9)
+
+
 def test_fuzzy_votes(spark):
     e = spark.createDataFrame([(1, 1, 1.0, 0.0), (1, 0, 1.0, 2.0), (2, 1, 0.5, 1.0), (2, 0, 0.25, 1.0)], "q long, y int, c double, dist double")
     assert {r.q: r.p for r in MO.knn_vote(e, ["q"], weighted=True).collect()} == {1: 1.0, 2: 0.5}
