@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh
+from .store import fresh, row_number
 from .words import SHINGLE_WORDS, WordHasher, shares, shingle_hashes
 
 THRESHOLD = 0.8
@@ -101,8 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a test item; all columns as they were. Of rows with one id, all go if one does."""
-    (key,) = fresh(docs, "_held_id")
-    held = contaminated(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(key)).distinct()
-    same = docs[doc_id].cast("long").eqNullSafe(held[key])
-    return docs.join(held, same, "left_anti")
+    """``docs`` without the documents that hold a test item; all columns as they were. Rows that share an id, or have none, are judged each by its own text: ``doc_id`` decides nothing."""
+    (row,) = fresh(docs, "_held_row")
+    numbered = docs.withColumn(row, row_number(docs))
+    held = contaminated(numbered, benchmark, row, text, **options).select(F.col("doc_id").alias(row)).distinct()
+    return numbered.join(held, row, "left_anti").select(*docs.columns)

@@ -241,6 +241,16 @@ def test_contaminated(docs, rows, items, empty):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_judged_by_their_own_text(spark, items):
+    held, base = prose("x", 50) + " " + prose("item", 30) + " " + prose("y", 50), prose("null base", 150)
+    rows = [(None, held), (7, held), (7, prose("seven", 80)), *((None, prose(f"null {i}", 80)) for i in range(20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in decontaminate.decontaminated(d, items).collect()) == sorted(t for _, t in rows if t != held)
+    near = [(None, base), (None, base), *((None, base.replace(base.split()[k * 20 + 10], f"new{k}")) for k in range(4)), (None, prose("alone", 90)), (3, prose("three", 90)), (3, prose("three", 90) + " more")]
+    out = near_dedup.deduplicated(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.split()[1] == base.split()[1]) for r in out) == [(0, False), (0, True), (3, False)]
+
+
 def brute_quality(t):
     w = words_of(t)
     win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
