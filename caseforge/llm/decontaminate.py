@@ -10,10 +10,12 @@ document has, over all of the item's, ``threshold`` or more.
 
 Long documents aren't cut: their shingles are looked up as they stand, so an item of forty
 words is found in a text of a million. The benchmark is taken in passes of bounded bytes; one
-pass's sketches and shingles are all that is broadcast. No row of the documents is shuffled.
+pass's sketches and shingles are all that is broadcast, and they go before the next pass. No row
+of the documents is shuffled.
 
 Cases. An item or document under five words has no shingle: it matches nothing. Null texts are
 empty ones. Rows that repeat an id are rows of their own, in either table.
+An id that is no number is returned as null.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, row_number
-from .words import SHINGLE_WORDS, WordHasher, shares, shingle_hashes
+from .store import fresh, row_number, saved
+from .words import SHINGLE_WORDS, by_text, shares, shingle_hashes
 
 THRESHOLD = 0.8
 SKETCH, SKETCH_SHARE = 32, 0.4
@@ -41,8 +43,7 @@ class Sketches:
     """One pass of the benchmark, by partition: sorted sketch keys and the items that have them."""
 
     def __init__(self, ids: list, texts: list[bytes | None]):
-        hasher = WordHasher()
-        found = [(i, s) for i, t in zip(ids, texts) if len(s := np.unique(_shingles(hasher(t))))]
+        found = [(i, s) for i, w in zip(ids, by_text(pa.array(texts, pa.binary()))) if len(s := np.unique(_shingles(w)))]
         self.ids, self.shingles = [i for i, _ in found], [s for _, s in found]
         self.sketch_sizes = np.array([min(SKETCH, len(s)) for s in self.shingles])
         partition = np.array([len(s).bit_length() for s in self.shingles])
@@ -72,9 +73,9 @@ class Sketches:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Pairs of a document and a test item that it holds to ``threshold`` or more."""
     spark = docs.sparkSession
-    b = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("binary").alias("text"))
+    b = benchmark.select(F.col(item_id).try_cast("long").alias("item"), F.col(item_text).cast("binary").alias("text"))
     passes = shares(b.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0, pass_bytes)
-    d = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    d = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64()), ("shared", pa.int64()), ("item_shingles", pa.int64()), ("doc_words", pa.int64())])
     found = None
     for k in range(passes):
@@ -82,11 +83,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         sketches = spark.sparkContext.broadcast(Sketches([r["item"] for r in items], [bytes(r["text"] or b"") for r in items]))
 
         def search(batches, sketches=sketches):
-            s, hasher = sketches.value, WordHasher()
+            s = sketches.value
             for batch in batches:
                 out = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    words = hasher(t.as_py())
+                for i, words in zip(batch.column(0).to_pylist(), by_text(batch.column(1))):
                     own = _shingles(words)
                     for item in s.candidates(own, threshold):
                         whole = s.shingles[item]
@@ -95,7 +95,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                             out.append((i, s.ids[item], shared / len(whole), shared, len(whole), len(words)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) if out else [[]] * len(schema), schema)], schema=schema)
 
-        part = d.mapInArrow(search, FOUND)
+        # The pairs are saved, so that the next pass needn't hold this one's sketches.
+        part = saved(d.mapInArrow(search, FOUND))
+        sketches.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -11,26 +11,32 @@ from pyspark.sql.types import AtomicType
 
 
 def use_shared_folder(spark: SparkSession) -> None:
-    """Keep the checkpoint folder the cluster names; set one only where none is named (tests)."""
+    """Keep the checkpoint folder the cluster names; set one only where none is named and all runs on this machine (tests)."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="caseforge-checkpoint-"))
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle and checkpoint files of plans that nothing refers to any more.
 
-    It learns of them by the driver's garbage collection, which may be far off on a driver that only plans.
+    It learns of them by the driver's garbage collection, which may be far off on a driver that only plans. Checkpoint
+    files go only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder, its lineage cut there and what it was made from let go."""
-    use_shared_folder(df.sparkSession)
+def saved(df: DataFrame, let_go: bool = True) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder, its lineage cut there and, at once if ``let_go``, what it was made from let go."""
+    spark = df.sparkSession
+    use_shared_folder(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df  # else its shuffle files are still referred to
+    if let_go:
+        release(spark)
     return out
 
 

@@ -1,15 +1,18 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from caseforge.llm import chunk_dedup, decontaminate, line_dedup, lm_scoring, mixing, near_dedup, quality_rules
-from caseforge.llm.words import pack, pack_sorted, shingle_hashes, unpack, unpack_sorted
+from caseforge.llm import chunk_dedup, decontaminate, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, words
+from caseforge.llm.words import block_of, collapsed, pack, pack_sorted, requests, shingle_hashes, unpack, unpack_sorted
 
 from .conftest import prose
 
@@ -35,33 +38,60 @@ def test_packing_round_trip():
     assert len(shingle_hashes(w)) == 3 and len(shingle_hashes(w[:2])) == 1 and len(shingle_hashes(w[:0])) == 0
 
 
+class BruteAutomaton:
+    """The same model from dictionaries over words: states are tuples of words, one text is read word by word."""
+
+    def __init__(self, training, least_pair=2):
+        cls = lambda x: math.frexp(x)[1]
+        self.grams, self.context, self.back = [None, Counter(), Counter(), Counter()], Counter(), {}
+        for t in training:
+            t = ["\n\n", *t]
+            self.context["\n\n",] += 1
+            for i in range(1, len(t)):
+                for k in (1, 2, 3):
+                    if i - k + 1 >= 0:
+                        self.grams[k][tuple(t[i - k + 1 : i + 1])] += 1
+        c = self.grams[1]
+        self.context.update({g: n for g, n in c.items() if g != ("\n",)})
+        self.context.update({g: n for g, n in self.grams[2].items() if g[1] != "\n" and n >= least_pair})
+        self.n, self.v = sum(c.values()), len(c)
+        n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+        self.d = min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.5
+        for k in (2, 3):
+            once, all_ = Counter(), Counter()
+            for g, n in self.grams[k].items():
+                if g[:-1] in self.context:
+                    once[cls(self.context[g[:-1]])] += n == 1
+                    all_[cls(self.context[g[:-1]])] += n
+            for g in [g for g in self.context if len(g) == k - 1]:
+                x = cls(self.context[g])
+                self.back[g] = min(0.95, max(0.001, once[x] / max(1, all_[x])))
+
+    def p(self, state, w):
+        if not state:
+            return (self.grams[1][w,] - self.d) / self.n if self.grams[1][w,] else self.d * self.v / self.n
+        b = self.back[state]
+        return (1 - b) * self.grams[len(state) + 1][*state, w] / self.context[state] + b * self.p(state[1:], w)
+
+    def score(self, words):
+        read, total = ["\n\n"], 0.0
+        for w in words:
+            # The state is the longest one that ends here.
+            state = next((s for s in (tuple(read[-2:]), tuple(read[-1:])) if s in self.context), ())
+            while state and not self.grams[len(state) + 1][*state, w]:
+                total, state = total + math.log10(self.back[state]), state[1:]  # a failure arc
+            total += math.log10(self.p(state, w))
+            read.append(w)
+        return total
+
+
 def brute_lm(rows):
-    """The same model from dictionaries over words, without hashes, blocks or an automaton."""
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _, _ in rows]
     toks = [[w.translate(LOWER) for w in words_of(t)] + ["\n"] for _, t, _ in rows]
-    c, bi, ctx = Counter(), Counter(), Counter()
-    for h, t in zip(held, toks):
-        if not h:
-            c.update(t)
-            bi.update(zip(["\n\n", *t[:-1]], t))
-            ctx.update(["\n\n", *t[:-1]])
-    n, v = sum(c.values()), len(c)
-    n1, n2 = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
-    d = min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.5
-    cls = lambda x: math.frexp(x)[1]
-    once, all_ = Counter(), Counter()
-    for (a, _), k in bi.items():
-        once[cls(ctx[a])] += k == 1
-        all_[cls(ctx[a])] += k
-    back = lambda a: min(0.95, max(0.001, once[cls(ctx[a])] / max(1, all_[cls(ctx[a])])))
-    p1 = lambda w: (c[w] - d) / n if c[w] else d * v / n
-    out = []
-    for (i, _, _), h, t in zip(rows, held, toks):
-        score = 0.0
-        for a, w in zip(["\n\n", *t[:-1]], t):
-            score += math.log10((1 - back(a)) * bi[a, w] / ctx[a] + back(a) * p1(w) if ctx[a] else p1(w))
-        out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(score, 6)))
-    return sorted(out, key=str)
+    m = BruteAutomaton([t for h, t in zip(held, toks) if not h])
+    c, n, v = m.grams[1], m.n, m.v
+    base = [sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t) for t in toks]
+    return sorted([(i, h, len(t), sum(c[w,] > 0 for w in t), n, round(b, 6), round(m.score(t), 6)) for (i, _, _), h, t, b in zip(rows, held, toks, base)], key=str)
 
 
 @pytest.mark.parametrize("block_bytes", [6 << 20, 4000])
@@ -73,6 +103,50 @@ def test_lm_scores_equal_brute_force(docs, rows, block_bytes):
     assert np.allclose([x[5:] for x in sorted(got, key=str)], [x[5:] for x in want], atol=2e-6)
 
 
+def test_lm_pairs_of_words_are_worth_their_states(spark):
+    r = np.random.default_rng(3)
+    sentences = [" ".join(f"w{x}" for x in r.integers(0, 40, 12)) for _ in range(60)]
+    text = [(i, " ".join(sentences[k] for k in r.integers(0, 60, 6))) for i in range(300)]
+    df = spark.createDataFrame(text, "doc_id long, text string")
+    of = [{x.doc_id: x.score for x in lm_scoring.score(df, **o).collect() if x.held_out} for o in ({}, {"least_pair": 1 << 40})]
+    assert of[0] and sum(of[0].values()) > 0.5 * sum(of[1].values())  # less than half the bigrams' log loss
+
+
+def test_lm_rows_without_id_are_spread_over_blocks(spark):
+    text = [(None, prose(f"n{i}", 40)) for i in range(200)] + [(None, "all the same")] * 500
+    df = spark.createDataFrame(text, "doc_id long, text string").repartition(3)
+    blocks = 10
+    placed = collapsed(df, "text").withColumn("block", block_of(blocks, "doc_id", "text")).groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()
+    assert len(placed) == blocks and max(r["rows"] for r in placed) < 60 and sum(r["n"] for r in placed) == 700
+    got = lm_scoring.score(df, block_bytes=4000, bucket_bytes=4000).collect()
+    assert len(got) == 700 and len({r.score for r in got if r.n_tokens == 4}) == 1
+
+
+def test_messages_grow_with_the_keys_not_with_blocks_times_buckets():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    for buckets in (1, 7, 1000, 1_000_000):
+        t = requests(3, keys, np.ones(500, np.int64), buckets)
+        assert t.num_rows <= min(buckets, 500)
+        assert (np.concatenate([unpack_sorted(k.as_py()) for k in t["keys"]]) == keys).all()
+        assert t["bucket"].to_pylist() == sorted(set(t["bucket"].to_pylist())) and max(t["bucket"].to_pylist()) < buckets
+    assert requests(3, keys[:0], np.ones(0, np.int64), 9).num_rows == 0
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 17, 1 << 18])
+def test_word_hashes_tell_words_apart(monkeypatch, slice_bytes):
+    monkeypatch.setattr(words, "SLICE_BYTES", slice_bytes)
+    r, hash_of = random.Random(slice_bytes), {}
+    parts = [b"a", b"B", b"b", b" ", b"\n", b"\t", "é".encode(), b"\x0b", b"Z", b"\x08", b"x" * 70]
+    for _ in range(60):
+        texts = [None if r.random() < 0.1 else b"".join(r.choices(parts, k=r.choice([0, 1, 5, 50]))) for _ in range(r.randrange(9))]
+        hashes, sizes = words.word_hashes(pa.array(texts, pa.binary()))
+        want = [(t or b"").lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        for w, h in zip([w for ws in want for w in ws], hashes.tolist()):
+            assert hash_of.setdefault(w, h) == h
+    assert len(set(hash_of.values())) == len(hash_of)
+
+
 def test_lm_is_a_distribution_and_beats_the_base(spark):
     text = [(i, " ".join(["the cat sat on the mat", "a dog ran to the park"][(i + k) % 2] for k in range(5))) for i in range(100)]
     r = lm_scoring.score(spark.createDataFrame(text, "doc_id long, text string")).collect()
@@ -113,7 +187,7 @@ def brute_classes(rows):
         w = [x.translate(LOWER) for x in words_of(t)]
         bags.append((tuple(w), Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()))
     df, n = Counter(k for _, b in bags for k in b), len(rows)
-    weight = lambda k, c: c * (math.log((1 + n) / (1 + df[k])) + 1)
+    weight = lambda k, c: c * (1 + math.log((1 + n) / (1 + df[k])) / math.log(1 + n))
     parent = list(range(len(rows)))
 
     def find(x):
@@ -146,7 +220,8 @@ def test_near_duplicate_classes_equal_brute_force(docs, rows, block_bytes):
     assert len(kept) == len(set(kept)) and kept == sorted({c for _, c in brute_classes(rows) if c is not None})
 
 
-def test_near_duplicates_of_a_large_group(spark):
+@pytest.mark.parametrize("linking", [{}, {"hub_members": 8, "small": 3}])
+def test_near_duplicates_of_a_large_group(spark, linking):
     base = prose("large", 150)
     rows = [(0, base, "s")]
     for i in range(1, 150):
@@ -155,7 +230,52 @@ def test_near_duplicates_of_a_large_group(spark):
             w[(7 + i * 13 + k * 29) % 150] = f"new{i}_{k}"
         rows.append((i, " ".join(w), "s"))
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert collected(near_dedup.classes(d), "doc_id", "class_id") == brute_classes(rows)
+    assert collected(near_dedup.classes(d, **linking), "doc_id", "class_id") == brute_classes(rows)
+
+
+def test_near_duplicates_whose_hub_is_far_from_most(spark):
+    """Pairs in one bucket, none of which the hub is linked with; and two that only a very frequent passage links under plain counts."""
+    base = prose("star", 200).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in range(8):
+            w[(11 * (i // 2) + 25 * k) % 200] = f"s{i // 2}_{k}"
+        w[(3 * i) % 200] = f"own{i}"
+        rows.append((i, " ".join(w), "s"))
+    passage = prose("passage everywhere", 90)
+    rows += [(100 + i, passage + " " + prose(f"tail {i}", 8), "s") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for linking in ({}, {"hub_members": 4, "small": 2}):
+        assert collected(near_dedup.classes(d, **linking), "doc_id", "class_id") == brute_classes(rows)
+
+
+def test_near_duplicate_recall_against_all_pairs(spark):
+    """Of all pairs of documents of sf0.01 that reach 0.8 under either weights, the share that ends in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: words_of((r.text or "").translate(LOWER)) for r in docs.select("doc_id", "text").collect()}
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in texts.items() if w}
+    df = Counter(k for b in bags.values() for k in b)
+    n = len(texts)
+    idf = {k: 1 + math.log((1 + n) / (1 + c)) / math.log(1 + n) for k, c in df.items()}
+    holders, shared = defaultdict(list), Counter()
+    for i, b in bags.items():
+        for k in b:
+            holders[k].append(i)
+    for h in holders.values():
+        shared.update(combinations(sorted(h), 2))
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    reached = {"tf-idf": [], "counts": []}
+    for (a, b), _ in shared.items():
+        x, y = bags[a], bags[b]
+        for name, f in (("tf-idf", idf.get), ("counts", lambda k: 1)):
+            both = sum(f(k) * min(x[k], y[k]) for k in x if k in y)
+            whole = sum(f(k) * c for k, c in x.items()) + sum(f(k) * c for k, c in y.items()) - both
+            if both / whole >= 0.8:
+                reached[name].append(found[a] == found[b])
+    for name, hits in reached.items():
+        print(f"recall under {name}: {sum(hits)} of {len(hits)} pairs")
+        assert len(hits) > 50 and sum(hits) >= 0.99 * len(hits)
 
 
 def test_near_duplicates_empty(empty):
@@ -182,6 +302,11 @@ def test_passages(docs, rows, empty):
     for x in r:
         by[x.doc_id].append(x)
     texts = {i: t for i, t, _ in rows}
+    # Each later copy stands in its first document in one piece.
+    for x in r:
+        if x.removed and x.first_doc_id is not None:
+            piece = texts[x.doc_id][x.start : x.start + x.n_chars].strip()
+            assert any(piece in (t or "") for i, t, _ in rows if i == x.first_doc_id)
     assert by[30] and by[31] and not by[30][0].removed and by[31][0].removed and by[31][0].first_doc_id == 30
     clean = {*range(12), 40, 41, 42, 43, 44, 52}
     assert not clean & set(by)
@@ -215,6 +340,49 @@ def test_adjacent_passages_stay_once(spark):
     assert {w for _, t in rows for w in t.split()} == set(left)
 
 
+def brute_repeats(rows, least):
+    """Words of each row that stand in a run of ``least`` words or more that a row before holds."""
+    windows, out = {}, {}
+    for i, t in rows:
+        w, mine = t.split(), set()
+        for k in range(len(w) - least + 1):
+            if windows.setdefault(tuple(w[k : k + least]), i) != i:
+                mine.update(range(k, k + least))
+        out[i] = mine
+    return out
+
+
+def test_passages_lie_in_what_brute_force_finds_and_cover_most_of_it(spark):
+    rng = np.random.default_rng(8)
+    shared = [prose(f"shared {k}", int(rng.integers(50, 120))) for k in range(15)]
+    phrases = [prose(f"phrase {k}", 6) for k in range(5)]
+    rows = []
+    for i in range(80):
+        parts = [prose(f"own {i} {j}", int(rng.integers(10, 60))) for j in range(4)] + [shared[k] for k in rng.choice(15, 2, replace=False)] + [phrases[k] for k in rng.integers(0, 5, 6)]
+        rows.append((i, " ".join(parts[k] for k in rng.permutation(len(parts)))))
+    want, texts = brute_repeats(rows, 10), dict(rows)
+    found, planted = defaultdict(set), 0
+    for x in chunk_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if x.removed:
+            assert x.n_words >= 20 and texts[x.doc_id][x.start : x.start + x.n_chars].strip() in texts[x.first_doc_id]
+            a = len(texts[x.doc_id][: x.start].split())
+            found[x.doc_id].update(range(a, a + x.n_words))
+    assert all(found[i] <= want[i] for i in found)
+    missed = sum(len(want[i] - found[i]) for i in want)
+    assert missed < 0.25 * sum(map(len, want.values()))  # the chunks at both ends also hold words around
+
+
+def test_passages_of_rows_without_id_and_with_one_id(spark):
+    p = prose("nobody's passage", 60)
+    for i in (None, 7):
+        rows = [(i, prose(f"nb {k}", 40) + " " + p + " " + prose(f"na {k}", 40)) for k in range(4)] + [(i, prose("clean", 120))]
+        d = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(x.removed for x in chunk_dedup.passages(d).collect()) == [False, True, True, True]
+        kept = sorted(x.text for x in chunk_dedup.cut(d).collect())
+        assert sum(" ".join(p.split()[15:45]) in t for t in kept) == 1 and prose("clean", 120) in kept
+        assert all(sum(prose(f"n{s} {k}", 40).split()[10 if s == "b" else 25] in t.split() for t in kept) for k in range(4) for s in "ba")
+
+
 def test_chunks_survive_insertions():
     text = prose("chunks", 2000).encode()
     parts = lambda t: {t[a:b] for a, b in zip([0, *chunk_dedup.cuts(t)], chunk_dedup.cuts(t))}
