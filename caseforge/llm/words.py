@@ -135,6 +135,18 @@ def shingle_hashes(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
     return mix(h + np.uint64(width))
 
 
+def block_shingles(hashes: np.ndarray, sizes: np.ndarray, width: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_hashes`` of many texts at once: the hashes and the text of each."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.flatnonzero(text[: max(0, len(text) - width + 1)] == text[width - 1 :])
+    parts, of = [shingle_hashes(hashes, width)[whole]] if len(whole) else [], [text[whole]]
+    ends = np.cumsum(sizes)
+    for k in np.flatnonzero((sizes > 0) & (sizes < width)).tolist():
+        parts.append(shingle_hashes(hashes[ends[k] - sizes[k] : ends[k]], width))
+        of.append(np.array([k]))
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(of)
+
+
 def pack(a: np.ndarray) -> bytes:
     """Compressed bytes of an array: byte planes, for the high bytes are alike."""
     a = np.ascontiguousarray(a).reshape(-1)

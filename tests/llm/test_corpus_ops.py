@@ -511,6 +511,27 @@ def test_mixing(spark, cell):
     assert out.columns == d.columns and out.count() == sum(x.copies for x in r)
 
 
+@pytest.mark.parametrize("same", [None, 5])
+def test_mixing_gives_a_row_for_each_document_whatever_its_id(spark, same):
+    rows = [(same, prose(f"m{i}", 5 + i % 30), f"s{i % 3}") for i in range(90)] + [(same, "all alike here", "s0")] * 31
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    r = mixing.mixed_sizes(d).collect()
+    assert len(r) == len(rows) and sorted(x.size for x in r) == sorted(len(t.split()) for _, t, _ in rows)
+    by = defaultdict(list)
+    for x in r:
+        by[x.source].append(x)
+        assert 0 <= x.taken <= 2 * x.size
+    assert all(abs(sum(x.taken for x in xs) - xs[0].target) <= max(x.size for x in xs) for xs in by.values())
+    out = Counter(x.text for x in mixing.mixed(d).collect())
+    assert sum(out.values()) == sum(x.copies for x in r) and out["all alike here"] == sum(x.copies for x in r if x.size == 3)
+
+
+def test_mixing_of_a_source_for_each_document(spark):
+    d = spark.createDataFrame([(i, prose(i, 10 + i % 7), f"source {i}") for i in range(300)], "doc_id long, text string, source string")
+    r = mixing.mixed_sizes(d, cell=32).collect()
+    assert len(r) == 300 and all(abs(x.taken - x.target) <= x.size + 1e-6 for x in r)
+
+
 def test_pivot_keeps_words_and_expectation():
     rng = np.random.default_rng(1)
     size, p = rng.integers(1, 100, 50), rng.random(50)
@@ -524,6 +545,6 @@ def test_pivot_keeps_words_and_expectation():
 
 
 def test_mixing_cases(docs, empty):
-    assert mixing.mixed_sizes(docs).count() == docs.select("doc_id", "source").distinct().count()
+    assert mixing.mixed_sizes(docs).count() == docs.count()
     assert mixing.mixed(docs).columns == docs.columns
     assert mixing.mixed_sizes(empty).count() == 0
