@@ -1,9 +1,10 @@
 """Main text of web pages.
 
 The standard library's parser streams a page as events. A block element starts a line; each
-line has its text, its number of tags and the containers it stands in. Lines in elements that
+line has its text, its number of tags (without those of excluded elements) and the containers it stands in. Lines in elements that
 never hold the article (menus, forms, scripts ... by tag, adverts, notices, comments ... by
-class, id or role) are out. On the others the text-to-tag ratio is smoothed by a Gaussian and
+class, id or role) are out; names that articles use, too ("side-effects", "related-work"), put a
+block out only if it is mostly links or none of it is content. On the others the text-to-tag ratio is smoothed by a Gaussian and
 split in two clusters; containers are scored by the upper cluster's text in their whole subtree.
 The content region is what main holds, else what the outermost articles hold (if that is a
 quarter of the page's score or more), else the smallest block that holds nearly all of it; each line of its
@@ -30,12 +31,16 @@ BLOCK_TAGS = frozenset("address article aside blockquote body center dd details
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGION_TAGS = ("article", "main")
 OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|comments?|reply|replies|disqus|sidebar|side|menu|nav\w*|header|masthead|footer|"
-    r"breadcrumbs?|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|toolbar|widget|skip|contentinfo|complementary|search|form)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|comments?|reply|replies|disqus|sidebar|menu|nav\w*|masthead|footer|"
+    r"breadcrumbs?|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Names that articles use in their own blocks, too. Such a block is out if half of its text is links or none of it is content.
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:side|header|share|related|recommend\w*|toolbar|widget|skip|search|form)(?:$|[\s_-])", re.I)
 #: Share of the score that the outermost main or articles need to be the region; share that a block needs to stand for its parent.
 REGION_SHARE, NEARLY = 0.25, 0.95
+#: Share of links in the text that a block with a doubtful name is out with.
+LINKED = 0.5
 SMOOTH = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 SMOOTH /= SMOOTH.sum()
 
@@ -50,9 +55,13 @@ class _Lines(HTMLParser):
         self.around: list[int] = [0]
         self.mains: set[int] = set()
         self.regions: set[int] = set()
-        #: Text, tags, container, whether it is a heading.
+        #: Containers with a doubtful name.
+        self.doubtful: set[int] = set()
+        #: Text, tags, container, whether it is a heading; and of each line the characters in links.
         self.lines: list[tuple[str, int, int, bool]] = []
+        self.linked: list[int] = []
         self.text: list[str] = []
+        self.links = self.in_link = 0
         self.tags = 0
 
     def _end_line(self) -> None:
@@ -60,16 +69,19 @@ class _Lines(HTMLParser):
         if text:
             container = self.open[-1][2] if self.open else 0
             self.lines.append((text, self.tags, container, any(re.fullmatch(r"h\d", tag) for tag, _, _ in self.open)))
+            self.linked.append(self.links)
             self.tags = 0
-        self.text = []
+        self.text, self.links = [], 0
 
     def _pop(self) -> None:
-        self.out -= self.open.pop()[1]
+        tag, out, _ = self.open.pop()
+        self.out -= out
+        self.in_link -= tag == "a"
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
             self.text.append(" ")
-            self.tags += 1
+            self.tags += not self.out
             return
         block = tag in BLOCK_TAGS
         if block:
@@ -84,22 +96,26 @@ class _Lines(HTMLParser):
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
         out = int(tag in OUT_TAGS or bool(named and tag not in ("html", "body", *REGION_TAGS) and OUT_NAMES.search(named)))
         container = self.open[-1][2] if self.open else 0
-        if block and tag != "p" and not re.fullmatch(r"h\d|li|t[drh]|d[dt]", tag):
+        doubtful = block and tag not in ("html", "body", *REGION_TAGS) and bool(named and DOUBTFUL_NAMES.search(named))
+        if doubtful or block and tag != "p" and not re.fullmatch(r"h\d|li|t[drh]|d[dt]", tag):
             self.around.append(container)
             container = len(self.around) - 1
+            if doubtful:
+                self.doubtful.add(container)
         self.open.append((tag, out, container))
         self.out += out
+        self.in_link += tag == "a"
         if tag in REGION_TAGS and not self.out:
             self.regions.add(container)
             if tag == "main":
                 self.mains.add(container)
-        self.tags += 1
+        self.tags += not self.out
 
     def handle_endtag(self, tag):
         block = tag in BLOCK_TAGS
         if block:
             self._end_line()
-        self.tags += 1
+        self.tags += not self.out
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 while len(self.open) > i:
@@ -111,6 +127,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.out:
             self.text.append(data)
+            if self.in_link:
+                self.links += len(data.strip())
 
     def close(self):
         super().close()
@@ -164,11 +182,26 @@ def main_text(html: str | None) -> str:
     if not tops or sum(below[k] for k in tops) < REGION_SHARE * upper:
         tops = {_smallest(page.around, below, leads)}
     inside = [k in tops for k in range(len(own))]
+    refused = _refused(page, below)
     for k in range(1, len(own)):
-        inside[k] = inside[k] or inside[page.around[k]]
+        inside[k] = (inside[k] or inside[page.around[k]]) and k not in refused
     return "\n\n".join(text for text, _, container, _ in lines if inside[container])
 
 
+def _refused(page: _Lines, below: list[int]) -> set[int]:
+    """The containers with a doubtful name that are mostly links or without upper-cluster text."""
+    if not page.doubtful:
+        return set()
+    text, links = [0] * len(below), [0] * len(below)
+    for (line, _, container, _), linked in zip(page.lines, page.linked):
+        text[container] += len(line)
+        links[container] += linked
+    for k in range(len(below) - 1, 0, -1):
+        text[page.around[k]] += text[k]
+        links[page.around[k]] += links[k]
+    return {k for k in page.doubtful if not below[k] or links[k] >= LINKED * text[k]}
+
+
 def _smallest(around: list[int], below: list[int], leads: set[int]) -> int:
     """The smallest container that holds nearly all of the score and has no heading or upper-cluster line beside its parts."""
     inner: dict[int, list[int]] = {}

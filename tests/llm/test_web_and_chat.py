@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from caseforge.llm import chat_format, html_extract, url_filter
@@ -31,6 +32,45 @@ def test_nothing_of_the_content_is_dropped():
     assert got(f"<body>{menu}<article><a href=/t>Teaser</a></article><div>{body}</div></body>")[-len(want):] == want
 
 
+def made_page(r):
+    """A page without ``article``, its content's blocks: lists, quotes, tables, code, sections and blocks with misleading names."""
+    say = lambda n: " ".join(f"{r.choice(['water', 'stone', 'light', 'river', 'garden'])}{r.randrange(90)}" for _ in range(n)) + "."
+    blocks, html = [], []
+
+    def add(form, *texts):
+        blocks.extend(texts)
+        html.append(form.format(*texts))
+
+    for _ in range(r.randrange(6, 14)):
+        kind = r.randrange(8)
+        if kind < 3:
+            add("<p>{}</p>", say(r.randrange(30, 70)))
+        elif kind == 3:
+            add("<ul><li>{}</li><li>{}</li></ul>", say(r.randrange(6, 20)), say(r.randrange(6, 20)))
+        elif kind == 4:
+            add("<blockquote><p>{}</p></blockquote>", say(r.randrange(20, 40)))
+        elif kind == 5:
+            add("<table><tr><td>{}</td><td>{}</td></tr></table>", say(5), say(5))
+        elif kind == 6:
+            add("<section><h2>{}</h2><p>{}</p></section>", say(4), say(r.randrange(30, 60)))
+        else:
+            add('<div class="' + r.choice(["related-work", "side-effects", "search-methods"]) + '"><p>{}</p></div>', say(r.randrange(30, 60)))
+    blocks.append(say(40))
+    html.append(f"<p>{blocks[-1]}</p>")
+    wrap = r.choice(["<div>{}</div>", '<div id="content"><div>{}</div></div>', "<main>{}</main>"])
+    links = "".join(f'<li><a href="/{k}">link {k}</a></li>' for k in range(r.randrange(4, 9)))
+    rest = r.choice(['<div class="comments"><p>A reader says: ' + say(20) + "</p></div>", '<div class="ad">' + say(8) + "</div>", ""])
+    page = f"<html><head><title>t</title></head><body><nav><ul>{links}</ul></nav>{wrap.format(''.join(html))}{rest}<div class=\"related\"><ul>{links}</ul></div><footer>(c) {say(6)}</footer></body></html>"
+    return page, blocks
+
+
+def test_all_content_of_made_pages_and_nothing_else():
+    r = random.Random(12)
+    for _ in range(150):
+        page, blocks = made_page(r)
+        assert html_extract.main_text(page).split("\n\n") == blocks
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     r = html_extract.extracted(pages.withColumn("text", F.lit(1))).collect()
