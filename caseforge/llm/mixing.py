@@ -12,8 +12,11 @@ pair's words, so what a cell takes differs from its share by its last, unresolve
 most. The unresolved ones of many cells meet in a cell of the next level, until each source has
 one, which is drawn alone. Chance is a hash of ids and a seed: reruns agree.
 
-Cases. Null, empty and blank texts have size 0 and are never taken. Rows that repeat an id in one
-source are one unit of rounding (same copies for each), its size their sum. A null id is an id.
+Each row is a document of its own, whatever ids repeat or are null. Rows alike in all plain columns
+can't be told apart by a hash: together they get the whole number of their fractional copies for
+sure and round the rest like one document.
+
+Cases. Null, empty and blank texts have size 0 and are never taken. A null id is an id.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import fresh, saved
+from .store import fresh, row_number, saved
 
 WEIGHTS, SHARE, MOST_COPIES = (3, 1, 2), 1.5, 2.0
 CELL, SEED = 4096, 17
@@ -90,15 +93,28 @@ def rounded(units: DataFrame, cell: int = CELL, seed: int = SEED) -> DataFrame:
     schema = "source string, unit long, size long, p double, done boolean"
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "unit"], kind="stable").reset_index(drop=True)
-        p, held = pivot(pdf["unit"].to_numpy(), pdf["size"].to_numpy(), pdf["p"].to_numpy(), seed)
-        return pd.DataFrame({"source": pdf["source"], "unit": pdf["unit"], "size": pdf["size"], "p": p, "done": np.arange(len(p)) != held})
-
-    largest = units.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    cells, left, out = max(1, -(-largest // (cell // 4))), units.select("source", "unit", "size", "p"), None
+        out = []
+        for source, own in pdf.groupby("source", dropna=False, sort=False):
+            own = own.sort_values(["size", "unit"], kind="stable")
+            p, held = pivot(own["unit"].to_numpy(), own["size"].to_numpy(), own["p"].to_numpy(), seed)
+            out.append(pd.DataFrame({"source": own["source"], "unit": own["unit"], "size": own["size"], "p": p, "done": np.arange(len(p)) != held}))
+        return pd.concat(out)
+
+    counts = units.groupBy(F.col("source").alias("_of")).agg(F.count("*").alias("_n"))
+    rows, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    rows, largest, cells = rows or 0, largest or 0, 1
+    while largest > cells * cell // 4:
+        cells *= 1024 if cells > 1 else max(2, min(1024, -(-largest // (cell // 4))))
+    left, out = units.select("source", "unit", "size", "p"), None
     while True:
-        dealt = left.withColumn("_cell", F.pmod(F.xxhash64("unit", F.lit(seed)), F.lit(cells)))
-        level = saved(dealt.groupBy("source", "_cell").applyInPandas(lambda pdf: resolve(pdf.drop(columns="_cell")), schema))
+        # A large source has cells of its own; many small ones share one, each still rounded by itself.
+        n = left.groupBy(F.col("source").alias("_of")).agg(F.count("*").alias("_n"))
+        parts = F.least(F.lit(cells), F.greatest(F.lit(1), F.ceil(F.col("_n") / (cell // 4)))).cast("long")
+        dealt = left.join(n, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_parts", parts)
+        shared = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(max(1, rows // cell)))
+        own = F.xxhash64("source", F.pmod(F.xxhash64("unit", F.lit(seed)), F.col("_parts")))
+        dealt = dealt.withColumn("_cell", F.when(F.col("_parts") > 1, own).otherwise(shared)).select("source", "unit", "size", "p", "_cell")
+        level = saved(dealt.groupBy("_cell").applyInPandas(lambda pdf: resolve(pdf.drop(columns="_cell")), schema))
         done = level.filter("done").select("source", "unit", F.col("p").cast("int").alias("extra"))
         out = done if out is None else out.union(done)
         left = level.filter("not done").select("source", "unit", "size", "p")
@@ -110,29 +126,44 @@ def rounded(units: DataFrame, cell: int = CELL, seed: int = SEED) -> DataFrame:
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, cell: int = CELL, seed: int = SEED) -> DataFrame:
-    """One row per source and id: ``unit`` (a hash of the id), ``size, source_size, target, copies``."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    units = saved(d.groupBy("source", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n_rows")).withColumn("unit", F.xxhash64("doc_id")))
-    aim = F.broadcast(targets(units, weights, share, most)) if units.select("source").distinct().count() < 100_000 else targets(units, weights, share, most)
+    """One row for each ``unit``, the rows alike in their plain columns: ``n_rows, size`` (of one), ``source_size, target, whole`` copies of each, and ``extra`` copies of all together."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_number(docs).alias("unit"))
+    units = saved(d.groupBy("source", "unit").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count("*").alias("n_rows")))
+    aim = targets(units.select("source", (F.col("size") * F.col("n_rows")).alias("size")), weights, share, most)
+    aim = F.broadcast(aim) if units.select("source").distinct().count() < 100_000 else aim
     told = units.join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    told = told.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    told = told.withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
-    drawn = rounded(told.filter("size > 0 and p > 1e-12"), cell, seed).select(F.col("source").alias("_s"), F.col("unit").alias("_u"), "extra")
+    told = told.withColumn("ratio", F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0))
+    told = told.withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)) * F.col("n_rows"))
+    told = told.withColumn("sure", F.floor(F.col("p") + 1e-12)).withColumn("p", F.greatest(F.col("p") - F.col("sure"), F.lit(0.0)))
+    drawn = rounded(told.filter("p > 1e-12"), cell, seed).select(F.col("source").alias("_s"), F.col("unit").alias("_u"), "extra")
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("unit") == F.col("_u"))
-    n = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("int")
-    return told.join(drawn, same, "left").select("doc_id", "source", "unit", "n_rows", "size", "source_size", "target", n.alias("copies"))
+    extra = (F.col("sure") + F.coalesce("extra", F.lit(0))).cast("long")
+    return told.join(drawn, same, "left").select("doc_id", "source", "unit", "n_rows", "size", "source_size", "target", F.col("whole").cast("long").alias("whole"), extra.alias("extra"))
 
 
 def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """One row per source and id: its words, its source's words and target, and the words taken."""
+    """One row per document: its words, its source's words and target, and the words taken."""
     c = copies(docs, doc_id, text, source, **options)
-    return c.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    # Of rows alike, as many as there are extra copies are taken once more.
+    kinds = F.array(F.struct((F.col("whole") + 1).alias("copies"), F.col("extra").alias("times")), F.struct(F.col("whole").alias("copies"), (F.col("n_rows") - F.col("extra")).alias("times")))
+    each = c.select("*", F.explode(kinds).alias("k")).select("*", F.explode(F.expr("if(k.times > 0, sequence(1, k.times), array())")).alias("_row"))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("k.copies")).alias("taken"), "source", F.col("k.copies").cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns as they were."""
-    key, at, times = fresh(docs, "_mix_id", "_mix_source", "_mix_times")
-    c = copies(docs, doc_id, text, source, **options).filter("copies > 0").select(F.col("doc_id").alias(key), F.col("source").alias(at), F.col("copies").alias(times))
-    same = docs[doc_id].eqNullSafe(c[key]) & docs[source].cast("string").eqNullSafe(c[at])
-    joined = docs.join(c, same)
-    return joined.select(*(joined[x] for x in docs.columns), F.explode(F.sequence(F.lit(1), F.col(times))).alias(key + "_copy")).drop(key + "_copy")
+    unit, at, times, copy = fresh(docs, "_mix_unit", "_mix_at", "_mix_times", "_mix_copy")
+    c = saved(copies(docs, doc_id, text, source, **options).select(F.col("unit").alias(at), "n_rows", "whole", "extra"))
+    marked = docs.withColumn(unit, row_number(docs))
+
+    def taken(rows: DataFrame, n: DataFrame, once: bool) -> DataFrame:
+        joined = rows.join(n.filter(F.col(times) > 0), F.col(unit) == F.col(at))
+        joined = joined.dropDuplicates([unit]) if once else joined
+        return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+
+    out = taken(marked, c.select(at, F.expr("whole + if(n_rows = 1, extra, 0)").alias(times)), False)
+    alike = c.filter("n_rows > 1 and extra > 0")
+    if alike.isEmpty():
+        return out
+    # Rows alike are taken ``whole`` times each above; their extra copies come from one of them.
+    return out.union(taken(marked, alike.select(at, F.col("extra").alias(times)), True))
