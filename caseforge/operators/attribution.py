@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import by_thresholds, reveal_list
+
 
 def distance_attribution(nearest: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key, column, value``: absolute difference of a row from its nearest row ``(q, n)``; one-hot and indicator columns average in their family."""
@@ -75,36 +77,89 @@ def exact_shapley(rows: DataFrame, memory: np.ndarray, q: np.ndarray, background
     return rows.mapInPandas(explain, "id long, values array<double>")
 
 
-def kdm_forward(pairs: DataFrame, sigma: float) -> DataFrame:
-    """``q, p, entropy, ess, max_weight, log_marginal`` of a kernel density classifier with given prototypes.
+def kdm_signals(sums: DataFrame) -> DataFrame:
+    """Signals of a kernel density classifier from the sums over all prototypes (``vectors.kernel_sums``).
 
-    ``pairs(q, w, dist, y)``: each query with each prototype, its prior weight, distance and label.
+    Total entropy is that of the mean label, aleatoric the mean of the prototypes' label entropies, epistemic the rest.
     """
-    k = F.col("w") * F.exp(-(F.col("dist") ** 2) / (2 * sigma**2)) ** 2
-    by = pairs.withColumn("k", k).groupBy("q").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("y")).alias("sy"), F.sum(F.col("k") ** 2).alias("s2"), F.max("k").alias("top"), F.sum(F.when(F.col("k") > 0, F.col("k") * F.log("k")).otherwise(0.0)).alias("klogk"))
-    p = F.try_divide("sy", "s")
+    p, aleatoric = F.try_divide("sy", "s"), F.try_divide("kh", "s")
     h = lambda x: F.when(x > 0, -x * F.log(x)).otherwise(0.0)
-    return by.select(
-        "q", p.alias("p"), (h(p) + h(1 - p)).alias("total_entropy"), F.try_subtract(F.log("s"), F.try_divide("klogk", "s")).alias("weight_entropy"),
-        F.log(F.try_divide(F.col("s") ** 2, "s2")).alias("log_ess"), F.try_divide("top", "s").alias("max_weight"), F.log("s").alias("log_marginal"),
+    total = h(p) + h(1 - p)
+    return sums.select(
+        "q", p.alias("p"), total.alias("total_entropy"), aleatoric.alias("aleatoric"), (total - aleatoric).alias("epistemic"),
+        F.try_subtract(F.log("s"), F.try_divide("klogk", "s")).alias("weight_entropy"), F.log(F.try_divide(F.col("s") ** 2, "s2")).alias("log_ess"),
+        F.try_divide("top", "s").alias("max_weight"), F.log("s").alias("log_marginal"),
     )
 
 
-def kdm_train(x: np.ndarray, y: np.ndarray, sigma: float = 1.0, epochs: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Prototype weights and bandwidth by gradient descent on the log loss; the training set is the prototypes."""
-    logits, log_sigma = np.zeros(len(x)), np.log(sigma)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d2, np.inf)
-    for _ in range(epochs):
+def explained(attribution: DataFrame, variables: list[str], thresholds: dict[str, tuple[float, ...]]) -> DataFrame:
+    """``q``, the relevance class of each variable (0 to 3) and ``reveal``, the sections that they call for.
+
+    ``attribution(q, column, value)`` is scaled by each variable's largest value over all rows and cut by its thresholds.
+    """
+    scaled = max_normalised(attribution, ["column"], "value")
+    cut = F.coalesce(*(F.when(F.col("column") == v, by_thresholds("value", *thresholds[v])) for v in variables))
+    wide = scaled.groupBy("q").agg(*(F.max(F.when(F.col("column") == v, cut)).alias(v) for v in variables))
+    return wide.withColumn("reveal", reveal_list({v: F.col(v) for v in variables}))
+
+
+#: Prototypes that training fits at most: the rows with the least hashes. Scoring takes all rows.
+MAX_PROTOTYPES = 1000
+
+
+class Kdm:
+    """Prototype weights, bandwidth and, if asked for, prototype labels by gradient descent on the log loss; the training rows are the prototypes.
+
+    A label is a pair of amplitudes whose squares are its probabilities. A hard label has an amplitude of 0, whose
+    gradient is 0, so hard labels stay where they are; smoothed ones (``smooth`` > 0) can drift.
+    """
+
+    def __init__(self, sigma: float | None = None, epochs: int = 300, rate: float = 0.05, train_labels: bool = False, smooth: float = 0.0, seed: int = 0):
+        self.sigma, self.epochs, self.rate, self.train_labels, self.smooth, self.seed = sigma, epochs, rate, train_labels, smooth, seed
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Kdm:
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+        off = ~np.eye(len(x), dtype=bool)
+        if self.sigma is None:
+            self.sigma = float(np.sqrt(np.median(d2[off]) / 2)) if off.any() else 1.0
+        d2f = d2.copy()
+        np.fill_diagonal(d2f, np.inf)
+        logits = np.random.default_rng(self.seed).normal(0, 0.01, len(x))
+        log_sigma, soft = np.log(self.sigma), y * (1 - self.smooth) + self.smooth / 2
+        amplitude = np.sqrt(np.stack([1 - soft, soft], 1))
+        first, self.losses = amplitude.copy(), []
+        for _ in range(self.epochs):
+            w = np.exp(logits - logits.max())
+            w /= w.sum()
+            z = d2f * np.exp(-2 * log_sigma)
+            k = np.exp(-(z - z.min(1, keepdims=True))) * w
+            share = k / k.sum(1, keepdims=True)
+            norm = (amplitude**2).sum(1)
+            label = amplitude[:, 1] ** 2 / norm
+            p = np.clip(share @ label, 1e-6, 1 - 1e-6)
+            self.losses.append(float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
+            g = (p - y) / (p * (1 - p)) / len(y)
+            pull = g[:, None] * share * (label[None] - p[:, None])
+            if self.train_labels:
+                to_label = (g[:, None] * share).sum(0)
+                d_amp = np.stack([-2 * amplitude[:, 0] * amplitude[:, 1] ** 2, 2 * amplitude[:, 1] * amplitude[:, 0] ** 2], 1) / norm[:, None] ** 2
+                amplitude = amplitude - self.rate * len(y) * to_label[:, None] * d_amp
+            logits = logits - self.rate * len(y) * pull.sum(0)
+            log_sigma = log_sigma - self.rate * float((pull * 2 * np.where(np.isfinite(z), z, 0)).sum())
         w = np.exp(logits - logits.max())
-        w /= w.sum()
-        k = np.exp(-d2 / np.exp(2 * log_sigma)) * w
-        s = k.sum(1) + 1e-300
-        p = np.clip((k @ y) / s, 1e-6, 1 - 1e-6)
-        g = (p - y) / (p * (1 - p)) / len(y)
-        share = k / s[:, None]
-        logits -= rate * ((g[:, None] * share * (y[None] - p[:, None])).sum(0))
-        d2f = np.where(np.isfinite(d2), d2, 0)
-        log_sigma -= rate * float((g[:, None] * share * (y[None] - p[:, None]) * 2 * d2f * np.exp(-2 * log_sigma)).sum())
-    w = np.exp(logits - logits.max())
-    return w / w.sum(), float(np.exp(log_sigma))
+        self.weights, self.sigma = w / w.sum(), float(np.exp(log_sigma))
+        self.labels = amplitude[:, 1] ** 2 / (amplitude**2).sum(1)
+        self.drift = np.abs(amplitude - first).max(1)
+        return self
+
+    def prototypes(self, spark, ids: list[int], x: np.ndarray) -> DataFrame:
+        """``id, v, w, y`` for ``vectors.kernel_sums``."""
+        rows = [(int(i), r.tolist(), float(w), float(y)) for i, r, w, y in zip(ids, x, self.weights, self.labels)]
+        return spark.createDataFrame(rows, "id long, v array<double>, w double, y double")
+
+
+def seeds_averaged(runs: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
+    """Over ``seed``: mean probability, its deviation, the vote at 0.5 (no at a draw) and the share of seeds that agree with it."""
+    yes = F.avg((F.col(p) >= 0.5).cast("double"))
+    m = runs.groupBy(*keys).agg(F.avg(p).alias("mean"), F.stddev_pop(p).alias("deviation"), yes.alias("_yes"))
+    return m.select(*keys, "mean", "deviation", (F.col("_yes") > 0.5).cast("int").alias("vote"), F.greatest("_yes", 1 - F.col("_yes")).alias("agreement"))

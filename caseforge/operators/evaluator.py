@@ -72,8 +72,12 @@ def recurrence_time_score(event: Column, truth: Column, predicted: Column) -> Co
     return F.when(truth.isNull() | predicted.isNull(), None).when((event != 1) & (predicted >= truth), 1.0).otherwise(close)
 
 
-def recurrence_score(event: Column, said: Column, truth: Column, predicted: Column) -> Column:
-    return 0.5 * F.coalesce((event == said).cast("double"), F.lit(0.0)) + 0.5 * F.coalesce(recurrence_time_score(event, truth, predicted), F.lit(0.0))
+def recurrence_score(event: Column, said: Column, truth: Column, predicted: Column, judged: Column | None = None) -> Column:
+    """Half the event's match and half the closeness of times; with a judge's score 0.35 of each and 0.30 of that."""
+    parts = F.coalesce((event == said).cast("double"), F.lit(0.0)), F.coalesce(recurrence_time_score(event, truth, predicted), F.lit(0.0))
+    if judged is None:
+        return 0.5 * parts[0] + 0.5 * parts[1]
+    return 0.35 * parts[0] + 0.35 * parts[1] + 0.30 * F.coalesce(judged, F.lit(0.0))
 
 
 def distinct_subjects(df: DataFrame, time: str, predicted: str, event: str) -> DataFrame:
@@ -81,14 +85,44 @@ def distinct_subjects(df: DataFrame, time: str, predicted: str, event: str) -> D
     return df.groupBy(F.col(time).cast("double").alias("t"), F.col(predicted).cast("double").alias("p"), F.col(event).cast("int").alias("e")).agg(F.count("*").alias("n"))
 
 
-def c_index(df: DataFrame, time: str, predicted: str, event: str) -> DataFrame:
-    """Harrell's index over pairs whose earlier subject had the event; null without such a pair."""
+def comparable_pairs(df: DataFrame, time: str, event: str) -> DataFrame:
+    """``t, pairs``: of each event time how many pairs start there; the later subject lasts longer, from one running sum over the times."""
+    by = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.count("*").alias("n"), F.sum((F.col(event) == 1).cast("long")).alias("events"))
+    later = F.coalesce(F.sum("n").over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return by.withColumn("pairs", F.col("events") * later).filter("pairs > 0").select("t", "pairs")
+
+
+#: Buckets of the predictions for the pair counts.
+C_BUCKETS = 64
+
+
+def c_index(df: DataFrame, time: str, predicted: str, event: str, buckets: int = C_BUCKETS) -> DataFrame:
+    """Harrell's index over pairs whose earlier subject had the event; null without such a pair.
+
+    Predictions are cut into ``buckets`` ranges of ranks. Pairs in different buckets follow from running sums over the times of each
+    bucket's counts; only pairs within a bucket are compared, on counts per distinct time and prediction.
+    """
     s = distinct_subjects(df, time, predicted, event)
-    a = s.filter("e = 1").select(F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("n").alias("na"))
-    b = s.select(F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("n").alias("nb"))
+    cuts = s.agg(F.array_distinct(F.percentile_approx("p", [i / buckets for i in range(1, buckets)], 10_000)).alias("cuts"))
+    s = s.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("p")))).drop("cuts").persist()
+    # Across buckets: one row a time, an array of counts over the buckets.
+    counts = lambda c: F.transform(F.sequence(F.lit(0), F.lit(buckets)), lambda b: F.coalesce(F.element_at(c, b), F.lit(0)))
+    per = s.groupBy("t", "bucket").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("events"))
+    wide = per.groupBy("t").agg(*(F.map_from_entries(F.collect_list(F.struct("bucket", c))).alias(c) for c in ("n", "events"))).select("t", counts(F.col("n")).alias("n"), counts(F.col("events")).alias("events"))
+    later = [F.coalesce(F.sum(F.get("n", b)).over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for b in range(buckets + 1)]
+    wide = wide.select("t", "events", F.array(*later).alias("later"))
+    own = F.posexplode("events").alias("bucket", "a")
+    x = wide.select("t", "later", own).filter("a > 0")
+    above = F.aggregate(F.expr("slice(later, bucket + 2, 1000)"), F.lit(0).cast("long"), lambda s_, v: s_ + v)
+    every = F.aggregate("later", F.lit(0).cast("long"), lambda s_, v: s_ + v)
+    across = x.agg(F.sum(F.col("a").cast("double") * above).alias("won"), F.sum(F.col("a").cast("double") * every).alias("pairs"))
+    # Within: the distinct subjects of one bucket.
+    a = s.filter("e = 1").select("bucket", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("n").alias("na"))
+    b = s.select("bucket", F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("n").alias("nb"))
     w = F.col("na").cast("double") * F.col("nb")
     won = F.when(F.col("pa") < F.col("pb"), 1.0).when(F.col("pa") == F.col("pb"), 0.5).otherwise(0.0)
-    return a.join(b, F.col("ta") < F.col("tb")).agg(F.try_divide(F.sum(w * won), F.sum(w)).alias("c_index"), F.sum(w).alias("pairs"))
+    within = a.join(b, "bucket").filter("ta < tb").agg(F.coalesce(F.sum(w * won), F.lit(0.0)).alias("inside"))
+    return across.crossJoin(within).select(F.try_divide(F.col("won") + F.col("inside"), F.col("pairs")).alias("c_index"), F.coalesce("pairs", F.lit(0.0)).alias("pairs"))
 
 
 def censoring_km(df: DataFrame, time: str, event: str) -> DataFrame:

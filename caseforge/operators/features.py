@@ -144,3 +144,14 @@ def pca_scores(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return projected(base, mean, comps)
 
 
+
+
+#: The signals of each family of the confidence head.
+FAMILIES = {"ici_only": ("ici",), "p_only": ("p_t", "p_m", "p_x"), "ici_plus_p": ("ici", "p_t", "p_m", "p_x")}
+
+
+def family(df: DataFrame, name: str, into: str = "features") -> DataFrame:
+    """``df`` with the signals of a family as one vector, in their frozen order."""
+    if name not in FAMILIES:
+        raise ValueError(f"unknown family {name}")
+    return df.withColumn(into, F.array(*(F.col(c).cast("double") for c in FAMILIES[name])))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import trees
+
 EPS = 1e-10
 
 
@@ -37,19 +39,58 @@ def fuzzy_vote(edges: DataFrame, keys: list[str], y: str = "y", certainty: str =
     return edges.groupBy(*keys).agg((F.sum(w * q) / (F.sum(w) + (0 if serving else EPS))).alias("p"))
 
 
-def knn_grid(edges: DataFrame, ks: list[int], y: str = "y", certainty: str = "c", query: str = "q") -> DataFrame:
-    """``config, q, p``: every k, weighting and variant from one table of ranked edges; no configuration ranks again."""
+#: The neighbours, the metrics of a model grid.
+GRID_KS, GRID_METRICS = (1, 3, 5, 7, 9, 11, 15, 21, 31), ("euclidean", "cosine")
+
+
+def knn_grid(edges: DataFrame, ks: list[int], y: str = "y", certainty: str = "c", query: str = "q", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``config, keys, q, p``: every k, weighting and variant from one table of ranked edges; no configuration ranks again."""
     grid = F.broadcast(edges.sparkSession.createDataFrame([(k,) for k in ks], "k int"))
     e = edges.join(grid, F.col("rk") <= F.col("k"))
     q, w = 0.5 + F.col(certainty) * (F.col(y) - 0.5), inverse_distance("dist")
-    g = e.groupBy("k", query).agg(
+    g = e.groupBy("k", *keys, query).agg(
         F.avg(F.col(y).cast("double")).alias("standard_uniform"),
         (F.sum(w * F.col(y)) / F.sum(w)).alias("standard_distance"),
         (F.sum(q) / (F.count("*") + EPS)).alias("fuzzy_uniform"),
         (F.sum(w * q) / (F.sum(w) + EPS)).alias("fuzzy_distance"),
     )
-    long = g.unpivot(["k", query], ["standard_uniform", "standard_distance", "fuzzy_uniform", "fuzzy_distance"], "kind", "p")
-    return long.select(F.concat_ws("_", "kind", F.concat(F.lit("k"), F.col("k").cast("string"))).alias("config"), query, "p")
+    long = g.unpivot(["k", *keys, query], ["standard_uniform", "standard_distance", "fuzzy_uniform", "fuzzy_distance"], "kind", "p")
+    return long.select(F.concat_ws("_", "kind", F.concat(F.lit("k"), F.col("k").cast("string"))).alias("config"), *keys, query, "p")
+
+
+def grid_over_splits(rows: DataFrame, truth: DataFrame, splits: DataFrame, ks=GRID_KS, metrics=GRID_METRICS) -> DataFrame:
+    """``config, fold, q, p``: of every split the held-out rows' probabilities under every configuration.
+
+    ``rows(id, v)``, ``truth(id, y, c)``, ``splits(split, id, role)``; splits are numbered from 0. Distances are taken once for
+    all splits, edges once for all neighbour counts, weightings and variants.
+    """
+    from . import vectors
+    from .resampling import fold_roles
+
+    folds, out = rows.join(fold_roles(splits, "id"), "id"), None
+    memory = truth.withColumnRenamed("id", "n")
+    for metric in metrics:
+        edges = vectors.knn_folds(folds, max(ks), metric).join(memory, "n")
+        one = knn_grid(edges, list(ks), keys=("fold",)).withColumn("config", F.concat_ws("_", "config", F.lit(metric)))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def nested_probabilities(modalities: dict[str, tuple[DataFrame, dict]], truth: DataFrame, roles: DataFrame, k: int, inner: int = 3) -> DataFrame:
+    """``split, id, role`` (0 inner, 1 outer) and a probability for each modality, none from a model that has seen the row.
+
+    An inner fold's probabilities of the training rows are what a meta-model may be fitted on; those of the held-out rows come from
+    models of all training rows. ``modalities`` holds rows and options of ``fuzzy_vote``.
+    """
+    from . import vectors
+
+    out, memory = None, truth.withColumnRenamed("id", "n")
+    for name, (rows, options) in modalities.items():
+        edges = vectors.knn_folds(rows.join(roles, "id"), k).join(memory, "n")
+        p = fuzzy_vote(edges, ["fold", "q"], **options).withColumnRenamed("p", name)
+        out = p if out is None else out.join(p, ["fold", "q"])
+    split = F.floor(F.col("fold") / (inner + 1)).cast("int")
+    return out.select(split.alias("split"), F.col("q").alias("id"), (F.col("fold") % (inner + 1) == 0).cast("int").alias("role"), *modalities)
 
 
 def soft_regression(edges: DataFrame, keys: list[str], target: str, dist: str = "dist", weighted: bool = False) -> DataFrame:
@@ -121,60 +162,67 @@ def threshold_candidates(df: DataFrame, keys: list[str], x: str, cls: str, n_cla
     return mid.unionByName(none).unionByName(total.select(*keys, F.lit(float(ends[1])).alias("tau"), *(f"n{k}" for k in range(n_classes))))
 
 
-def threshold_search(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, descending: bool = False, min_per_class: int = 0, ends: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+def threshold_search(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, descending: bool = False, min_per_class: int = 0, ends: tuple[float, float] = (0.0, 1.0), absent: str = "zero") -> DataFrame:
     """The thresholds (one less than classes) with the least mean ordinal error; among equals the first.
 
-    A tuple's error follows from class counts below its thresholds: the search joins the
-    candidates with themselves once per threshold, whatever the number of rows.
+    A row's error is the distance of its class from the one said over ``n_classes - 1``; ``moe`` is the mean of the
+    classes' mean errors, where a class without rows counts 0 or, with ``absent="skip"``, isn't counted. The
+    error is a sum of one term per threshold, and each term follows from class counts below it: a running
+    minimum along the candidates finds the best tuple, so the work grows with the distinct values, not with
+    their pairs. ``min_per_class`` rows must be said of each class. With fewer than two distinct values
+    the thresholds are the k-th parts of ``ends`` (a third and two thirds, rounded to hundredths) and ``moe`` is null.
     """
     cand = threshold_candidates(df, keys, x, cls, n_classes, ends)
-    total = cand.groupBy(*keys).agg(*(F.max(f"n{k}").alias(f"t{k}") for k in range(n_classes)))
-    out = total
-    for i in range(1, n_classes):
-        one = cand.select(*keys, F.col("tau").alias(f"tau{i}"), *(F.col(f"n{k}").alias(f"b{i}_{k}") for k in range(n_classes)))
-        out = out.join(one, keys) if keys else out.crossJoin(one)
-        if i > 1:
-            out = out.filter(F.col(f"tau{i - 1}") < F.col(f"tau{i}"))
-    below = lambda i, k: F.lit(0) if i == 0 else F.col(f"t{k}") if i == n_classes else F.col(f"b{i}_{k}")
-    place = lambda i, k: below(i + 1, k) - below(i, k)  # noqa: E731  rows of class k in interval i
-    said = lambda i: n_classes - 1 - i if descending else i
-    err = [reduce(lambda a, b: a + b, (abs(said(i) - k) * place(i, k) for i in range(n_classes))) for k in range(n_classes)]
+    total = cand.groupBy(*keys).agg(*(F.max(f"n{k}").alias(f"t{k}") for k in range(n_classes)), F.count("*").alias("_candidates"))
+    c = cand.join(total, keys) if keys else cand.crossJoin(F.broadcast(total))
     present = reduce(lambda a, b: a + b, ((F.col(f"t{k}") > 0).cast("int") for k in range(n_classes)))
-    moe = reduce(lambda a, b: a + b, (F.coalesce(F.try_divide(1.0 * e, F.col(f"t{k}")), F.lit(0.0)) for k, e in enumerate(err))) / present
-    out = out.withColumn("moe", F.round(moe, 12))
-    if min_per_class:
-        sizes = [reduce(lambda a, b: a + b, (place(i, k) for k in range(n_classes))) for i in range(n_classes)]
-        out = out.filter(reduce(lambda a, b: a & b, (s >= min_per_class for s in sizes)))
+    scale = (n_classes - 1) * (F.lit(n_classes) if absent == "zero" else present)
+    said = lambda i: n_classes - 1 - i if descending else i
+
+    def cost(i: int, counts: str) -> Column:
+        """Error of rows with these counts, were they all in interval ``i``."""
+        return reduce(lambda a, b: a + b, (F.coalesce(F.try_divide(1.0 * abs(said(i) - k) * F.col(f"{counts}{k}"), F.col(f"t{k}")), F.lit(0.0)) for k in range(n_classes))) / scale
+
+    below = reduce(lambda a, b: a + b, (F.col(f"n{k}") for k in range(n_classes)))
+    every = reduce(lambda a, b: a + b, (F.col(f"t{k}") for k in range(n_classes)))
     taus = [f"tau{i}" for i in range(1, n_classes)]
-    best = out.groupBy(*keys).agg(F.min(F.struct("moe", *taus)).alias("b"))
-    return best.select(*keys, *(F.col(f"b.{t}").alias(t) for t in taus), F.col("b.moe").alias("moe"))
-
-
-def tree_split(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, min_leaf: int = 5) -> DataFrame:
-    """The first split of a tree on one feature: the midpoint with the least weighted Gini, the lowest among equals."""
-    c = threshold_candidates(df, keys, x, cls, n_classes)
-    total = c.groupBy(*keys).agg(*(F.max(f"n{k}").alias(f"t{k}") for k in range(n_classes)))
-    j = c.join(total, keys) if keys else c.crossJoin(total)
-    left = [F.col(f"n{k}").cast("double") for k in range(n_classes)]
-    right = [F.col(f"t{k}").cast("double") - F.col(f"n{k}") for k in range(n_classes)]
-    nl, nr = reduce(lambda a, b: a + b, left), reduce(lambda a, b: a + b, right)
-    gini = lambda side, n: n - reduce(lambda a, b: a + b, (s * s for s in side)) / n
-    j = j.withColumn("_l", nl).withColumn("_r", nr).filter((F.col("_l") >= min_leaf) & (F.col("_r") >= min_leaf))
-    j = j.withColumn("impurity", F.round((gini(left, nl) + gini(right, nr)) / (nl + nr), 12))
-    best = j.groupBy(*keys).agg(F.min(F.struct("impurity", "tau")).alias("b"))
-    return best.select(*keys, F.col("b.tau").alias("tau"), F.col("b.impurity").alias("impurity"))
-
-
-def tree_thresholds(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, min_leaf: int = 5) -> DataFrame:
-    """Up to two thresholds of a tree of depth 2 with three leaves: the root's, then the child split that gains most."""
-    root = tree_split(df, keys, x, cls, n_classes, min_leaf).select(*keys, F.col("tau").alias("_root"))
-    side = (df.join(F.broadcast(root), keys) if keys else df.crossJoin(F.broadcast(root))).withColumn("_side", (F.col(x) > F.col("_root")).cast("int"))
-    n = side.groupBy(*keys, "_side").agg(F.count("*").alias("n"), *(F.sum((F.col(cls) == k).cast("double")).alias(f"c{k}") for k in range(n_classes)))
-    whole = F.col("n") - reduce(lambda a, b: a + b, (F.col(f"c{k}") ** 2 for k in range(n_classes))) / F.col("n")
-    kids = tree_split(side, [*keys, "_side"], x, cls, n_classes, min_leaf).join(n, [*keys, "_side"]).withColumn("_gain", F.round(whole - F.col("impurity") * F.col("n"), 9))
-    best = kids.filter("_gain > 0").groupBy(*keys).agg(F.max_by("tau", F.struct("_gain", -F.col("_side"))).alias("_child"))
-    both = root.join(best, keys, "left") if keys else root.join(best, how="left")
-    return both.select(*keys, F.least("_root", "_child").alias("tau1"), F.when(F.col("_child").isNotNull(), F.greatest("_root", "_child")).alias("tau2"))
+    c = c.withColumn("_below", below).withColumn("_left", every - below)
+    gap = max(1, min_per_class)
+    best = None
+    for i in range(1, n_classes):
+        term = F.round(cost(i - 1, "n") - cost(i, "n"), 12)
+        if i == 1:
+            c = c.filter(F.col("_below") >= min_per_class).withColumn("_best", F.struct(term.alias("moe"), F.col("tau").alias("tau1")))
+            continue
+        # The best tuple up to here whose last threshold leaves rows enough.
+        before = Window.partitionBy(*keys).orderBy("_below").rangeBetween(Window.unboundedPreceding, -gap)
+        c = c.withColumn("_before", F.min("_best").over(before)).filter(F.col("_before").isNotNull())
+        c = c.withColumn("_best", F.struct(F.round(F.col("_before.moe") + term, 12).alias("moe"), *(F.col(f"_before.tau{j}").alias(f"tau{j}") for j in range(1, i)), F.col("tau").alias(f"tau{i}")))
+    c = c.filter((F.col("_left") >= min_per_class) & (F.col("_candidates") > 2))
+    whole = F.round(F.col("_best.moe") + cost(n_classes - 1, "t"), 12)
+    best = c.groupBy(*keys).agg(F.min(F.struct(whole.alias("moe"), *(F.col(f"_best.{t}").alias(t) for t in taus))).alias("b"))
+    part = [round(ends[0] + (ends[1] - ends[0]) * i / n_classes, 2) for i in range(1, n_classes)]
+    j = total.select(*keys, "_candidates").join(best, keys, "left") if keys else total.select("_candidates").join(best, how="left")
+    few = F.col("_candidates") <= 2
+    return j.select(*keys, *(F.when(few, F.lit(v)).otherwise(F.col(f"b.{t}")).alias(t) for t, v in zip(taus, part)), F.col("b.moe").alias("moe"))
+
+
+def tree_split(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, min_leaf: int = 5, balanced: bool = False) -> DataFrame:
+    """The first split of a tree on one feature: the midpoint that lowers Gini most, the lowest among equals, and the impurity that it leaves."""
+    levels = [float(k) for k in range(n_classes)]
+    rows = trees.weighted(df, keys, cls, balanced, n_classes)
+    split = trees.best_splits(rows.withColumn("node", F.lit(1).cast("long")), keys, [x], cls, levels, "gini", min_leaf)
+    w = rows.groupBy(*keys).agg(*(F.sum(F.when(F.col(cls) == k, F.col("_w")).otherwise(0.0)).alias(f"w{k}") for k in range(n_classes)))
+    ws = [F.col(f"w{k}") for k in range(n_classes)]
+    all_ = reduce(lambda a, b: a + b, ws)
+    whole = all_ - reduce(lambda a, b: a + b, (c * c for c in ws)) / all_
+    return split.join(w, keys).select(*keys, "tau", F.round((whole - F.col("gain")) / all_, 12).alias("impurity"))
+
+
+def tree_thresholds(df: DataFrame, keys: list[str], x: str, cls: str, n_classes: int = 3, min_leaf: int = 5, balanced: bool = False) -> DataFrame:
+    """The thresholds of a tree of depth 2 with three leaves at most, and whether it has them all."""
+    splits = trees.grown(df, keys, [x], cls, [float(k) for k in range(n_classes)], depth=2, max_leaves=3, min_leaf=min_leaf, balanced=balanced)
+    return trees.thresholds(splits, keys).select(*keys, F.get("taus", 0).alias("tau1"), F.get("taus", 1).alias("tau2"), "three_leaves")
 
 
 #: The order in which configurations are compared.

@@ -44,6 +44,22 @@ def stratified_folds(df: DataFrame, key: str, label: str, n_folds: int = 3, seed
     return df.withColumn("fold", at % n_folds)
 
 
+def fold_roles(splits: DataFrame, key: str) -> DataFrame:
+    """``key, roles`` for ``vectors.knn_folds``: of each split 0 where the row trains, 1 where it is held out."""
+    return splits.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("split", "role"))), lambda x: x["role"]).alias("roles"))
+
+
+def nested_roles(splits: DataFrame, key: str, label: str, inner: int = 3, seed: int = 7) -> DataFrame:
+    """``key, roles`` with ``inner + 1`` folds for each split (numbered from 0): the outer one, then the inner ones over its training rows.
+
+    An inner fold holds its share of each class of the training rows out, by hash order, and leaves the outer held-out rows out (2).
+    """
+    by = Window.partitionBy("split", "role", label).orderBy(hash_order(seed, "split", key), key)
+    s = splits.withColumn("_inner", (F.row_number().over(by) - 1) % inner)
+    folds = F.array(F.col("role"), *(F.when(F.col("role") == 1, 2).otherwise((F.col("_inner") == j).cast("int")) for j in range(inner)))
+    return s.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("split", folds.alias("folds")))), lambda x: x["folds"])).alias("roles"))
+
+
 def subsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the least hashes: the same ones whatever the partitioning."""
     return df.orderBy(hash_order(seed, key), key).limit(n)

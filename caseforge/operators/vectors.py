@@ -36,13 +36,12 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.stack([((b - x) ** 2).sum(1) for x in a]))
 
 
-def _grid(queries: DataFrame, base: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    spark = base.sparkSession
+def _grid(queries: DataFrame, base: DataFrame, block: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.withColumn("qb", own(nq)).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     # Other names: of columns that both sides share, the optimizer would drop those that only one side uses.
-    right = base.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), own(nb).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    right = base.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), *(F.col(c).alias(f"{c}_b") for c in more), own(nb).alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     return left, right
 
 
@@ -70,6 +69,69 @@ def knn(base: DataFrame, k: int, metric: str = "euclidean", queries: DataFrame |
     return e.withColumn("rk", at).filter(F.col("rk") <= k)
 
 
+def knn_folds(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
+    """``fold, q, n, dist, rk`` for all folds at once: ``rows(id, v, roles)``, where ``roles[f]`` is 0 if the row is in the memory of fold ``f``, 1 if it is a query there, else neither.
+
+    Distances of two blocks are taken once for all folds; a task emits k edges for each query and fold.
+    """
+    left, right = _grid(rows, rows, block, ("roles",))
+
+    def near(qs, bs):
+        qi, q = _matrix(qs)
+        bi, b = _matrix(bs, "_b")
+        out = []
+        if len(qi) and len(bi):
+            asks = np.asarray(qs["roles"].combine_chunks().flatten()).reshape(len(qi), -1) == 1
+            holds = np.asarray(bs["roles_b"].combine_chunks().flatten()).reshape(len(bi), -1) == 0
+            for x in range(0, len(qi), 256):
+                d = distances(q[x : x + 256], b, metric)
+                d[qi[x : x + 256, None] == bi[None, :]] = np.inf
+                for f in range(asks.shape[1]):
+                    own, memory = np.flatnonzero(asks[x : x + 256, f]), np.flatnonzero(holds[:, f])
+                    if not len(own) or not len(memory):
+                        continue
+                    df = d[np.ix_(own, memory)]
+                    m = min(k, df.shape[1])
+                    reach = np.partition(df, m - 1, 1)[:, m - 1]
+                    row, col = np.nonzero((df <= reach[:, None]) & np.isfinite(df))
+                    out.append((np.full(len(row), f), qi[x + own[row]], bi[memory[col]], df[row, col]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(cols, names=["fold", "q", "n", "dist"])
+
+    e = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(near, "fold long, q long, n long, dist double")
+    at = F.row_number().over(Window.partitionBy("fold", "q").orderBy("dist", "n"))
+    return e.withColumn("rk", at).filter(F.col("rk") <= k)
+
+
+def kernel_sums(queries: DataFrame, prototypes: DataFrame, sigma: float, leave_self_out: bool = False, block: int = BLOCK) -> DataFrame:
+    """Sums over all ``prototypes(id, v, w, y)`` for each query: no pair leaves a task.
+
+    With ``k = w * exp(-d^2 / (2 sigma^2))^2`` and ``h`` the entropy of a prototype's label ``y``: sums ``s`` of k,
+    ``sy`` of k y, ``s2`` of k^2, ``top`` (the largest k), ``klogk`` and ``kh``.
+    """
+    left, right = _grid(queries.select("id", "v"), prototypes, block, ("w", "y"))
+
+    def add(qs, bs):
+        qi, q = _matrix(qs)
+        bi, b = _matrix(bs, "_b")
+        if not len(qi) or not len(bi):
+            return pa.table([pa.array([], pa.int64()), *([pa.array([], pa.float64())] * 6)], names=["q", "s", "sy", "s2", "top", "klogk", "kh"])
+        w, y = bs["w_b"].to_numpy(), bs["y_b"].to_numpy()
+        h = -sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0) for x in (y, 1 - y))
+        out = []
+        for x in range(0, len(qi), 256):
+            d2 = np.stack([((b - r) ** 2).sum(1) for r in q[x : x + 256]])
+            if leave_self_out:
+                d2[qi[x : x + 256, None] == bi[None, :]] = np.inf
+            k = w * np.exp(-d2 / (2 * sigma**2)) ** 2
+            klogk = np.where(k > 0, k * np.log(np.where(k > 0, k, 1)), 0).sum(1)
+            out.append((k.sum(1), k @ y, (k * k).sum(1), k.max(1), klogk, k @ h))
+        return pa.table([qi, *(np.concatenate(c) for c in zip(*out))], names=["q", "s", "sy", "s2", "top", "klogk", "kh"])
+
+    part = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(add, "q long, s double, sy double, s2 double, top double, klogk double, kh double")
+    return part.groupBy("q").agg(*(F.sum(c).alias(c) for c in ("s", "sy", "s2", "klogk", "kh")), F.max("top").alias("top"))
+
+
 def pairs(base: DataFrame, metric: str = "euclidean", block: int = 1024) -> DataFrame:
     """``i, j, dist`` for all i < j: for capped tables and tests."""
     left, right = _grid(base, base, block)
@@ -111,7 +173,7 @@ def hubness(occ: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def moments(base: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and centred scatter matrix; each task sends one matrix of d x d (bounded by the width, not the rows)."""
+    """Rows, mean and centred scatter matrix: one d x d matrix a task (by the width, not the rows), added up in groups on the executors; one comes here."""
 
     def part(batches):
         n, s, g = 0, None, None
@@ -122,11 +184,13 @@ def moments(base: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_pydict({"n": [n], "s": [s.tolist()], "g": [g.reshape(-1).tolist()]})
 
-    n, s, g = 0, 0.0, 0.0
-    for r in base.mapInArrow(part, "n long, s array<double>, g array<double>").toLocalIterator():
-        n, s, g = n + r["n"], s + np.array(r["s"]), g + np.array(r["g"])
-    mean = s / n
-    return n, mean, g.reshape(len(mean), -1) - n * np.outer(mean, mean)
+    entry = base.mapInArrow(part, "n long, s array<double>, g array<double>").select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "g")).alias("at", "x"))
+    sums = entry.groupBy("at").agg(F.sum("x").alias("x")).toPandas().sort_values("at")["x"].to_numpy()
+    if not len(sums):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    d = round((np.sqrt(4 * len(sums) - 3) - 1) / 2)  # 1 + d + d^2 numbers
+    n, mean = int(sums[0]), sums[1 : d + 1] / sums[0]
+    return n, mean, sums[d + 1 :].reshape(d, d) - n * np.outer(mean, mean)
 
 
 def isotropy(base: DataFrame) -> dict[str, float]:
@@ -135,7 +199,9 @@ def isotropy(base: DataFrame) -> dict[str, float]:
     lam = np.clip(np.linalg.eigvalsh(scatter / max(1, n - 1)), 0, None)
     p = lam[lam > 0] / lam.sum()
     rank = float(np.exp(-(p * np.log(p)).sum()))
-    return {"participation_ratio": float(lam.sum() ** 2 / (lam**2).sum()), "effective_rank": rank, "score": float(np.clip(rank / len(lam), 0, 1))}
+    #: The local PCA estimate of the dimension on the whole table: eigenvalues above a twentieth of the largest.
+    large = int((lam > 0.05 * lam.max()).sum())
+    return {"l_pca": float(large), "dims": float(len(lam)), "participation_ratio": float(lam.sum() ** 2 / (lam**2).sum()), "effective_rank": rank, "score": float(np.clip(rank / len(lam), 0, 1))}
 
 
 def pca(base: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,28 +256,194 @@ def kernel_alignment(kernel: DataFrame, labels: DataFrame, eps: float = 1e-10) -
 
 
 def intrinsic_dimension(edges: DataFrame, k: int = 10) -> DataFrame:
-    """TwoNN, the maximum-likelihood estimate, and their median and deviation, from ranked edges. Zero distances are left out."""
-    e = edges.filter((F.col("rk") <= k) & (F.col("dist") > 0))
-    by = e.groupBy("q").agg(
+    """TwoNN, the maximum-likelihood and the moments estimate, and their median and deviation, from ranked edges. Zero distances are left out."""
+    local = local_dimensions(edges, k)
+    ratio = F.when(F.col("r2") > F.col("r1"), F.log(F.col("r2") / F.col("r1")))
+    one = local.agg(F.try_divide(F.count(ratio).cast("double"), F.sum(ratio)).alias("two_nn"), F.avg("mle").alias("mle"), F.avg("mom").alias("mom"))
+    return one.select("*", *consensus("two_nn", "mle", "mom"))
+
+
+def local_dimensions(edges: DataFrame, k: int = 10) -> DataFrame:
+    """Per row: its two least distances and the maximum-likelihood and moments estimates from its k neighbours."""
+    by = edges.filter((F.col("rk") <= k) & (F.col("dist") > 0)).groupBy("q").agg(
         F.max(F.when(F.col("rk") == 1, F.col("dist"))).alias("r1"),
         F.max(F.when(F.col("rk") == 2, F.col("dist"))).alias("r2"),
         F.max("dist").alias("rmax"),
         F.sum(F.log("dist")).alias("logs"),
+        F.avg("dist").alias("mean"),
         F.count("*").alias("m"),
     )
-    local = F.try_divide(F.col("m") - 1.0, F.col("m") * F.log("rmax") - F.col("logs"))
-    both = by.agg(F.try_divide(F.count(F.when(F.col("r2") > F.col("r1"), 1)).cast("double"), F.sum(F.when(F.col("r2") > F.col("r1"), F.log(F.col("r2") / F.col("r1"))))).alias("two_nn"), F.avg(local).alias("mle"))
-    return both.select("two_nn", "mle", ((F.col("two_nn") + F.col("mle")) / 2).alias("consensus"), (F.abs(F.col("two_nn") - F.col("mle")) / 2).alias("uncertainty"))
+    mle = F.try_divide(F.col("m") - 1.0, F.col("m") * F.log("rmax") - F.col("logs"))
+    return by.select("q", "r1", "r2", mle.alias("mle"), F.try_divide("mean", F.col("rmax") - F.col("mean")).alias("mom"))
+
+
+def consensus(*estimates: str) -> tuple[Column, Column]:
+    """Median and population deviation of the estimates that there are; null if there is none."""
+    xs = F.filter(F.array(*(F.nanvl(F.col(c), F.lit(None).cast("double")) for c in estimates)), lambda x: x.isNotNull())
+    n = F.size(xs)
+    ordered = F.array_sort(xs)
+    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    add = lambda f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+    mean = F.try_divide(add(lambda x: x), n)
+    return middle.alias("consensus"), F.sqrt(F.try_divide(add(lambda x: (x - mean) ** 2), n)).alias("uncertainty")
+
+
+def correlation_dimension(pairs_: DataFrame, edges: DataFrame, near: int = 10, far: int = 20) -> DataFrame:
+    """One row ``corr_int``: growth of the share of pairs between the median distances to the ``near``-th and the ``far``-th neighbour."""
+    radii = edges.agg(F.percentile(F.when(F.col("rk") == near, F.col("dist")), 0.5).alias("a"), F.percentile(F.when(F.col("rk") == far, F.col("dist")), 0.5).alias("b"))
+    n = lambda r: F.sum((F.col("dist") < F.col(r)).cast("double"))
+    c = pairs_.crossJoin(F.broadcast(radii)).groupBy("a", "b").agg(n("a").alias("in_a"), n("b").alias("in_b"))
+    return c.select(F.try_divide(F.log("in_b") - F.log("in_a"), F.log("b") - F.log("a")).alias("corr_int"))
+
+
+#: Rows of the kernel whose spectrum is taken, and eigenvalues kept.
+SPECTRUM_ROWS, SPECTRUM = 2000, 50
+
+
+def kernel_spectrum(base: DataFrame, sigma: float, rows: int = SPECTRUM_ROWS, components: int = SPECTRUM, seed: int = 42) -> dict[str, float]:
+    """Effective rank, gap, condition and row-sum skewness of the kernel of a bounded sample (``rows``, those with the least hashes)."""
+    from .resampling import subsample
+
+    x = np.array([r["v"] for r in subsample(base, "id", rows, seed).collect()])
+    d2 = np.stack([((x - r) ** 2).sum(1) for r in x])
+    k = np.exp(-d2 / (2 * sigma**2 + 1e-10))
+    lam = np.clip(np.sort(np.linalg.eigvalsh(k))[::-1][: min(components, len(x) - 1)], 0, None)
+    p = lam / (lam.sum() + 1e-10) + 1e-10
+    p /= p.sum()
+    sums = k.sum(1)
+    return {
+        "effective_rank": float(np.exp(-(p * np.log(p)).sum())),
+        "spectral_gap": float(lam[0] / (lam[1] + 1e-10)) if len(lam) > 1 else float("inf"),
+        "condition_number": float(lam[0] / (lam[-1] + 1e-10)),
+        "row_sum_skewness": float((((sums - sums.mean()) / (sums.std() + 1e-10)) ** 3).mean()),
+    }
+
+
+def vector_label_alignment(kernel: DataFrame, labels: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """Alignment of the kernel with the cosines of vector labels ``(id, y)``."""
+    lab = lambda a, b: labels.select(F.col("id").alias(a), F.col("y").cast("array<double>").alias(b))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    j = kernel.join(lab("i", "yi"), "i").join(lab("j", "yj"), "j")
+    same = dot("yi", "yj") / ((F.sqrt(dot("yi", "yi")) + eps) * (F.sqrt(dot("yj", "yj")) + eps))
+    s = j.withColumn("l", same).agg(F.sum(F.col("k") * F.col("l")).alias("kl"), F.sum(F.col("k") ** 2).alias("kk"), F.sum(F.col("l") ** 2).alias("ll"))
+    n = labels.agg(F.count("*").alias("n"))
+    full = lambda c: 2 * F.col(c) + F.col("n")
+    return s.crossJoin(n).select((full("kl") / F.sqrt(full("kk") * full("ll") + eps)).alias("alignment"))
 
 
-def severity(skewness: Column, isotropy_score: Column, contrast: Column, consistency: Column) -> Column:
-    """Struct of the score, its grade and the advice its rules give."""
-    rules = [(skewness > 2, 2, "strong hubness: refine or rescale"), ((skewness > 1) & (skewness <= 2), 1, "some hubness"), (isotropy_score < 0.3, 2, "anisotropic: whiten"), (contrast < 0.5, 1, "distances concentrate: reduce dimension"), (consistency < 0.5, 1, "unstable neighbours")]
+def neighbours_kept(base: DataFrame, k: int = 10, noise: float = 0.01, perturbations: int = 3, metric: str = "euclidean") -> DataFrame:
+    """One row ``consistency``: mean share of the k neighbours that stay after Gaussian noise of ``noise`` deviations of all values, from hashes."""
+    sd = base.select(F.explode("v").alias("x")).agg(F.stddev_pop("x").alias("sd"))
+    unit = lambda i, s: (F.pmod(F.xxhash64("id", i, s), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+    def shaken(seed: int) -> DataFrame:
+        normal = lambda i: F.sqrt(-2 * F.log(unit(i, F.lit(seed)))) * F.cos(2 * np.pi * unit(i, F.lit(seed + 1000)))
+        return base.crossJoin(F.broadcast(sd)).select("id", F.transform("v", lambda x, i: x + noise * F.col("sd") * normal(i)).alias("v"))
+
+    near = lambda d, c: knn(d, k, metric).groupBy("q").agg(F.collect_set("n").alias(c))
+    own, out = near(base, "a").persist(), None
+    for seed in range(perturbations):
+        one = own.join(near(shaken(seed), "b"), "q").select((F.size(F.array_intersect("a", "b")) / float(k)).alias("kept"))
+        out = one if out is None else out.union(one)
+    return out.agg(F.avg("kept").alias("consistency"))
+
+
+def suggested_k(n: Column, n_max: int = 20_000) -> Column:
+    return F.greatest(F.lit(5), F.bround(F.sqrt(F.least(n, F.lit(n_max))) / 2)).cast("long")
+
+
+def suggested_dimension(estimate: Column, dims: Column) -> Column:
+    """One and a half times the intrinsic dimension, at least 4 and its whole part, at most the dimensions there are; a quarter of those stands for a missing estimate."""
+    e = F.coalesce(F.nanvl(estimate, F.lit(None).cast("double")), F.greatest(F.lit(2.0), F.floor(dims / 4).cast("double")))
+    return F.least(dims.cast("long"), F.greatest(F.lit(4), F.floor(e), F.bround(1.5 * e)).cast("long"))
+
+
+def severity(skewness: Column, antihub_ratio: Column, dimension: Column, dims: Column, participation: Column, concentration_ratio: Column, consistency: Column, uniformity_: Column) -> Column:
+    """Struct of the score, its grade and the advice its seven groups of rules give."""
+    ratio = F.when(dims > 0, F.nanvl(dimension, F.lit(None).cast("double")) / dims)
+    rules = [
+        (skewness > 5, 2, "strong hubness: reduce dimensions or rescale distances"),
+        ((skewness > 2) & (skewness <= 5), 1, "some hubness: neighbours may mislead"),
+        (antihub_ratio > 0.3, 1, "many rows are nobody's neighbour"),
+        (ratio < 0.1, 2, "intrinsic dimension far below the width: reduce dimensions"),
+        ((ratio >= 0.1) & (ratio < 0.3), 1, "intrinsic dimension below the width: reducing dimensions may help"),
+        (participation < 0.1 * dims, 2, "very anisotropic: whiten or align"),
+        ((participation >= 0.1 * dims) & (participation < 0.3 * dims), 1, "somewhat anisotropic: whitening may help"),
+        (concentration_ratio > 0.8, 2, "distances concentrate: neighbours degrade"),
+        (consistency < 0.5, 1, "neighbours change under small noise"),
+        (uniformity_ > -1.0, 1, "rows cluster: spread them"),
+    ]
     score = sum((F.when(c, w).otherwise(0) for c, w, _ in rules), F.lit(0))
-    return F.struct(score.alias("score"), F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low").alias("grade"), F.array_compact(F.array(*(F.when(c, t) for c, _, t in rules))).alias("advice"))
+    advice = F.array_compact(F.array(*(F.when(c, t) for c, _, t in rules)))
+    return F.struct(score.alias("score"), F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low").alias("grade"), F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("nothing to mend"))).alias("advice"))
+
+
+class EdgeCache:
+    """Neighbour tables by name, the last ``most`` used of them persisted; one that falls out is unpersisted."""
+
+    def __init__(self, most: int = 8):
+        self.most, self._kept = most, {}
+
+    def get(self, name, make) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = make().persist()
+            while len(self._kept) > self.most:
+                self._kept.pop(next(iter(self._kept))).unpersist()
+        else:
+            self._kept[name] = self._kept.pop(name)  # last used last
+        return self._kept[name]
+
+    def __len__(self) -> int:
+        return len(self._kept)
+
+    def clear(self) -> None:
+        while self._kept:
+            self._kept.popitem()[1].unpersist()
+
+
+def analysis(base: DataFrame, n_max: int = 20_000, cache: EdgeCache | None = None) -> DataFrame:
+    """One row with all parts of the report on ``base(id, v)``: structs ``intrinsic``, ``hubness``, ``geometry``, ``kernel``, ``suggested``, ``severity``.
+
+    Above ``n_max`` rows a hash-ordered subsample is analysed; ``input_rows`` tells how many there are.
+    """
+    from .resampling import subsample
+
+    spark, cache = base.sparkSession, EdgeCache() if cache is None else cache
+    n = base.count()
+    sample = base if n <= n_max else subsample(base, "id", n_max)
+    rows = min(n, n_max)
+    k = max(5, round(np.sqrt(rows) / 2))
+    edges = cache.get(("edges", max(k, 20)), lambda: knn(sample, max(k, 20)))
+    p = pairs(sample).persist()
+    near = edges.filter(F.col("rk") <= k)
+    hub = hubness(k_occurrence(near, sample), near).withColumn("antihub_ratio", F.col("antihubs") / F.col("n"))
+    iso = isotropy(sample)
+    unit = sample.select("id", F.transform("v", lambda x: x / (F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)) + 1e-12)).alias("v"))
+    sigma = median_sigma(p).first()["sigma"] or 0.0
+    spectrum = kernel_spectrum(sample, sigma)
+    dims = intrinsic_dimension(edges, 20).drop("consensus", "uncertainty").crossJoin(correlation_dimension(p, edges)).withColumn("l_pca", F.lit(iso["l_pca"]))
+    dims = dims.select("*", *consensus("two_nn", "mle", "mom", "l_pca"))
+    geometry = concentration(p).withColumnRenamed("mean", "mean_distance").crossJoin(uniformity(pairs(unit))).crossJoin(neighbours_kept(sample, k))
+    geometry = geometry.select("*", *(F.lit(iso[c]).alias(c) for c in ("participation_ratio", "effective_rank", "score")))
+    struct = lambda d, name: d.select(F.struct(*d.columns).alias(name))
+    one = struct(dims, "intrinsic").crossJoin(struct(hub, "hubness")).crossJoin(struct(geometry, "geometry"))
+    one = one.crossJoin(struct(spark.createDataFrame([(float(sigma), *spectrum.values())], ", ".join(f"{c} double" for c in ("sigma", *spectrum))), "kernel"))
+    width = F.lit(iso["dims"])
+    suggested = F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(sigma)).alias("sigma"), suggested_dimension(F.col("intrinsic.consensus"), width).alias("dimension"))
+    graded = severity(F.col("hubness.skewness"), F.col("hubness.antihub_ratio"), F.col("intrinsic.consensus"), width, F.col("geometry.participation_ratio"), F.col("geometry.min_max_ratio"), F.col("geometry.consistency"), F.col("geometry.uniformity"))
+    return one.select(F.lit(n).cast("long").alias("input_rows"), width.cast("long").alias("width"), "*", suggested.alias("suggested"), graded.alias("severity"))
 
 
 def tidy(one_row: DataFrame, category: str) -> DataFrame:
     """``category, metric, value`` of a one-row report."""
     cols = one_row.columns
     return one_row.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], cols, "metric", "value").select(F.lit(category).alias("category"), "metric", "value")
+
+
+def tidy_analysis(report: DataFrame) -> DataFrame:
+    """The numbers of an ``analysis`` as ``category, metric, value``; its JSON is ``to_json(struct(*))``."""
+    out = None
+    for part in ("intrinsic", "hubness", "geometry", "kernel", "suggested"):
+        one = tidy(report.select(f"{part}.*"), part)
+        out = one if out is None else out.union(one)
+    return out.union(tidy(report.select("severity.score"), "severity"))

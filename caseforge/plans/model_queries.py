@@ -14,17 +14,18 @@ from ..operators import losses as L
 from ..operators import metrics as M
 from ..operators import models as MO
 from ..operators import resampling as R
+from ..operators import trees
 from ..operators import vectors as V
 from ..operators.refine import Refiner
 from .registry import query, table
-from .vector_queries import TRAIN, UNIT, _base, _train_edges, _unit
+from .vector_queries import UNIT, P, _base, _unit
 
-SPLIT = "o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS priority, (o_orderkey % 2)::INT AS split, (o_orderkey % 5 = 0)::INT AS role FROM orders WHERE o_orderkey < 2000)"
+SPLIT = "o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderpriority END AS priority, (o_orderkey % 2)::INT AS split, (o_orderkey % 5 = 0)::INT AS role FROM orders)"
 
 
 def _orders(spark, sf_dir):
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").filter(k < 2000)
+    o = table(spark, sf_dir, "orders")
     return o.select(k.alias("k"), F.when(k % 4 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 6 != 0, F.col("o_orderpriority")).alias("priority"), (k % 2).cast("int").alias("split"), (k % 5 == 0).cast("int").alias("role"))
 
 
@@ -114,9 +115,9 @@ def ici(spark, sf_dir):
     return _fusion(spark, sf_dir).select("doc_id", F.round(MO.ici("p_t", "p_m", "p_x"), 6).alias("ici"))
 
 
-@query("mod09_risk_grid", f"WITH {F3}, g AS (SELECT c, l FROM (VALUES (0.5::DOUBLE), (0.65), (0.8)) a(c), (VALUES (0.0::DOUBLE), (0.5)) b(l)) SELECT doc_id, c, l, round(least(1, greatest(0, (1 - l) * least({MEAN3} * c, (1 - {MEAN3}) * (1 - c)) / (c * (1 - c)) + l * 2 * {SD3})), 6) AS risk FROM f, g")
+@query("mod09_risk_grid", f"WITH {F3}, g AS (SELECT c, l FROM (VALUES (0.35::DOUBLE), (0.5), (0.65), (0.8), (0.9)) a(c), (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) b(l)) SELECT doc_id, c, l, round(least(1, greatest(0, (1 - l) * least({MEAN3} * c, (1 - {MEAN3}) * (1 - c)) / (c * (1 - c)) + l * 2 * {SD3})), 6) AS risk FROM f, g")
 def risk_grid(spark, sf_dir):
-    g = spark.createDataFrame([(c, x) for c in (0.5, 0.65, 0.8) for x in (0.0, 0.5)], "c double, l double")
+    g = spark.createDataFrame([(c, x) for c in (0.35, 0.5, 0.65, 0.8, 0.9) for x in (0.0, 0.25, 0.5, 0.75, 1.0)], "c double, l double")
     r = MO.decision_risk(F.col("c"), F.col("l"), "p_t", "p_m", "p_x")
     return _fusion(spark, sf_dir).crossJoin(F.broadcast(g)).select("doc_id", "c", "l", F.round(r, 6).alias("risk"))
 
@@ -137,33 +138,116 @@ def first_split(spark, sf_dir):
 
 @query("mod11_tree_thresholds")
 def tree_thresholds(spark, sf_dir):
-    return MO.tree_thresholds(_fusion(spark, sf_dir), ["split"], "p_t", "cls")
+    f = _fusion(spark, sf_dir)
+    plain = MO.tree_thresholds(f, ["split"], "p_t", "cls").withColumn("balanced", F.lit(False))
+    return plain.union(MO.tree_thresholds(f, ["split"], "p_t", "cls", balanced=True).withColumn("balanced", F.lit(True)))
 
 
-@query("mod14_threshold_pairs", f"WITH {CAND}, j AS (SELECT a.split, a.tau AS tau1, b.tau AS tau2, ((b.n0 - a.n0) + 2 * (t0 - b.n0)) / t0::DOUBLE AS e0, (a.n1 + (t1 - b.n1)) / t1::DOUBLE AS e1, (2 * a.n2 + (b.n2 - a.n2)) / t2::DOUBLE AS e2 FROM c a JOIN c b ON a.split = b.split AND a.tau < b.tau JOIN t ON t.split = a.split), m AS (SELECT *, round((e0 + e1 + e2) / 3, 12) AS moe FROM j) SELECT split, round(tau1, 6) AS tau1, round(tau2, 6) AS tau2, round(moe, 6) AS moe FROM m QUALIFY row_number() OVER (PARTITION BY split ORDER BY moe, tau1, tau2) = 1")
-def threshold_pairs(spark, sf_dir):
-    s = MO.threshold_search(_fusion(spark, sf_dir), ["split"], "p_t", "cls")
+# First splits of trees on three features; the weights of a class, or of a grade, make all count alike.
+def _first(impurity: str, gain: str) -> str:
+    return f"WITH {F3}, cw AS (SELECT split, cls, count(*) AS c, sum(count(*)) OVER (PARTITION BY split) / (3.0::DOUBLE * count(*)) AS w FROM f GROUP BY split, cls), l AS (SELECT split, f.cls, w, unnest([0, 1, 2]) AS feature, unnest([p_t, p_m, p_x]) AS v FROM f JOIN cw USING (split, cls)), g AS (SELECT split, feature, v, count(*) AS n, sum(w * (cls = 0)::INT) AS w0, sum(w * (cls = 1)::INT) AS w1, sum(w * (cls = 2)::INT) AS w2 FROM l GROUP BY ALL), u AS (SELECT split, feature, v, lead(v) OVER d AS nxt, sum(n) OVER d AS n, sum(n) OVER a AS m, sum(w0) OVER d AS l0, sum(w1) OVER d AS l1, sum(w2) OVER d AS l2, sum(w0) OVER a AS t0, sum(w1) OVER a AS t1, sum(w2) OVER a AS t2 FROM g WINDOW d AS (PARTITION BY split, feature ORDER BY v), a AS (PARTITION BY split, feature)), i AS (SELECT split, feature, (v + nxt) / 2 AS tau, {impurity} FROM u WHERE nxt IS NOT NULL AND n >= 5 AND m - n >= 5), k AS (SELECT split, feature, tau, round({gain}, 9) AS gain FROM i) SELECT split, feature, round(tau, 6) AS tau, round(gain, 5) AS gain FROM k WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY split ORDER BY gain DESC, feature, tau) = 1"
+
+
+def _sides(form: str) -> str:
+    """The impurity's form for all, the left and the right rows."""
+    return ", ".join(f"{form.format(*x)} AS {name}" for name, x in (("whole", ("t0", "t1", "t2")), ("lft", ("l0", "l1", "l2")), ("rgt", ("(t0 - l0)", "(t1 - l1)", "(t2 - l2)"))))
+
+
+GAIN = "whole - lft - rgt"
+GINI = _sides("({0} + {1} + {2}) - ({0} ** 2 + {1} ** 2 + {2} ** 2) / ({0} + {1} + {2})")
+SQUARED = _sides("({1} * 0.25 + {2}) - ({1} * 0.5 + {2}) ** 2 / ({0} + {1} + {2})")
+ABSOLUTE = _sides("least({1} * 0.5 + {2}, {0} * 0.5 + {2} * 0.5, {0} + {1} * 0.5)")
+P3, GRADES = ["p_t", "p_m", "p_x"], [0.0, 0.5, 1.0]
+
+
+def _first_split(spark, sf_dir, criterion):
+    rows = trees.weighted(_fusion(spark, sf_dir), ["split"], "cls", True, 3).withColumn("node", F.lit(1).cast("long"))
+    best = trees.best_splits(rows, ["split"], P3, "cls", GRADES, criterion, 5)
+    return best.select("split", "feature", F.round("tau", 6).alias("tau"), F.round("gain", 5).alias("gain"))
+
+
+@query("mod12_first_split", _first(GINI, GAIN))
+def multi_first_split(spark, sf_dir):
+    return _first_split(spark, sf_dir, "gini")
+
+
+@query("mod13_first_split_squared", _first(SQUARED, GAIN))
+def squared_first_split(spark, sf_dir):
+    return _first_split(spark, sf_dir, "squared")
+
+
+@query("mod13_first_split_absolute", _first(ABSOLUTE, GAIN))
+def absolute_first_split(spark, sf_dir):
+    return _first_split(spark, sf_dir, "absolute")
+
+
+@query("mod12_multi_feature_tree")
+def multi_feature_tree(spark, sf_dir):
+    f = _fusion(spark, sf_dir)
+    splits = trees.grown(f, ["split"], P3, "cls", GRADES, depth=3, min_leaf=5, balanced=True)
+    return trees.predicted(f, f, splits, ["split"], P3, "cls", GRADES, depth=3, balanced=True).select("split", "doc_id", "predicted")
+
+
+@query("mod13_regression_tree")
+def regression_tree(spark, sf_dir):
+    f, out = _fusion(spark, sf_dir), None
+    for criterion in ("squared", "absolute"):
+        splits = trees.grown(f, ["split"], ["p_t"], "cls", GRADES, criterion, max_leaves=3, min_leaf=5, balanced=True)
+        one = trees.predicted(f, f, splits, ["split"], ["p_t"], "cls", GRADES, criterion, balanced=True).select(F.lit(criterion).alias("criterion"), "doc_id", "predicted")
+        out = one if out is None else out.union(one)
+    return out.withColumn("class", F.least(F.lit(2), F.greatest(F.lit(0), F.floor(2 * F.col("predicted") + 0.5))).cast("int"))
+
+
+PAIRS = f"{CAND}, j AS (SELECT a.split, a.tau AS tau1, b.tau AS tau2, a.n0 + a.n1 + a.n2 AS below, b.n0 + b.n1 + b.n2 - a.n0 - a.n1 - a.n2 AS between, t0 + t1 + t2 - b.n0 - b.n1 - b.n2 AS above, (2 * a.n0 + (b.n0 - a.n0)) / t0::DOUBLE AS e0, (a.n1 + (t1 - b.n1)) / t1::DOUBLE AS e1, ((b.n2 - a.n2) + 2 * (t2 - b.n2)) / t2::DOUBLE AS e2 FROM c a JOIN c b ON a.split = b.split AND a.tau < b.tau JOIN t ON t.split = a.split), m AS (SELECT *, round((e0 + e1 + e2) / 2 / 3, 10) AS moe FROM j)"
+FIRST = "SELECT split, round(tau1, 6) AS tau1, round(tau2, 6) AS tau2, round(moe, 6) AS moe FROM m {} QUALIFY row_number() OVER (PARTITION BY split ORDER BY moe, tau1, tau2) = 1"
+
+
+def _threshold_pairs(spark, sf_dir, least):
+    s = MO.threshold_search(_fusion(spark, sf_dir), ["split"], "p_t", "cls", descending=True, min_per_class=least)
     return s.select("split", *(F.round(c, 6).alias(c) for c in ("tau1", "tau2", "moe")))
 
 
-@query("mod15_threshold_triples")
+@query("mod14_threshold_pairs", f"WITH {PAIRS} {FIRST.format('')}")
+def threshold_pairs(spark, sf_dir):
+    return _threshold_pairs(spark, sf_dir, 0)
+
+
+@query("mod14_balanced_pairs", f"WITH {PAIRS} {FIRST.format('WHERE below >= 3 AND between >= 3 AND above >= 3')}")
+def balanced_pairs(spark, sf_dir):
+    return _threshold_pairs(spark, sf_dir, 3)
+
+
+TRIPLES = f"{F3}, v AS (SELECT p_t AS x, sum((doc_id * 7 % 4 = 0)::INT) AS c0, sum((doc_id * 7 % 4 = 1)::INT) AS c1, sum((doc_id * 7 % 4 = 2)::INT) AS c2, sum((doc_id * 7 % 4 = 3)::INT) AS c3 FROM f GROUP BY ALL), u AS (SELECT x, sum(c0) OVER w AS n0, sum(c1) OVER w AS n1, sum(c2) OVER w AS n2, sum(c3) OVER w AS n3, lead(x) OVER w AS nxt FROM v WINDOW w AS (ORDER BY x)), t AS (SELECT max(n0) AS t0, max(n1) AS t1, max(n2) AS t2, max(n3) AS t3 FROM u), c AS (SELECT (x + nxt) / 2 AS tau, n0, n1, n2, n3 FROM u WHERE nxt IS NOT NULL UNION ALL SELECT 0.0, 0, 0, 0, 0 UNION ALL SELECT 1.0, t0, t1, t2, t3 FROM t), m AS (SELECT a.tau AS tau1, b.tau AS tau2, d.tau AS tau3, round(((b.n0 - a.n0 + 2 * (d.n0 - b.n0) + 3 * (t0 - d.n0)) / t0::DOUBLE + (a.n1 + d.n1 - b.n1 + 2 * (t1 - d.n1)) / t1 + (2 * a.n2 + b.n2 - a.n2 + t2 - d.n2) / t2 + (3 * a.n3 + 2 * (b.n3 - a.n3) + d.n3 - b.n3) / t3) / 3 / 4, 10) AS moe FROM c a JOIN c b ON a.tau < b.tau JOIN c d ON b.tau < d.tau, t)"
+
+
+@query("mod15_threshold_triples", f"WITH {TRIPLES} SELECT round(tau1, 6) AS tau1, round(tau2, 6) AS tau2, round(tau3, 6) AS tau3, round(moe, 6) AS moe FROM m ORDER BY m.moe, m.tau1, m.tau2, m.tau3 LIMIT 1")
 def threshold_triples(spark, sf_dir):
     f = _fusion(spark, sf_dir).withColumn("cls4", (F.col("doc_id") * 7 % 4).cast("int"))
-    return MO.threshold_search(f, [], "p_t", "cls4", n_classes=4)
+    s = MO.threshold_search(f, [], "p_t", "cls4", n_classes=4, absent="skip")
+    return s.select(*(F.round(c, 6).alias(c) for c in ("tau1", "tau2", "tau3", "moe")))
+
 
+def _ten_splits(spark, sf_dir):
+    f = _fusion(spark, sf_dir).drop("split")
+    return R.stratified_splits(f, "doc_id", "cls", 10).select("split", "doc_id", "role").join(f, "doc_id")
 
-@query("mod16_meta_threshold", f"WITH {F3} SELECT round(quantile_cont(p_t, 0.33), 6) AS p33, round(quantile_cont(p_t, 0.67), 6) AS p67, CASE WHEN corr(p_t, cls) >= 0 THEN 1 ELSE -1 END AS direction FROM f")
+
+@query("mod16_meta_threshold")
 def meta_threshold(spark, sf_dir):
-    return _fusion(spark, sf_dir).agg(F.round(F.percentile("p_t", 0.33), 6).alias("p33"), F.round(F.percentile("p_t", 0.67), 6).alias("p67"), F.when(F.corr("p_t", "cls") >= 0, 1).otherwise(-1).alias("direction"))
+    return trees.meta_thresholds(_ten_splits(spark, sf_dir), "split", "role", "p_t", "cls")
 
 
-@query("mod17_out_of_bag_vote", f"WITH {F3}, v AS (SELECT doc_id, (CASE WHEN p_t >= 0.67 THEN 2 WHEN p_t >= 0.33 THEN 1 ELSE 0 END) AS l FROM f UNION ALL SELECT doc_id, (CASE WHEN p_m >= 0.67 THEN 2 WHEN p_m >= 0.33 THEN 1 ELSE 0 END) FROM f UNION ALL SELECT doc_id, (CASE WHEN p_x >= 0.67 THEN 2 WHEN p_x >= 0.33 THEN 1 ELSE 0 END) FROM f), n AS (SELECT doc_id, l, count(*) AS n FROM v GROUP BY ALL) SELECT doc_id, arg_max(l, n * 10 - l)::INT AS l, max(n) AS votes FROM n GROUP BY doc_id")
+@query("mod17_out_of_bag_vote")
 def out_of_bag_vote(spark, sf_dir):
-    from ..operators.aggregates import majority
+    return trees.out_of_bag_votes(_ten_splits(spark, sf_dir), "split", "role", "doc_id", P3, "cls")
 
-    f = _fusion(spark, sf_dir)
-    v = f.select("doc_id", F.explode(F.array(*(S.by_thresholds(p, 0.33, 0.67) for p in ("p_t", "p_m", "p_x")))).alias("l"))
-    return majority(v, ["doc_id"], "l")
+
+@query("fea13_family", f"WITH {F3}, i AS (SELECT *, 2 * abs({MEAN3} - 0.5) * (1 - 2 * {SD3}) AS ici FROM f) SELECT doc_id, round(ici, 6) AS ici_only, round(p_t + p_m + p_x, 6) AS p_only, round(ici + p_t + p_m + p_x, 6) AS ici_plus_p FROM i")
+def family(spark, sf_dir):
+    f = _fusion(spark, sf_dir).withColumn("ici", MO.ici("p_t", "p_m", "p_x"))
+    for name in fe.FAMILIES:
+        f = fe.family(f, name, name)
+    return f.select("doc_id", *(F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 6).alias(n) for n in fe.FAMILIES))
 
 
 @query("win05_gated_selection", f"WITH {F3}, g AS (SELECT (doc_id % 7)::INT AS config, avg(abs(cls - said))::DOUBLE AS moe_abs, avg((cls = said)::INT) AS f1, 1.0 AS valid, false AS any_zero FROM f GROUP BY 1) SELECT config, round(moe_abs, 6) AS moe_abs, CASE WHEN moe_abs < 0.9 THEN 0 ELSE 2 END AS tier FROM g ORDER BY tier, moe_abs, f1 DESC, config LIMIT 1")
@@ -318,11 +402,14 @@ def composite(spark, sf_dir):
 
 
 # Survival: months from order to shipment of a line, returned lines have the event; the prediction follows the quantity.
-SURV = "s AS (SELECT l_orderkey AS k, l_linenumber, (date_diff('day', o_orderdate, l_shipdate) % 70 + 70) % 70 * 1.0::DOUBLE AS t, (l_quantity * 7 % 60) AS p, (l_returnflag = 'R')::INT AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 40 = 0)"
+SURV = "s AS (SELECT l_orderkey AS k, l_linenumber, (date_diff('day', o_orderdate, l_shipdate) % 70 + 70) % 70 * 1.0::DOUBLE AS t, (l_quantity * 7 % 60) AS p, (l_returnflag = 'R')::INT AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+COUNTED = "g AS (SELECT t, p, e, count(*) AS n FROM s GROUP BY ALL)"
 
 
 def _survival(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     return li.select(F.col("l_orderkey").alias("k"), "l_linenumber", F.pmod(F.date_diff("l_shipdate", "o_orderdate"), F.lit(70)).cast("double").alias("t"), (F.col("l_quantity") * 7 % 60).alias("p"), (F.col("l_returnflag") == "R").cast("int").alias("e"))
 
 
@@ -331,16 +418,14 @@ def recurrence_scores(spark, sf_dir):
     return _survival(spark, sf_dir).withColumn("time_score", F.round(EV.recurrence_time_score(F.col("e"), F.col("t"), F.col("p")), 6))
 
 
-@query("eva09_c_index", f"WITH {SURV} SELECT round(sum(CASE WHEN a.p < b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*), 6) AS c_index, count(*)::DOUBLE AS pairs FROM s a JOIN s b ON a.t < b.t AND a.e = 1")
+@query("eva09_c_index", f"WITH {SURV}, {COUNTED} SELECT round(sum(a.n * b.n * CASE WHEN a.p < b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.n * b.n), 6) AS c_index, sum(a.n * b.n)::DOUBLE AS pairs FROM g a JOIN g b ON a.t < b.t AND a.e = 1")
 def c_index(spark, sf_dir):
     return EV.c_index(_survival(spark, sf_dir), "t", "p", "e").withColumn("c_index", F.round("c_index", 6))
 
 
-@query("joi09_comparable_pairs", f"WITH {SURV} SELECT a.t, count(*)::BIGINT AS pairs FROM s a JOIN s b ON a.t < b.t AND a.e = 1 GROUP BY a.t")
+@query("joi09_comparable_pairs", f"WITH {SURV}, {COUNTED} SELECT a.t, sum(a.n * b.n)::BIGINT AS pairs FROM g a JOIN g b ON a.t < b.t AND a.e = 1 GROUP BY a.t")
 def comparable_pairs(spark, sf_dir):
-    s = EV.distinct_subjects(_survival(spark, sf_dir), "t", "p", "e")
-    a, b = s.filter("e = 1").groupBy("t").agg(F.sum("n").alias("na")), s.groupBy(F.col("t").alias("tb")).agg(F.sum("n").alias("nb"))
-    return a.join(b, F.col("t") < F.col("tb")).groupBy("t").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
+    return EV.comparable_pairs(_survival(spark, sf_dir), "t", "e")
 
 
 KM = f"{SURV}, steps AS (SELECT t, count(*) AS n, sum((e = 0)::INT) AS c FROM s GROUP BY t), r AS (SELECT t, 1 - c / sum(n) OVER (ORDER BY t DESC)::DOUBLE AS f FROM steps), km AS (SELECT t, CASE WHEN max((f <= 0)::INT) OVER (ORDER BY t) = 1 THEN 0.0 ELSE exp(sum(CASE WHEN f > 0 THEN ln(f) ELSE 0 END) OVER (ORDER BY t)) END AS g FROM r)"
@@ -357,7 +442,7 @@ def as_of(spark, sf_dir):
     return EV.km_at(hs, EV.censoring_km(_survival(spark, sf_dir), "t", "e"), "h").withColumn("g", F.round("g", 6))
 
 
-@query("eva11_td_auc", f"WITH {KM}, h AS (SELECT unnest([12.0, 24.0, 36.0, 60.0]::DOUBLE[]) AS h), gh AS (SELECT h, coalesce(arg_max(g, t), 1.0) AS gh FROM h LEFT JOIN km ON t <= h GROUP BY h), a AS (SELECT h, p, 1 / g AS w FROM s JOIN km USING (t), h WHERE e = 1 AND t <= h AND g > 0), b AS (SELECT gh.h, p, 1 / gh AS w FROM s, gh WHERE t > gh.h AND gh > 0) SELECT a.h AS horizon, round(sum(a.w * b.w * CASE WHEN a.p < b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.w * b.w), 6) AS auc FROM a JOIN b ON a.h = b.h GROUP BY a.h")
+@query("eva11_td_auc", f"WITH {KM}, h AS (SELECT unnest([12.0, 24.0, 36.0, 60.0]::DOUBLE[]) AS h), gh AS (SELECT h, coalesce(arg_max(g, t), 1.0) AS gh FROM h LEFT JOIN km ON t <= h GROUP BY h), a AS (SELECT h, p, sum(1 / g) AS w FROM s JOIN km USING (t), h WHERE e = 1 AND t <= h AND g > 0 GROUP BY ALL), b AS (SELECT gh.h, p, sum(1 / gh) AS w FROM s, gh WHERE t > gh.h AND gh > 0 GROUP BY ALL) SELECT a.h AS horizon, round(sum(a.w * b.w * CASE WHEN a.p < b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.w * b.w), 6) AS auc FROM a JOIN b ON a.h = b.h GROUP BY a.h")
 def td_auc(spark, sf_dir):
     return EV.time_dependent_auc(_survival(spark, sf_dir), "t", "p", "e").withColumn("auc", F.round("auc", 6))
 
@@ -407,23 +492,70 @@ def conditions(spark, sf_dir):
     return p.select("event_id", F.explode(AT.conditions(F.col("value"), F.col("z"), F.col("p_value"))).alias("c")).select("event_id", "c.condition", F.round("c.value", 6).alias("value"))
 
 
-@query("kdm01_forward", f"WITH {TRAIN}, k AS (SELECT q, y, exp(-(dist ** 2) / (2 * 5.0 ** 2)) ** 2 AS k FROM t) SELECT q, round(sum(k * y) / sum(k), 6) AS p, round(max(k) / sum(k), 6) AS max_weight, round(ln(sum(k) ** 2 / sum(k * k)), 6) AS log_ess, round(ln(sum(k)), 6) AS log_marginal, round(ln(sum(k)) - sum(k * ln(k)) / sum(k), 6) AS weight_entropy FROM k GROUP BY q")
+# Kernel density: every row with every prototype, itself too; labels soft by certainty, prior weights by the id.
+KDM = f"{P}, pr AS (SELECT id, (id % 7 + 1)::DOUBLE AS w, 0.5 + CASE WHEN label < 5 THEN 0.5 ELSE -0.5 END * CASE id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 ELSE 0.25 END AS y FROM e), two AS (SELECT i AS q, j AS n, dist FROM p UNION ALL SELECT j, i, dist FROM p UNION ALL SELECT id, id, 0.0 FROM e), k AS (SELECT q, n, y, CASE WHEN y IN (0, 1) THEN 0 ELSE -y * ln(y) - (1 - y) * ln(1 - y) END AS h, w * exp(-(dist ** 2) / (2 * 5.0 ** 2)) ** 2 AS k FROM two JOIN pr ON pr.id = n), g AS (SELECT q, sum(k * y) / sum(k) AS p, sum(k * h) / sum(k) AS aleatoric, max(k) / sum(k) AS max_weight, ln(sum(k) ** 2 / sum(k * k)) AS log_ess, ln(sum(k)) AS log_marginal, ln(sum(k)) - sum(CASE WHEN k > 0 THEN k * ln(k) ELSE 0 END) / sum(k) AS weight_entropy FROM k GROUP BY q), t AS (SELECT *, CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * ln(1 - p) ELSE 0 END AS total FROM g)"
+
+
+def _prototypes(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    c = F.when(F.col("vec_id") % 3 == 0, 1.0).when(F.col("vec_id") % 3 == 1, 0.5).otherwise(0.25)
+    return e.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("vec_id") % 7 + 1).cast("double").alias("w"), S.soft_target((F.col("label") < 5).cast("int"), c).alias("y"))
+
+
+def _kdm(spark, sf_dir):
+    return AT.kdm_signals(V.kernel_sums(_base(spark, sf_dir), _prototypes(spark, sf_dir), 5.0))
+
+
+@query("kdm01_forward", f"WITH {KDM} SELECT q, round(p, 6) AS p, round(max_weight, 6) AS max_weight, round(log_ess, 6) AS log_ess, round(log_marginal, 6) AS log_marginal, round(weight_entropy, 6) AS weight_entropy FROM t")
 def kdm_forward(spark, sf_dir):
-    f = AT.kdm_forward(_train_edges(spark, sf_dir).withColumn("w", F.lit(1.0)), 5.0)
-    return f.select("q", *(F.round(c, 6).alias(c) for c in ("p", "max_weight", "log_ess", "log_marginal", "weight_entropy")))
+    return _kdm(spark, sf_dir).select("q", *(F.round(c, 6).alias(c) for c in ("p", "max_weight", "log_ess", "log_marginal", "weight_entropy")))
 
 
-@query("kdm02_entropy", f"WITH {TRAIN}, k AS (SELECT q, y, exp(-(dist ** 2) / (2 * 5.0 ** 2)) ** 2 AS k FROM t), pr AS (SELECT q, sum(k * y) / sum(k) AS p FROM k GROUP BY q) SELECT q, round(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END + CASE WHEN p < 1 THEN -(1 - p) * ln(1 - p) ELSE 0 END, 5) AS total_entropy FROM pr")
+@query("kdm02_entropy", f"WITH {KDM} SELECT q, round(total, 5) AS total_entropy, round(aleatoric, 5) AS aleatoric, round(total - aleatoric, 5) AS epistemic FROM t")
 def kdm_entropy(spark, sf_dir):
-    return AT.kdm_forward(_train_edges(spark, sf_dir).withColumn("w", F.lit(1.0)), 5.0).select("q", F.round("total_entropy", 5).alias("total_entropy"))
+    return _kdm(spark, sf_dir).select("q", *(F.round(c, 5).alias(c) for c in ("total_entropy", "aleatoric", "epistemic")))
+
+
+def _fit(spark, sf_dir, rows=AT.MAX_PROTOTYPES, **options):
+    """A model fitted to at most ``rows`` rows, those with the least hashes, and its prototypes."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"))
+    mem = R.subsample(e, "vec_id", rows).collect()
+    x, y = np.array([r["v"] for r in mem]), np.array([float(r["y"]) for r in mem])
+    model = AT.Kdm(**options).fit(x, y)
+    return model, model.prototypes(spark, [r["vec_id"] for r in mem], x)
 
 
 @query("kdm01_train")
 def kdm_train(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"), (F.col("label") < 5).cast("int").alias("y"))
-    rows = e.orderBy(R.hash_order(42, "vec_id"), "vec_id").limit(70).collect()
-    w, sigma = AT.kdm_train(np.array([r["v"] for r in rows]), np.array([float(r["y"]) for r in rows]), epochs=50)
-    return spark.createDataFrame([(r["vec_id"], float(x), sigma) for r, x in zip(rows, w)], "prototype long, weight double, sigma double")
+    """All rows scored by a model whose prototypes are a bounded sample; a prototype doesn't vote on itself."""
+    model, prototypes = _fit(spark, sf_dir, epochs=100)
+    return AT.kdm_signals(V.kernel_sums(_base(spark, sf_dir), prototypes, model.sigma, leave_self_out=True)).select("q", "p", "total_entropy")
+
+
+@query("kdm03_drift")
+def kdm_drift(spark, sf_dir):
+    """How far prototype labels move in training: hard ones not at all, smoothed ones do."""
+    rows = []
+    for smooth in (0.0, 0.1):
+        model, _ = _fit(spark, sf_dir, 200, epochs=50, train_labels=True, smooth=smooth)
+        rows.append((smooth, float(model.drift.max()), bool(model.drift.max() < 1e-9)))
+    return spark.createDataFrame(rows, "smooth double, max_drift double, fixed boolean")
+
+
+SEEDS = f"{P}, seed AS (SELECT unnest([1, 2, 3])::BIGINT AS seed), two AS (SELECT i AS q, j AS n, dist FROM p UNION ALL SELECT j, i, dist FROM p), k AS (SELECT seed, q, (label < 5)::INT AS y, (n * seed % 7 + 1) * exp(-(dist ** 2) / (2 * 5.0 ** 2)) ** 2 AS k FROM two JOIN e ON e.id = n, seed), r AS (SELECT seed, q, round(sum(k * y) / sum(k), 9) AS p FROM k GROUP BY ALL)"
+
+
+@query("kdm04_seed_averages", f"WITH {SEEDS} SELECT q, round(avg(p), 6) AS mean, round(stddev_pop(p), 6) AS deviation, (avg((p >= 0.5)::INT) > 0.5)::INT AS vote, round(greatest(avg((p >= 0.5)::INT), 1 - avg((p >= 0.5)::INT)), 6) AS agreement FROM r GROUP BY q")
+def seed_averages(spark, sf_dir):
+    """Leave-one-out probabilities of three models, whose prior weights differ by a seed, averaged."""
+    own, out = _prototypes(spark, sf_dir), None
+    y = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") < 5).cast("double").alias("y"))
+    for seed in (1, 2, 3):
+        pr = own.select("id", "v", (F.col("id") * seed % 7 + 1).cast("double").alias("w")).join(y, "id")
+        one = AT.kdm_signals(V.kernel_sums(_base(spark, sf_dir), pr, 5.0, leave_self_out=True)).select("q", F.round("p", 9).alias("p"), F.lit(seed).alias("seed"))
+        out = one if out is None else out.union(one)
+    m = AT.seeds_averaged(out, ["q"])
+    return m.select("q", "vote", *(F.round(c, 6).alias(c) for c in ("mean", "deviation", "agreement")))
 
 
 SIM = f"{UNIT}, z AS (SELECT i, j, li = lj AS same, abs(li - lj) AS gap, 1 - dist ** 2 / 2 AS s, dist FROM p UNION ALL SELECT j, i, li = lj, abs(li - lj), 1 - dist ** 2 / 2, dist FROM p)"
@@ -436,9 +568,10 @@ def _similarities(spark, sf_dir):
     return two.join(lab("i", "li"), "i").join(lab("j", "lj"), "j").withColumn("s", 1 - F.col("dist") ** 2 / 2).withColumn("same", F.col("li") == F.col("lj")).withColumn("gap", F.abs(F.col("li") - F.col("lj"))).persist()
 
 
-@query("los01_nt_xent", f"WITH {SIM} SELECT round(avg(ln(a) - pos), 6) AS loss FROM (SELECT i, sum(exp(s / 0.5)) AS a, max(CASE WHEN j = (i + 1) % 500 THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL")
+@query("los01_nt_xent", f"WITH {SIM} SELECT round(avg(ln(a) - pos), 6) AS loss FROM (SELECT i, sum(exp(s / 0.5)) AS a, max(CASE WHEN j = (i + 1) % (SELECT count(*) FROM e) THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL")
 def nt_xent(spark, sf_dir):
-    return L.nt_xent(_similarities(spark, sf_dir), F.col("j") == (F.col("i") + 1) % 500).select(F.round("loss", 6).alias("loss"))
+    n = table(spark, sf_dir, "embeddings").count()
+    return L.nt_xent(_similarities(spark, sf_dir), F.col("j") == (F.col("i") + 1) % n).select(F.round("loss", 6).alias("loss"))
 
 
 @query("los02_supcon", f"WITH {SIM} SELECT round(avg(ln(a) - pos), 6) AS loss FROM (SELECT i, sum(exp(s / 0.5)) AS a, avg(CASE WHEN same THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL")
@@ -525,6 +658,27 @@ def serving_confidence(spark, sf_dir):
     return r.withColumn("confidence", F.get(F.array(F.lit("uncertain"), F.lit("borderline"), F.lit("clear")), S.by_thresholds("risk", 0.3, 0.6)))
 
 
+RELEVANCE = f"WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id < b.id), {NEAR}, d AS (SELECT q, unnest(['pirads', 'psav', 'months', 'age']) AS variable, unnest([abs(a.v[1] - b.v[1]), abs(a.v[2] - b.v[2]), abs(a.v[3] - b.v[3]), abs(a.v[4] - b.v[4])]) AS value FROM first JOIN e a ON a.id = q JOIN e b ON b.id = n), m AS (SELECT q, variable, value / max(value) OVER (PARTITION BY variable) AS value FROM d), c AS (SELECT q, variable, (value >= 0.1)::INT + (value >= 0.3)::INT + (value >= 0.6)::INT AS class FROM m), w AS (SELECT q, max(class) FILTER (variable = 'pirads') AS pirads, max(class) FILTER (variable = 'psav') AS psav, max(class) FILTER (variable = 'months') AS months, max(class) FILTER (variable = 'age') AS age FROM c GROUP BY q)"
+
+
+@query("srv03_explanation", f"{RELEVANCE} SELECT q, pirads, psav, months, age, array_to_string(list_filter([CASE WHEN pirads >= 1 THEN 'radiology_report' END, CASE WHEN psav >= 1 THEN 'psa_trend' END, CASE WHEN months >= 1 THEN 'previous_notes' END, CASE WHEN age >= 2 THEN 'vitals' END], lambda x: x IS NOT NULL), ',') AS reveal FROM w")
+def explanation(spark, sf_dir):
+    names = ["pirads", "psav", "months", "age"]
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *(F.get(F.col("embedding").cast("array<double>"), i).alias(n) for i, n in enumerate(names)))
+    x = AT.explained(AT.distance_attribution(V.knn(_base(spark, sf_dir), 1), rows, "id", names), names, dict.fromkeys(names, (0.1, 0.3, 0.6)))
+    return x.withColumn("reveal", F.array_join("reveal", ","))
+
+
+@query("srv04_record", f"WITH {F3}, r AS (SELECT doc_id, {MEAN3} AS p, round(2 * abs(0.65::DOUBLE * {MEAN3} - 0.5), 4) AS risk, doc_id % 9 <> 0 AS has FROM f) SELECT doc_id, CASE WHEN p >= 0.5 THEN 'yes' ELSE 'no' END AS decision, CASE WHEN risk >= 0.6 THEN 'clear' WHEN risk >= 0.3 THEN 'borderline' ELSE 'uncertain' END AS confidence, has AS ok, CASE WHEN has THEN 'ok' ELSE 'variable_weights must be an object' END AS reason FROM r")
+def record(spark, sf_dir):
+    """The tools' outputs joined into one record, as they are, and checked."""
+    mean, _ = MO.spread("p_t", "p_m", "p_x")
+    tools = _fusion(spark, sf_dir).select("doc_id", F.when(mean >= 0.5, "yes").otherwise("no").alias("decision"), MO.serving_risk(mean).alias("risk"))
+    tools = tools.withColumn("confidence", F.get(F.array(F.lit("uncertain"), F.lit("borderline"), F.lit("clear")), S.by_thresholds("risk", 0.3, 0.6)))
+    checked = tools.withColumn("v", S.validated("treatment", F.col("decision"), F.col("doc_id") % 9 != 0))
+    return checked.select("doc_id", "decision", "confidence", "v.ok", "v.reason")
+
+
 @query("srv04_report_text", f"WITH {F3} SELECT doc_id, printf('Biopsy %s; combined probability %.2f.', CASE WHEN {MEAN3} >= 0.5 THEN 'recommended' ELSE 'not recommended' END, {MEAN3}) AS free_text FROM f")
 def report_text(spark, sf_dir):
     mean, _ = MO.spread("p_t", "p_m", "p_x")

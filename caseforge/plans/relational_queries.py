@@ -37,9 +37,9 @@ def vector_arrays(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("src06_interface_route", "WITH k AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS key FROM events WHERE event_id % 3 = 0 GROUP BY user_id) SELECT user_id, key, CASE key WHEN 'click|error|purchase|signup|view' THEN 'task1' WHEN 'click|error|signup|view' THEN 'task2' END AS task FROM k")
+@query("src06_interface_route", "WITH k AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS key FROM events GROUP BY user_id) SELECT user_id, key, CASE key WHEN 'click|error|purchase|signup|view' THEN 'task1' WHEN 'click|error|signup|view' THEN 'task2' END AS task FROM k")
 def interface_route(spark, sf_dir):
-    k = table(spark, sf_dir, "events").filter("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("slugs")).select("user_id", readers.interface_key(F.col("slugs")).alias("key"))
+    k = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("slugs")).select("user_id", readers.interface_key(F.col("slugs")).alias("key"))
     routes = spark.createDataFrame([("click|error|purchase|signup|view", "task1"), ("click|error|signup|view", "task2")], "key string, task string")
     return k.join(F.broadcast(routes), "key", "left")
 
@@ -59,9 +59,9 @@ def left_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("joi02_three_way", "SELECT a.l_orderkey, a.l_linenumber, a.l_quantity + o.o_totalprice + c.c_acctbal AS total FROM lineitem a JOIN orders o ON a.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey WHERE a.l_quantity > 45")
+@query("joi02_three_way", "SELECT a.l_orderkey, a.l_linenumber, a.l_quantity + o.o_totalprice + c.c_acctbal AS total FROM lineitem a JOIN orders o ON a.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey")
 def three_way(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     return li.join(o, "l_orderkey").join(c, "o_custkey").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + F.col("o_totalprice") + F.col("c_acctbal")).alias("total"))

@@ -99,18 +99,13 @@ def participation_ratio(spark, sf_dir):
 
 @query("vec07_isotropy")
 def isotropy(spark, sf_dir):
-    return spark.createDataFrame([tuple(V.isotropy(_base(spark, sf_dir)).values())], "participation_ratio double, effective_rank double, score double")
+    iso = V.isotropy(_base(spark, sf_dir))
+    return spark.createDataFrame([tuple(iso.values())], ", ".join(f"{c} double" for c in iso))
 
 
 @query("vec08_neighbour_consistency")
 def neighbour_consistency(spark, sf_dir):
-    """Mean overlap of the ten neighbours with those after a small noise drawn from a hash."""
-    b = _base(spark, sf_dir)
-    noise = lambda x, i: x + 0.01 * (F.pmod(F.xxhash64("id", i, F.lit(3)), F.lit(2001)) / 1000.0 - 1)
-    shaken = b.select("id", F.transform("v", noise).alias("v"))
-    near = lambda d, c: V.knn(d, 10).groupBy("q").agg(F.collect_set("n").alias(c))
-    both = near(b, "a").join(near(shaken, "b"), "q")
-    return both.agg(F.avg(F.size(F.array_intersect("a", "b")) / 10.0).alias("consistency"))
+    return V.neighbours_kept(_base(spark, sf_dir))
 
 
 UNIT = "e AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / (sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))) + 1e-12)) AS v, label FROM embeddings), p AS (SELECT a.id AS i, b.id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.id < b.id)"
@@ -144,34 +139,70 @@ def kernel_alignment(spark, sf_dir):
     return V.kernel_alignment(V.rbf(p, V.median_sigma(p)), _labels(spark, sf_dir)).select(F.round("alignment", 6).alias("alignment"))
 
 
-@query("vec12_intrinsic_dimension", f"WITH {EDGES}, b AS (SELECT q, max(dist) FILTER (rk = 1) AS r1, max(dist) FILTER (rk = 2) AS r2, max(dist) AS rmax, sum(ln(dist)) AS logs, count(*) AS m FROM edges WHERE dist > 0 GROUP BY q), d AS (SELECT count(*) FILTER (r2 > r1) / sum(ln(r2 / r1)) FILTER (r2 > r1) AS two_nn, avg((m - 1) / (m * ln(rmax) - logs)) AS mle FROM b) SELECT round(two_nn, 6) AS two_nn, round(mle, 6) AS mle, round((two_nn + mle) / 2, 6) AS consensus, round(abs(two_nn - mle) / 2, 6) AS uncertainty FROM d")
+@query("vec11_vector_labels", f"WITH {P}, s AS (SELECT median(dist) AS sigma FROM p WHERE dist > 0), k AS (SELECT exp(-(dist ** 2) / (2 * sigma ** 2)) AS k, list_cosine_similarity(a.v[1:3], b.v[1:3]) AS l FROM p JOIN e a ON a.id = i JOIN e b ON b.id = j, s), n AS (SELECT count(*) AS n FROM e) SELECT round((2 * sum(k * l) + any_value(n)) / sqrt((2 * sum(k * k) + any_value(n)) * (2 * sum(l * l) + any_value(n)) + 1e-10), 5) AS alignment FROM k, n")
+def vector_labels(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    p = V.pairs(b).persist()
+    return V.vector_label_alignment(V.rbf(p, V.median_sigma(p)), b.select("id", F.slice("v", 1, 3).alias("y"))).select(F.round("alignment", 5).alias("alignment"))
+
+
+@query("vec10_kernel_spectrum")
+def kernel_spectrum(spark, sf_dir):
+    """Spectrum of the kernel of at most ``V.SPECTRUM_ROWS`` rows, a documented sample."""
+    b = _base(spark, sf_dir)
+    k = V.kernel_spectrum(b, V.median_sigma(V.pairs(b)).first()["sigma"])
+    return spark.createDataFrame([tuple(k.values())], ", ".join(f"{c} double" for c in k))
+
+
+DIMENSION = f"{EDGES}, b AS (SELECT q, max(dist) FILTER (rk = 1) AS r1, max(dist) FILTER (rk = 2) AS r2, max(dist) AS rmax, sum(ln(dist)) AS logs, avg(dist) AS mean, count(*) AS m FROM edges WHERE dist > 0 GROUP BY q), d AS (SELECT count(*) FILTER (r2 > r1) / sum(ln(r2 / r1)) FILTER (r2 > r1) AS two_nn, avg((m - 1) / (m * ln(rmax) - logs)) AS mle, avg(mean / (rmax - mean)) AS mom FROM b), dim AS (SELECT *, list_median([two_nn, mle, mom]) AS consensus, list_stddev_pop([two_nn, mle, mom]) AS uncertainty FROM d)"
+
+
+@query("vec12_intrinsic_dimension", f"WITH {DIMENSION} SELECT round(two_nn, 6) AS two_nn, round(mle, 6) AS mle, round(mom, 6) AS mom, round(consensus, 6) AS consensus, round(uncertainty, 6) AS uncertainty FROM dim")
 def intrinsic_dimension(spark, sf_dir):
     d = V.intrinsic_dimension(V.knn(_base(spark, sf_dir), 10))
     return d.select(*(F.round(c, 6).alias(c) for c in d.columns))
 
 
-@query("vec13_suggested_sizes", "SELECT count(*) AS n, greatest(5, round_even(sqrt(least(count(*), 2000)) / 2, 0))::BIGINT AS k, greatest(4, least(64, 30))::BIGINT AS target FROM embeddings")
+@query("vec12_local_dimensions", f"WITH {DIMENSION} SELECT q, round((m - 1) / (m * ln(rmax) - logs), 5) AS mle, round(mean / (rmax - mean), 5) AS mom FROM b")
+def local_dimensions(spark, sf_dir):
+    return V.local_dimensions(V.knn(_base(spark, sf_dir), 10)).select("q", F.round("mle", 5).alias("mle"), F.round("mom", 5).alias("mom"))
+
+
+@query("vec12_correlation_dimension", f"WITH {EDGES.replace('rk <= 10', 'rk <= 20')}, r AS (SELECT median(dist) FILTER (rk = 10) AS a, median(dist) FILTER (rk = 20) AS b FROM edges), c AS (SELECT sum((dist < a)::INT) AS na, sum((dist < b)::INT) AS nb, any_value(a) AS a, any_value(b) AS b FROM p, r) SELECT round((ln(nb) - ln(na)) / (ln(b) - ln(a)), 5) AS corr_int FROM c")
+def correlation_dimension(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    return V.correlation_dimension(V.pairs(b), V.knn(b, 20)).select(F.round("corr_int", 5).alias("corr_int"))
+
+
+@query("vec13_suggested_sizes", f"WITH {DIMENSION} SELECT n, greatest(5, round_even(sqrt(least(n, 20000)) / 2, 0))::BIGINT AS k, least(64, greatest(4, floor(consensus), round_even(1.5 * consensus, 0)))::BIGINT AS dimension FROM dim, (SELECT count(*) AS n FROM embeddings)")
 def suggested_sizes(spark, sf_dir):
+    d = V.intrinsic_dimension(V.knn(_base(spark, sf_dir), 10))
     n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
-    return n.select("n", F.greatest(F.lit(5), F.bround(F.sqrt(F.least("n", F.lit(2000))) / 2)).cast("long").alias("k"), F.greatest(F.lit(4), F.least(F.lit(64), F.bround(F.lit(1.5 * 20)))).cast("long").alias("target"))
+    return n.crossJoin(d).select("n", V.suggested_k(F.col("n")).alias("k"), V.suggested_dimension(F.col("consensus"), F.lit(64)).alias("dimension"))
+
 
+# Rows that cover the rules' ranges, from the ids of the labels.
+SEVERE = "x AS (SELECT doc_id, (doc_id * 37 % 101) / 101.0::DOUBLE * 8 AS skew, (doc_id * 53 % 97) / 97.0::DOUBLE AS ah, (doc_id * 71 % 89) / 89.0::DOUBLE * 40 AS dim, (doc_id * 13 % 83) / 83.0::DOUBLE * 40 AS pr, (doc_id * 17 % 79) / 79.0::DOUBLE AS cr, (doc_id * 19 % 73) / 73.0::DOUBLE AS nc, (doc_id * 23 % 71) / 71.0::DOUBLE * -2 AS uni FROM labels)"
 
-@query("vec14_severity")
+
+@query("vec14_severity", f"WITH {SEVERE}, s AS (SELECT doc_id, CASE WHEN skew > 5 THEN 2 WHEN skew > 2 THEN 1 ELSE 0 END + (ah > 0.3)::INT + CASE WHEN dim / 64 < 0.1 THEN 2 WHEN dim / 64 < 0.3 THEN 1 ELSE 0 END + CASE WHEN pr < 6.4 THEN 2 WHEN pr < 19.2 THEN 1 ELSE 0 END + CASE WHEN cr > 0.8 THEN 2 ELSE 0 END + (nc < 0.5)::INT + (uni > -1.0)::INT AS score, (skew > 2)::INT + (ah > 0.3)::INT + (dim / 64 < 0.3)::INT + (pr < 19.2)::INT + (cr > 0.8)::INT + (nc < 0.5)::INT + (uni > -1.0)::INT AS n FROM x) SELECT doc_id, score, CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' ELSE 'low' END AS grade, greatest(n, 1) AS advice FROM s")
 def severity(spark, sf_dir):
-    b = _base(spark, sf_dir)
-    edges = V.knn(b, 10).persist()
-    h = V.hubness(V.k_occurrence(edges, b), edges)
-    c = V.concentration(V.pairs(b))
-    iso = V.isotropy(b)["score"]
-    return h.crossJoin(c).select(V.severity(F.col("skewness"), F.lit(iso), F.col("relative_contrast"), F.lit(1.0)).alias("s")).select("s.*")
+    d = F.col("doc_id")
+    share = lambda a, m: d * a % m / F.lit(float(m))
+    s = V.severity(share(37, 101) * 8, share(53, 97), share(71, 89) * 40, F.lit(64), share(13, 83) * 40, share(17, 79), share(19, 73), share(23, 71) * -2)
+    return table(spark, sf_dir, "labels").select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.grade", F.size("s.advice").alias("advice"))
+
+
+@query("vec15_report")
+def report(spark, sf_dir):
+    """The whole analysis of the embeddings as one row, and as JSON."""
+    a = V.analysis(_base(spark, sf_dir))
+    return a.select("*", F.to_json(F.struct(*a.columns)).alias("json"))
 
 
 @query("vec15_tidy_report")
 def tidy_report(spark, sf_dir):
-    b = _base(spark, sf_dir)
-    edges = V.knn(b, 10).persist()
-    p = V.pairs(b).persist()
-    return V.tidy(V.hubness(V.k_occurrence(edges, b), edges), "hubness").union(V.tidy(V.concentration(p), "geometry")).union(V.tidy(V.median_sigma(p), "kernel"))
+    return V.tidy_analysis(V.analysis(_base(spark, sf_dir)))
 
 
 @query("vec16_pca_projection")
@@ -226,23 +257,63 @@ def grid_oof(spark, sf_dir):
     return _grid(spark, sf_dir).withColumn("p", F.round("p", 6))
 
 
-GRID_METRICS = f"{GRID}, s AS (SELECT config, p, (label < 5)::INT AS y FROM o JOIN e ON e.id = q), n AS (SELECT config, sum((y = 1 AND p >= 0.5)::INT) AS tp, sum((y = 0 AND p >= 0.5)::INT) AS fp, sum((y = 1 AND p < 0.5)::INT) AS fn, sum((y = 0 AND p < 0.5)::INT) AS tn, avg((p - y) ** 2) AS brier FROM s GROUP BY config), m AS (SELECT config, tp, fp, fn, tn, brier, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1_yes, 2.0::DOUBLE * tn / (2 * tn + fp + fn) AS f1_no FROM n)"
+# The study: 72 configurations on 50 stratified splits.
+STUDY_SPLITS = "sp AS (SELECT split, id, y, (place <= round(n * 0.2))::INT AS role FROM (SELECT split, vec_id AS id, (label < 5)::INT AS y, row_number() OVER (PARTITION BY split, label < 5 ORDER BY md5(concat_ws('|', '42', split::VARCHAR, vec_id::VARCHAR)), vec_id) AS place, count(*) OVER (PARTITION BY split, label < 5) AS n FROM embeddings, (SELECT unnest(range(50))::INT AS split)))"
+STUDY = f"{E}, {STUDY_SPLITS}, p AS (SELECT a.id AS q, b.id AS n, unnest(['euclidean', 'cosine']) AS metric, unnest([list_distance(a.v, b.v), list_cosine_distance(a.v, b.v)]) AS dist, (b.label < 5)::INT AS y, CASE b.id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 ELSE 0.25 END AS c FROM e a JOIN e b ON a.id <> b.id), rk AS (SELECT metric, h.split, q, dist, p.y, c, row_number() OVER (PARTITION BY metric, h.split, q ORDER BY dist, n) AS rk FROM p JOIN sp h ON h.id = q AND h.role = 1 JOIN sp t ON t.id = n AND t.role = 0 AND t.split = h.split), ks AS (SELECT unnest([1, 3, 5, 7, 9, 11, 15, 21, 31]) AS k), g AS (SELECT metric, split, k, q, avg(y) AS standard_uniform, sum(y / greatest(dist, 1e-10)) / sum(1 / greatest(dist, 1e-10)) AS standard_distance, sum(0.5 + c * (y - 0.5)) / (count(*) + 1e-10) AS fuzzy_uniform, sum((0.5 + c * (y - 0.5)) / greatest(dist, 1e-10)) / (sum(1 / greatest(dist, 1e-10)) + 1e-10) AS fuzzy_distance FROM rk JOIN ks ON rk <= k GROUP BY ALL), o AS (SELECT split, q, kind || '_k' || k || '_' || metric AS config, round(p, 9) AS p FROM (SELECT metric, split, k, q, unnest(['standard_uniform', 'standard_distance', 'fuzzy_uniform', 'fuzzy_distance']) AS kind, unnest([standard_uniform, standard_distance, fuzzy_uniform, fuzzy_distance]) AS p FROM g)), m AS (SELECT config, split, sum((e.label < 5 AND p >= 0.5)::INT) AS tp, sum((e.label >= 5 AND p >= 0.5)::INT) AS fp, sum((e.label < 5 AND p < 0.5)::INT) AS fn, sum((e.label >= 5 AND p < 0.5)::INT) AS tn, avg((p - (e.label < 5)::INT) ** 2) AS brier FROM o JOIN e ON e.id = q GROUP BY ALL), f AS (SELECT config, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1_yes, coalesce(2.0::DOUBLE * tn / nullif(2 * tn + fp + fn, 0), 0) AS f1_no, brier FROM m), best AS (SELECT config, round(avg((f1_yes + f1_no) / 2), 9) AS f1_macro, round(avg(brier), 9) AS brier, round(avg(f1_yes), 9) AS f1_yes FROM f GROUP BY config)"
+
 
+def _study(spark, sf_dir):
+    """Per configuration the metrics' means over the splits."""
+    from ..operators import resampling as R
 
-def _grid_metrics(spark, sf_dir):
-    y = _labels(spark, sf_dir).select(F.col("id").alias("q"), (F.col("label") < 5).cast("int").alias("y"))
-    return M.classification(_grid(spark, sf_dir).join(y, "q"), ["config"], "y", "p")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), (F.col("label") < 5).cast("int").alias("y"))
+    truth = e.withColumn("c", F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 0.5).otherwise(0.25))
+    p = MO.grid_over_splits(_base(spark, sf_dir), truth, R.stratified_splits(e, "id", "y", 50)).withColumn("p", F.round("p", 9))
+    each = M.classification(p.join(e.withColumnRenamed("id", "q"), "q"), ["config", "fold"], "y", "p")
+    names = ("f1_macro", "brier", "f1_yes", "balanced_accuracy", "mcc")
+    return each.groupBy("config").agg(*(F.round(F.avg(c), 9).alias(c) for c in names))
 
 
-@query("mod05_grid_metrics", f"WITH {GRID_METRICS} SELECT config, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round((f1_yes + f1_no) / 2, 6) AS f1_macro, round(brier, 6) AS brier FROM m")
+@query("mod05_grid_metrics", f"WITH {STUDY} SELECT config, round(f1_macro, 6) AS f1_macro, round(brier, 6) AS brier, round(f1_yes, 6) AS f1_yes FROM best")
 def grid_metrics(spark, sf_dir):
-    return _grid_metrics(spark, sf_dir).select("config", "tp", "fp", "fn", "tn", F.round("f1_macro", 6).alias("f1_macro"), F.round("brier", 6).alias("brier"))
+    return _study(spark, sf_dir).select("config", *(F.round(c, 6).alias(c) for c in ("f1_macro", "brier", "f1_yes")))
 
 
-@query("win04_select_best", f"WITH {GRID_METRICS} SELECT row_number() OVER (ORDER BY round((f1_yes + f1_no) / 2, 9) DESC, round(brier, 9), config) AS place, config, round((f1_yes + f1_no) / 2, 6) AS f1_macro FROM m QUALIFY place <= 5")
+@query("win04_select_best", f"WITH {STUDY} SELECT row_number() OVER (ORDER BY f1_macro DESC, brier, f1_yes DESC, config) AS place, config, round(f1_macro, 6) AS f1_macro FROM best QUALIFY place <= 5")
 def select_best(spark, sf_dir):
-    m = _grid_metrics(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("f1_macro", "brier", "f1_yes", "balanced_accuracy", "mcc")})
-    return MO.selected(m, 5).select("place", "config", F.round("f1_macro", 6).alias("f1_macro"))
+    return MO.selected(_study(spark, sf_dir), 5).select("place", "config", F.round("f1_macro", 6).alias("f1_macro"))
+
+
+# Nested folds: three parts of the vector as modalities, five outer splits with three inner folds.
+PARTS = {"p_t": (1, 21), "p_m": (22, 21), "p_x": (43, 22)}
+NESTED = f"{E}, {STUDY_SPLITS.replace('range(50)', 'range(5)')}, ip AS (SELECT *, (row_number() OVER (PARTITION BY split, role, y ORDER BY md5(concat_ws('|', '7', split::VARCHAR, id::VARCHAR)), id) - 1) % 3 AS inner_fold FROM sp), fo AS (SELECT split, 0 AS j, id, role FROM ip UNION ALL SELECT split, j + 1, id, (inner_fold = j)::INT FROM ip, (SELECT unnest(range(3)) AS j) WHERE role = 0), d AS (SELECT a.id AS q, b.id AS n, unnest(['p_t', 'p_m', 'p_x']) AS part, unnest([list_distance(a.v[1:21], b.v[1:21]), list_distance(a.v[22:42], b.v[22:42]), list_distance(a.v[43:64], b.v[43:64])]) AS dist, 0.5 + CASE b.id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 ELSE 0.25 END * ((b.label < 5)::INT - 0.5) AS s FROM e a JOIN e b ON a.id <> b.id), r AS (SELECT x.split, x.j, part, q, s, greatest(dist, 1e-10) AS dist, row_number() OVER (PARTITION BY x.split, x.j, part, q ORDER BY dist, n) AS rk FROM d JOIN fo x ON x.id = q AND x.role = 1 JOIN fo t ON t.id = n AND t.role = 0 AND t.split = x.split AND t.j = x.j), pr AS (SELECT split, j, part, q, CASE part WHEN 'p_t' THEN sum(s) / (count(*) + 1e-10) ELSE sum(s / dist) / (sum(1 / dist) + 1e-10) END AS p FROM r WHERE rk <= 5 GROUP BY split, j, part, q)"
+
+
+def _nested(spark, sf_dir):
+    from ..operators import resampling as R
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), (F.col("label") < 5).cast("int").alias("y"))
+    truth = e.withColumn("c", F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 0.5).otherwise(0.25))
+    roles = R.nested_roles(R.stratified_splits(e, "id", "y", 5), "id", "y")
+    b = _base(spark, sf_dir)
+    parts = {name: (b.select("id", F.slice("v", *at).alias("v")), {"weighted": name != "p_t"}) for name, at in PARTS.items()}
+    return MO.nested_probabilities(parts, truth, roles, 5)
+
+
+@query("spl05_nested_oof", f"WITH {NESTED} SELECT split, q AS id, (j = 0)::INT AS role, round(max(p) FILTER (part = 'p_t'), 6) AS p_t, round(max(p) FILTER (part = 'p_m'), 6) AS p_m, round(max(p) FILTER (part = 'p_x'), 6) AS p_x FROM pr GROUP BY split, j, q")
+def nested_oof(spark, sf_dir):
+    return _nested(spark, sf_dir).withColumns({c: F.round(c, 6) for c in PARTS})
+
+
+@query("spl05_meta_model")
+def meta_model(spark, sf_dir):
+    """The confidence head: a tree on the disagreement of the inner probabilities says the class of the outer held-out rows."""
+    from ..operators import trees
+
+    n = _nested(spark, sf_dir).withColumn("ici", MO.ici("p_t", "p_m", "p_x")).withColumn("cls", (F.col("id") % 3).cast("int")).persist()
+    inner, outer = n.filter("role = 0"), n.filter("role = 1")
+    splits = trees.grown(inner, ["split"], ["ici"], "cls", [0.0, 1.0, 2.0], max_leaves=3, min_leaf=5)
+    return trees.predicted(inner, outer, splits, ["split"], ["ici"], "cls", [0.0, 1.0, 2.0]).select("split", "id", "ici", "predicted")
 
 
 @query("joi08_fold_neighbours", f"WITH {P}, b AS (SELECT i AS q, j AS n, dist FROM p UNION ALL SELECT j, i, dist FROM p), r AS (SELECT q % 3 AS fold, q, n, dist, row_number() OVER (PARTITION BY q ORDER BY dist, n) AS rk FROM b WHERE q % 3 <> n % 3) SELECT fold, q, n, rk FROM r WHERE rk <= 3")
