@@ -96,7 +96,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) if out else [[]] * len(schema), schema)], schema=schema)
 
         # The pairs are saved, so that the next pass needn't hold this one's sketches.
-        part = saved(d.mapInArrow(search, FOUND))
+        part = saved(d.mapInArrow(search, FOUND), let_go=False)
         sketches.destroy()
         found = part if found is None else found.unionByName(part)
     return found

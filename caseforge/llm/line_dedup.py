@@ -45,7 +45,7 @@ def marked(docs: DataFrame, text: str, row: str, lost: str, min_docs: int = MIN_
     keys = F.array_distinct(F.transform(F.filter(F.transform(lines(F.col(text)), line_key), lambda k: F.char_length(k) >= min_chars), _hash))
     spread = d.select(F.col(row).alias("row"), F.explode(keys).alias("k")).select("row", "k.h", "k.g")
     # Saved, so that the join reads both sides straight from a shuffle: only then can Spark split a hot key's rows.
-    common = saved(spread.groupBy("h", "g").count().filter(F.col("count") >= min_docs).select("h", "g"))
+    common = saved(spread.groupBy("h", "g").count().filter(F.col("count") >= min_docs).select("h", "g"), let_go=False)
     gone = spread.join(common, ["h", "g"], "left_semi").groupBy("row").agg(F.collect_set(F.struct("h", "g")).alias(lost)).withColumnRenamed("row", row)
     return d.join(gone, row, "left")
 

@@ -114,7 +114,7 @@ def rounded(units: DataFrame, cell: int = CELL, seed: int = SEED) -> DataFrame:
         shared = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(max(1, rows // cell)))
         own = F.xxhash64("source", F.pmod(F.xxhash64("unit", F.lit(seed)), F.col("_parts")))
         dealt = dealt.withColumn("_cell", F.when(F.col("_parts") > 1, own).otherwise(shared)).select("source", "unit", "size", "p", "_cell")
-        level = saved(dealt.groupBy("_cell").applyInPandas(lambda pdf: resolve(pdf.drop(columns="_cell")), schema))
+        level = saved(dealt.groupBy("_cell").applyInPandas(lambda pdf: resolve(pdf.drop(columns="_cell")), schema), let_go=False)
         done = level.filter("done").select("source", "unit", F.col("p").cast("int").alias("extra"))
         out = done if out is None else out.union(done)
         left = level.filter("not done").select("source", "unit", "size", "p")
@@ -128,7 +128,7 @@ def rounded(units: DataFrame, cell: int = CELL, seed: int = SEED) -> DataFrame:
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, cell: int = CELL, seed: int = SEED) -> DataFrame:
     """One row for each ``unit``, the rows alike in their plain columns: ``n_rows, size`` (of one), ``source_size, target, whole`` copies of each, and ``extra`` copies of all together."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_number(docs).alias("unit"))
-    units = saved(d.groupBy("source", "unit").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count("*").alias("n_rows")))
+    units = saved(d.groupBy("source", "unit").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.count("*").alias("n_rows")), let_go=False)
     aim = targets(units.select("source", (F.col("size") * F.col("n_rows")).alias("size")), weights, share, most)
     aim = F.broadcast(aim) if units.select("source").distinct().count() < 100_000 else aim
     told = units.join(aim.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -153,7 +153,7 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns as they were."""
     unit, at, times, copy = fresh(docs, "_mix_unit", "_mix_at", "_mix_times", "_mix_copy")
-    c = saved(copies(docs, doc_id, text, source, **options).select(F.col("unit").alias(at), "n_rows", "whole", "extra"))
+    c = saved(copies(docs, doc_id, text, source, **options).select(F.col("unit").alias(at), "n_rows", "whole", "extra"), let_go=False)
     marked = docs.withColumn(unit, row_number(docs))
 
     def taken(rows: DataFrame, n: DataFrame, once: bool) -> DataFrame:

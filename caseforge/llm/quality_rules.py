@@ -144,7 +144,7 @@ class Weights:
 
 def judged(docs: DataFrame, text: str, keep: list[str], least: float = 0.5) -> DataFrame:
     """``keep``, the features, the votes, the posterior and the verdict of each row."""
-    d = saved(measured(docs, text, keep))
+    d = saved(measured(docs, text, keep), let_go=False)
     for name, vote in votes().items():
         d = d.withColumn(name, vote)
     names = list(votes())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,11 @@ def release(spark: SparkSession) -> None:
     It learns of them by the driver's garbage collection, which may be far off on a driver that only plans. Checkpoint
     files go only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    gc.collect()
-    for _ in range(2):  # what the first finds unused still refers to what the second then drops
-        spark.sparkContext._jvm.System.gc()
+    for pause in (1.0, 0.5):  # threads and events of the tasks just ended hold on to a plan for a moment
+        gc.collect()
+        for _ in range(2):  # what the first finds unused still refers to what the second then drops
+            spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def saved(df: DataFrame, let_go: bool = True) -> DataFrame:

@@ -81,8 +81,8 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame, max_train: int = MAX_TRAIN, rounds: int = 10, depth: int = 3):
         few = labelled.filter(F.col("label").isNotNull()).select("url", F.col("label").cast("double").alias("label")).groupBy("url").agg(F.max("label").alias("label"))
-        few = saved(lexical(few.orderBy(F.xxhash64("url"), "url").limit(max_train), "url").coalesce(1))
-        self.suffixes = saved(few.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_count"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_block_share")))
+        few = saved(lexical(few.orderBy(F.xxhash64("url"), "url").limit(max_train), "url").coalesce(1), let_go=False)
+        self.suffixes = saved(few.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_count"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_block_share")), let_go=False)
         self.assembler = VectorAssembler(inputCols=list(NUMBERS), outputCol="features")
         seen = [r["label"] for r in few.select("label").distinct().collect()]
         self.only = seen[0] if len(seen) == 1 else 0.0 if not seen else None
