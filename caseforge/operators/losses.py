@@ -89,14 +89,28 @@ def with_cutout(df: DataFrame, vector: str, start: int, width: int) -> DataFrame
     return df.withColumn(vector, F.transform(vector, lambda x, i: F.when((i >= start) & (i < start + width), 0.0).otherwise(x)))
 
 
-def mixed_up(df: DataFrame, key: str, vector: str, edges: DataFrame, lam: float) -> DataFrame:
-    """Each row mixed with its neighbour ``(q, n)``."""
+def mixed_up(df: DataFrame, key: str, vector: str, edges: DataFrame, lam: Column | float) -> DataFrame:
+    """Each row mixed with its neighbour ``(q, n)``; ``lam``, its own share, may be a column of ``key``."""
+    lam = lam if isinstance(lam, Column) else F.lit(float(lam))
     other = df.select(F.col(key).alias("n"), F.col(vector).alias("_o"))
-    return df.join(edges.select(F.col("q").alias(key), "n"), key).join(other, "n").select(key, F.zip_with(vector, "_o", lambda a, b: lam * a + (1 - lam) * b).alias(vector))
+    j = df.join(edges.select(F.col("q").alias(key), "n"), key).join(other, "n").withColumn("_lam", lam)
+    return j.select(key, F.zip_with(vector, "_o", lambda a, b: F.col("_lam") * a + (1 - F.col("_lam")) * b).alias(vector))
+
+
+def random_neighbour(edges: DataFrame, seed: int = 1) -> DataFrame:
+    """Of each row ``q`` one of its neighbours, by the least hash."""
+    return edges.groupBy("q").agg(F.min_by("n", F.xxhash64("q", "n", F.lit(seed))).alias("n"))
+
+
+def beta_share(key: str, a: float = 0.4, seed: int = 1, tries: int = 16) -> Column:
+    """A number from Beta(a, a), a at most 1, by Joehnk's rejection over hashes; one in about 10^12 rows runs out of tries and gets a half."""
+    tried = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(F.pow(_unit(seed, key, i), F.lit(1 / a)).alias("x"), F.pow(_unit(seed + 1, key, i), F.lit(1 / a)).alias("y")))
+    fit = F.get(F.filter(tried, lambda t: t["x"] + t["y"] <= 1), 0)
+    return F.coalesce(fit["x"] / (fit["x"] + fit["y"]), F.lit(0.5))
 
 
 def knn_positive(df: DataFrame, key: str, vector: str, edges: DataFrame) -> DataFrame:
-    """Each row with its neighbour's vector as the positive view."""
+    """Each row with its neighbour's vector as the positive view: of ranked edges give the first, or ``random_neighbour``."""
     other = df.select(F.col(key).alias("n"), F.col(vector).alias("positive"))
     return df.join(edges.select(F.col("q").alias(key), "n"), key).join(other, "n")
 
@@ -105,3 +119,13 @@ def composed(df: DataFrame, *steps) -> DataFrame:
     for f in steps:
         df = f(df)
     return df
+
+
+def one_of(df: DataFrame, key: str, vector: str, *steps, seed: int = 1) -> DataFrame:
+    """Each row by one of the steps, chosen by a hash of its key; steps keep keys and columns."""
+    chosen = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit("step")), F.lit(len(steps)))
+    out = None
+    for i, f in enumerate(steps):
+        part = f(df.filter(chosen == i)).select(key, vector)
+        out = part if out is None else out.unionByName(part)
+    return out

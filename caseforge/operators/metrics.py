@@ -96,7 +96,11 @@ def mcnemar(df: DataFrame, keys: list[str], y: str, a: str, b: str) -> DataFrame
             out = []
             for x, z in zip(pdf["only_a"], pdf["only_b"]):
                 n, k = int(x + z), int(min(x, z))
-                tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
+                # Downward from k each term is smaller than the one before, so the tail ends after some root of n terms.
+                term = tail = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+                while k and term > 1e-18 * tail:
+                    term *= k / (n - k + 1)
+                    tail, k = tail + term, k - 1
                 out.append(min(1.0, 2 * tail) if n else 1.0)
             yield pdf.assign(p_value=pd.Series(out, index=pdf.index, dtype=float))
 

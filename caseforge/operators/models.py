@@ -98,6 +98,18 @@ def soft_regression(edges: DataFrame, keys: list[str], target: str, dist: str =
     return edges.groupBy(*keys).agg((F.sum(w * F.col(target)) / F.sum(w)).alias("p"))
 
 
+#: The grid of the regressor on soft targets.
+SOFT_KS, SOFT_METRICS = (1, 3, 5, 7, 9, 11, 13, 15, 17, 21, 25), ("euclidean", "manhattan", "cosine")
+
+
+def soft_grid(edges: DataFrame, target: str, ks=SOFT_KS, query: str = "q") -> DataFrame:
+    """``config, q, p``: every neighbour count and weighting of the regressor from one table of ranked edges."""
+    e = edges.join(F.broadcast(edges.sparkSession.createDataFrame([(k,) for k in ks], "k int")), F.col("rk") <= F.col("k"))
+    w = inverse_distance("dist")
+    g = e.groupBy("k", query).agg(F.avg(target).alias("uniform"), (F.sum(w * F.col(target)) / F.sum(w)).alias("distance"))
+    return g.unpivot(["k", query], ["uniform", "distance"], "weights", "p").select(F.concat_ws("_", "weights", F.concat(F.lit("k"), F.col("k").cast("string"))).alias("config"), query, "p")
+
+
 #: The combinations of three modalities.
 COMBINATIONS = {"T": ("p_t",), "M": ("p_m",), "X": ("p_x",), "T+M": ("p_t", "p_m"), "T+X": ("p_t", "p_x"), "M+X": ("p_m", "p_x"), "T+M+X": ("p_t", "p_m", "p_x")}
 

@@ -313,10 +313,10 @@ def mcnemar_counts(spark, sf_dir):
     return M.mcnemar(f, ["split"], "y", "a", "b").select("split", "only_a", "only_b")
 
 
-@query("met08_mcnemar_p")
+@query("met08_mcnemar_p", f"WITH {F3}, n AS (SELECT split, sum(((p_t >= 0.5)::INT = y AND (p_m >= 0.5)::INT <> y)::INT)::BIGINT AS only_a, sum(((p_t >= 0.5)::INT <> y AND (p_m >= 0.5)::INT = y)::INT)::BIGINT AS only_b FROM f GROUP BY split), i AS (SELECT split, only_a, only_b, only_a + only_b AS n, unnest(range(least(only_a, only_b) + 1)) AS i FROM n) SELECT split, only_a, only_b, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p_value FROM i GROUP BY split, only_a, only_b")
 def mcnemar_p(spark, sf_dir):
     f = _fusion(spark, sf_dir).withColumn("a", (F.col("p_t") >= 0.5).cast("int")).withColumn("b", (F.col("p_m") >= 0.5).cast("int"))
-    return M.mcnemar(f, ["split"], "y", "a", "b")
+    return M.mcnemar(f, ["split"], "y", "a", "b").withColumn("p_value", F.round("p_value", 6))
 
 
 @query("met09_spearman", f"WITH {F3}, r AS (SELECT split, rank() OVER (PARTITION BY split ORDER BY p_t) + (count(*) OVER (PARTITION BY split, p_t) - 1) / 2.0 AS a, rank() OVER (PARTITION BY split ORDER BY cls) + (count(*) OVER (PARTITION BY split, cls) - 1) / 2.0 AS b FROM f) SELECT split, round(corr(a, b), 6) AS rho FROM r GROUP BY split")
@@ -447,12 +447,22 @@ def td_auc(spark, sf_dir):
     return EV.time_dependent_auc(_survival(spark, sf_dir), "t", "p", "e").withColumn("auc", F.round("auc", 6))
 
 
-@query("eva12_aggregate", f"WITH {F3}, n AS (SELECT {N4}, avg((cls = said)::INT) AS gate_rate, avg(CASE WHEN cls = said THEN p_t ELSE 0 END) AS mean_score FROM f) SELECT round(gate_rate, 6) AS gate_rate, round(mean_score, 6) AS mean_score, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round((mean_score + 2.0 * tp / (2 * tp + fp + fn)) / 2, 6) AS ranking FROM n")
+@query("eva12_aggregate", f"WITH {F3}, n AS (SELECT {N4}, avg((cls = said)::INT) AS gate_rate, avg(CASE WHEN cls = said THEN p_t ELSE 0 END) AS mean_score, avg(CASE WHEN doc_id % 9 <> 0 THEN p_x END) AS mean_part, avg((cls = said)::INT) AS accuracy, sum((cls - said) ** 2) AS o, count(*) AS n FROM f), e AS (SELECT sum((a.cls - b.said) ** 2 * a.c * b.c) AS e FROM (SELECT cls, count(*) AS c FROM f GROUP BY cls) a, (SELECT said, count(*) AS c FROM f GROUP BY said) b) SELECT round(gate_rate, 6) AS gate_rate, round(mean_score, 6) AS mean_score, round(mean_part, 6) AS mean_part, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / n, 6) AS accuracy, round(1 - o / (e / n), 6) AS kappa, round((mean_score + 2.0 * tp / (2 * tp + fp + fn)) / 2, 6) AS ranking FROM n, e")
 def aggregate(spark, sf_dir):
     f = _fusion(spark, sf_dir)
     g = EV.decision_gate(F.col("cls"), F.col("said"))
-    one = f.agg(F.avg(g).alias("gate_rate"), F.avg(F.when(g == 1, F.col("p_t")).otherwise(0.0)).alias("mean_score")).crossJoin(M.classification(f, [], "y", "p_t").select(F.col("f1_yes").alias("f1")))
-    return one.withColumn("ranking", (F.col("mean_score") + F.col("f1")) / 2).select(*(F.round(c, 6).alias(c) for c in ("gate_rate", "mean_score", "f1", "ranking")))
+    one = f.agg(F.avg(g).alias("gate_rate"), F.avg(F.when(g == 1, F.col("p_t")).otherwise(0.0)).alias("mean_score"), F.avg(F.when(F.col("doc_id") % 9 != 0, F.col("p_x"))).alias("mean_part"))
+    one = one.crossJoin(M.classification(f, [], "y", "p_t").select(F.col("f1_yes").alias("f1"), "accuracy")).crossJoin(M.quadratic_kappa(f, [], "cls", "said"))
+    return one.withColumn("ranking", (F.col("mean_score") + F.col("f1")) / 2).select(*(F.round(c, 6).alias(c) for c in ("gate_rate", "mean_score", "mean_part", "f1", "accuracy", "kappa", "ranking")))
+
+
+@query("eva12_survival", f"WITH {SURV}, {COUNTED}, c AS (SELECT sum(a.n * b.n * CASE WHEN a.p < b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END) / sum(a.n * b.n) AS c FROM g a JOIN g b ON a.t < b.t AND a.e = 1) SELECT (SELECT count(*) FROM s) AS n, round((SELECT avg(0.5 * (e = (p < 30)::INT)::INT + 0.5 * CASE WHEN e <> 1 AND p >= t THEN 1.0 ELSE greatest(0, 1 - abs(p - t) / greatest(t, 1.0)) END) FROM s), 5) AS mean_score, round(c, 6) AS ranking FROM c")
+def survival_aggregate(spark, sf_dir):
+    """The third task: mean recurrence score; it ranks by the concordance index."""
+    s = _survival(spark, sf_dir)
+    score = EV.recurrence_score(F.col("e"), (F.col("p") < 30).cast("int"), F.col("t"), F.col("p"))
+    one = s.agg(F.count("*").alias("n"), F.round(F.avg(score), 5).alias("mean_score"))
+    return one.crossJoin(EV.c_index(s, "t", "p", "e").select(F.round("c_index", 6).alias("ranking")))
 
 
 NEAR = "near AS (SELECT i AS q, j AS n, dist FROM p UNION ALL SELECT j, i, dist FROM p), first AS (SELECT q, n FROM near QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, n) = 1)"
@@ -633,11 +643,41 @@ def knn_positive(spark, sf_dir):
     return L.knn_positive(b, "id", "v", V.knn(b, 1)).select("id", "n", F.round(F.get("positive", 0), 6).alias("first"))
 
 
+@query("aug04_random_mixup")
+def random_mixup(spark, sf_dir):
+    """Two views of each row, each mixed with a random one of five neighbours by a share of its own from Beta(0.4, 0.4)."""
+    b = _base(spark, sf_dir)
+    edges, out = V.knn(b, 5).persist(), None
+    for view in (1, 2):
+        one = L.mixed_up(b, "id", "v", L.random_neighbour(edges, view), L.beta_share("id", seed=10 * view)).withColumn("view", F.lit(view))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("aug05_random_positive")
+def random_positive(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    return L.knn_positive(b, "id", "v", L.random_neighbour(V.knn(b, 5)))
+
+
+@query("aug01_adaptive_noise")
+def adaptive_noise(spark, sf_dir):
+    """Noise as wide as the mean distance to five neighbours."""
+    b = _base(spark, sf_dir)
+    radius = V.knn(b, 5).groupBy(F.col("q").alias("id")).agg(F.avg("dist").alias("radius"))
+    return L.with_noise(b.join(radius, "id"), "id", "v", F.col("radius") / 8).drop("radius")
+
+
 @query("aug06_composed")
 def composed(spark, sf_dir):
     return L.composed(_base(spark, sf_dir), lambda d: L.with_noise(d, "id", "v", 0.05), lambda d: L.with_dropout(d, "id", "v", 0.1))
 
 
+@query("aug06_one_of")
+def one_of(spark, sf_dir):
+    return L.one_of(_base(spark, sf_dir), "id", "v", lambda d: L.with_noise(d, "id", "v", 0.05), lambda d: L.with_dropout(d, "id", "v", 0.1))
+
+
 @query("rep01_refined")
 def refined(spark, sf_dir):
     b = _base(spark, sf_dir)

@@ -245,6 +245,20 @@ def soft_regression(spark, sf_dir):
     return MO.soft_regression(e, ["q"], "target", weighted=True).withColumn("p", F.round("p", 6))
 
 
+SOFT = f"{E}, p AS (SELECT a.id AS q, b.id AS n, unnest(['euclidean', 'manhattan', 'cosine']) AS metric, unnest([list_distance(a.v, b.v), list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))), list_cosine_distance(a.v, b.v)]) AS dist, 0.5 + CASE WHEN b.label < 5 THEN 0.5 ELSE -0.5 END * CASE b.id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5 ELSE 0.25 END AS s FROM e a JOIN e b ON a.id <> b.id), r AS (SELECT metric, q, greatest(dist, 1e-10) AS dist, s, row_number() OVER (PARTITION BY metric, q ORDER BY dist, n) AS rk FROM p), ks AS (SELECT unnest([1, 3, 5, 7, 9, 11, 13, 15, 17, 21, 25]) AS k), g AS (SELECT metric, k, q, avg(s) AS u, sum(s / dist) / sum(1 / dist) AS d FROM r JOIN ks ON rk <= k GROUP BY metric, k, q), o AS (SELECT unnest(['uniform', 'distance']) || '_k' || k || '_' || metric AS config, q, unnest([u, d]) AS p FROM g)"
+
+
+@query("mod04_soft_grid", f"WITH {SOFT} SELECT config, round(avg((p - (label < 5)::INT) ** 2), 6) AS brier FROM o JOIN e ON e.id = q GROUP BY config")
+def soft_grid(spark, sf_dir):
+    y = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), (F.col("label") < 5).cast("int").alias("y"))
+    memory = y.select("n", S.soft_target("y", F.when(F.col("n") % 3 == 0, 1.0).when(F.col("n") % 3 == 1, 0.5).otherwise(0.25)).alias("s"))
+    out = None
+    for metric in MO.SOFT_METRICS:
+        p = MO.soft_grid(V.knn(_base(spark, sf_dir), max(MO.SOFT_KS), metric).join(memory, "n"), "s").withColumn("config", F.concat_ws("_", "config", F.lit(metric)))
+        out = p if out is None else out.union(p)
+    return out.join(y.withColumnRenamed("n", "q"), "q").groupBy("config").agg(F.round(F.avg((F.col("p") - F.col("y")) ** 2), 6).alias("brier"))
+
+
 GRID = f"{TRAIN}, ks AS (SELECT unnest([1, 3, 5, 10]) AS k), g AS (SELECT k, q, avg(y) AS standard_uniform, sum(y / dist) / sum(1 / dist) AS standard_distance, sum(0.5 + c * (y - 0.5)) / (count(*) + 1e-10) AS fuzzy_uniform, sum((0.5 + c * (y - 0.5)) / dist) / (sum(1 / dist) + 1e-10) AS fuzzy_distance FROM t JOIN ks ON rk <= k GROUP BY k, q), o AS (SELECT kind || '_k' || k AS config, q, round(p, 9) AS p FROM (SELECT k, q, unnest(['standard_uniform', 'standard_distance', 'fuzzy_uniform', 'fuzzy_distance']) AS kind, unnest([standard_uniform, standard_distance, fuzzy_uniform, fuzzy_distance]) AS p FROM g))"
 
 

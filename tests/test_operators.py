@@ -313,6 +313,29 @@ def test_augmentation_and_losses(spark, blobs):
     assert abs(share - 0.3) < 0.06
 
 
+def test_random_views(spark, blobs):
+    b = frame(spark, blobs)
+    lam = np.array([r[0] for r in spark.range(4000).select(L.beta_share("id")).collect()])
+    assert 0 < lam.min() and lam.max() < 1 and abs(lam.mean() - 0.5) < 0.03 and abs(lam.var() - 1 / 7.2) < 0.01
+    edges = V.knn(b, 5).persist()
+    one, two = ({r.q: r.n for r in L.random_neighbour(edges, s).collect()} for s in (1, 2))
+    near = {(r.q, r.n) for r in edges.collect()}
+    assert set(one.items()) <= near and len(one) == 120 and sum(one[q] != two[q] for q in one) > 60
+    mixed = {r.id: np.array(r.v) for r in L.mixed_up(b, "id", "v", L.random_neighbour(edges), F.lit(1.0)).collect()}
+    assert all(np.allclose(mixed[i], blobs[i]) for i in range(120))
+    out = L.one_of(b, "id", "v", lambda d: d, lambda d: d.withColumn("v", F.transform("v", lambda x: x * 0))).collect()
+    zero = sum(not any(r.v) for r in out)
+    assert len(out) == 120 and 30 < zero < 90
+
+
+def test_mcnemar_of_large_counts(spark):
+    d = spark.createDataFrame([(1, 1, 0)] * 60 + [(1, 0, 1)] * 40, "y int, a int, b int")
+    p = M.mcnemar(d, [], "y", "a", "b").first().p_value
+    assert p == pytest.approx(2 * sum(math.comb(100, i) for i in range(41)) / 2**100)
+    even = spark.createDataFrame([(1, 1, 0)] * 5 + [(1, 0, 1)] * 5, "y int, a int, b int")
+    assert M.mcnemar(even, [], "y", "a", "b").first().p_value == 1.0
+
+
 def test_refiner_improves_and_reloads(spark, blobs):
     r = Refiner(4, epochs=20).fit(blobs)
     assert r.history[-1] < 0.999 * r.history[0]
