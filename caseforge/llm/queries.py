@@ -34,6 +34,7 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no URL labels: the trees learn from the words of ``url_filter.SEED_WORDS`` in hosts."""
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
 

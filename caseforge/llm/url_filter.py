@@ -4,8 +4,9 @@ Features: length, host length and labels, path depth, digit ratio, entropy of th
 hyphens in the host, parameters, and of the host's last label (the suffix) its frequency and
 share of blocked URLs among the labelled ones. The trees are trained by MLlib on labelled URLs:
 at most ``MAX_TRAIN``, those with the least hashes, so the same URLs whatever the partitioning.
-Where no labels are given, URLs whose host holds a word of ``SEED_WORDS`` are labelled block and
-the others allow. If the labels are all alike, that label is the verdict.
+Pass ``labelled(url, label)`` where there are labels: that is the main way. Where none are given,
+URLs whose host holds a word of ``SEED_WORDS`` are labelled block and the others allow, so the
+verdict on unlisted URLs then follows that list. If the labels are all alike, that label is the verdict.
 
 Cases. A null URL or one without ``://`` has an empty host and path, fits no rule and is judged
 by the trees like any other. Rows that repeat an id are rows of their own.
