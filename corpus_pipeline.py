@@ -9,28 +9,40 @@ from caseforge.llm.store import saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null, empty or blank text fails the base rules and goes. Rows are judged by their own text, whatever their ids.
+    """
     return quality_rules.passed(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more share go from all of them; ``n_chars`` follows the text."""
+    """Lines that ten documents or more share go from all of them; ``n_chars`` follows the text.
+
+    Every row stays, with an empty text if all its lines are common. A null text stays null. Rows that repeat an id count as documents of their own.
+    """
     out = line_dedup.dropped(docs)
     return out.selectExpr(*("cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in out.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays, that of the least id (null last).
+
+    Texts without words are one class. Rows of one class go but one, also where ids repeat or are null; other rows stay, whatever their ids.
+    """
     return near_dedup.deduplicated(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; rows are judged by their own text, whatever their ids. Null texts hold nothing and stay."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them, none more than twice as often.
+
+    A text without words is never taken. A null source is a source. Each row is taken for itself; rows alike in all columns share their copies.
+    """
     return mixing.mixed(docs)
 
 
