@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, chunk_dedup, decontaminate, html_extract, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, url_filter
+from . import chat_format, chunk_dedup, decontaminate, html_extract, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, token_align, topk_search, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,10 +54,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.rendered(_read(spark, sf_dir, "conversations"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.measured(_read(spark, sf_dir, "documents"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings")
+    return topk_search.nearest(table, table.filter("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_lm_scoring, op2_line_dedup, op3_near_dedup, op4_substring_dedup, op5_html_extract, op6_url_filter, op7_quality_rules, op8_decontamination, op9_source_mixing, op10_chat_format)
+    ops = (op1_lm_scoring, op2_line_dedup, op3_near_dedup, op4_substring_dedup, op5_html_extract, op6_url_filter, op7_quality_rules, op8_decontamination, op9_source_mixing, op10_chat_format, op11_token_align, op13_topk_search)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -113,5 +122,20 @@ WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.said = s.said)
 """
 
 
+_TOP_PRODUCTS = r"""
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM fit
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scores
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES, "op8_decontamination": _CONTAINED, "op10_chat_format": _CHATS}
+    return {"op2_line_dedup": _LINES, "op8_decontamination": _CONTAINED, "op10_chat_format": _CHATS, "op13_topk_search": _TOP_PRODUCTS}
