@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, chunk_dedup, decontaminate, html_extract, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, token_align, topk_search, url_filter
+from . import chat_format, chunk_dedup, decontaminate, html_extract, lexical_search, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, token_align, topk_search, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.measured(_read(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _read(spark, sf_dir, "embeddings")
     return topk_search.nearest(table, table.filter("vec_id % 50 = 0"))
@@ -66,7 +70,7 @@ def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_lm_scoring, op2_line_dedup, op3_near_dedup, op4_substring_dedup, op5_html_extract, op6_url_filter, op7_quality_rules, op8_decontamination, op9_source_mixing, op10_chat_format, op11_token_align, op13_topk_search)
+    ops = (op1_lm_scoring, op2_line_dedup, op3_near_dedup, op4_substring_dedup, op5_html_extract, op6_url_filter, op7_quality_rules, op8_decontamination, op9_source_mixing, op10_chat_format, op11_token_align, op12_lexical_search, op13_topk_search)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -137,5 +141,25 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <=
 """
 
 
+_RANKED = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), asked AS (
+  SELECT i, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM (SELECT row_number() OVER () AS i, * FROM benchmark)
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found WHERE len(terms) > 0
+), counts AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM found) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, totals GROUP BY term, n_docs
+), scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+WINDOW w AS (PARTITION BY i ORDER BY score DESC, doc_id, r) QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINES, "op8_decontamination": _CONTAINED, "op10_chat_format": _CHATS, "op13_topk_search": _TOP_PRODUCTS}
+    return {"op2_line_dedup": _LINES, "op8_decontamination": _CONTAINED, "op10_chat_format": _CHATS, "op12_lexical_search": _RANKED, "op13_topk_search": _TOP_PRODUCTS}
