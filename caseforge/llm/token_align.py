@@ -40,8 +40,8 @@ from .words import pack, pack_sorted, unpack, unpack_sorted
 
 #: Where the vocabulary files are; a parameter of every function here.
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of distinct text in a block, and links of one group from which on its ids are counted before they are paired.
-BLOCK_BYTES, LARGE_GROUP = 8 << 20, 1 << 12
+#: Bytes of distinct text in a block and of those that are aligned at once, and links of one group from which on its ids are counted before they are paired.
+BLOCK_BYTES, SLICE_BYTES, LARGE_GROUP = 8 << 20, 1 << 18, 1 << 12
 #: How a byte-level BPE cuts a text beforehand, and the bytes that stand for themselves in its vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -136,19 +136,50 @@ class Aligned:
         return [b"".join(map(t.written.__getitem__, codes[x:y].tolist()))[:-1] for x, y in zip(cuts, cuts[1:])]
 
 
-def _in_blocks(batches, block_bytes: int):
-    """Texts and their copies, gathered until a block is full."""
+def _slices(batches, slice_bytes: int = SLICE_BYTES):
+    """Texts and their copies, in lists of about so many bytes."""
     texts, copies, size = [], [], 0
     for b in batches:
         for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if size and size + len(t) > block_bytes:
-                yield texts, np.array(copies)
+            if size and size + len(t) > slice_bytes:
+                yield texts, copies, size
                 texts, copies, size = [], [], 0
             texts.append(t)
             copies.append(n)
             size += len(t)
     if texts:
-        yield texts, np.array(copies)
+        yield texts, copies, size
+
+
+class Block:
+    """What the texts of a block measure and link, gathered slice by slice; tokens go with their slice."""
+
+    def __init__(self):
+        self.bytes, self.digests, self.hashes, self.copies, self.counts = 0, [], [], [], []
+        self.links = []  # per slice: text, pair, times
+
+    def add(self, t: Tokenizers, texts: list[str], copies: list[int], size: int) -> None:
+        own = Aligned(t, texts)
+        of, pairs, times = own.links()
+        self.links.append(((of + len(self.digests)).astype(np.int32), pairs.astype(np.uint32), times))
+        self.counts.append(np.stack([own.n_a, own.n_b, own.n_groups, own.n_links]))
+        self.hashes += [hashlib.sha256(w).hexdigest() if w else "" for w in own.written(t)]
+        self.digests += [hashlib.sha256(x.encode()).digest() for x in texts]
+        self.copies += copies
+        self.bytes += size
+
+    def row(self) -> pa.RecordBatch:
+        of, pairs, times = (np.concatenate(x) for x in zip(*self.links))
+        distinct = np.unique(pairs)
+        at = np.searchsorted(distinct, pairs)
+        held = np.bincount(at, np.array(self.copies)[of], len(distinct)).astype(np.int64)
+        ends = np.searchsorted(of, np.arange(len(self.digests)), "right")
+        steps = np.diff(at, prepend=0)
+        begins = ends[:-1][ends[:-1] < len(at)]
+        steps[begins] = at[begins]  # each text starts anew: small numbers
+        packed = pack_sorted(distinct.astype(np.uint64)), pack(held), pack(ends), pack(steps.astype(np.int32)), pack(times.astype(np.int64))
+        row = [int.from_bytes(self.digests[0][:8], "little", signed=True), self.digests, pack(np.concatenate(self.counts, 1)), self.hashes, *packed]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
 
 #: A block's row. ``pairs`` are its distinct pairs in order and ``held`` the documents with each; ``at`` are the texts' pairs as places there, one text after the other.
@@ -172,21 +203,14 @@ def _vocabulary(docs: DataFrame, byte_bpe: str, piece_bpe: str):
 
 def blocks_of(docs: DataFrame, text: str, vocabulary, block_bytes: int) -> DataFrame:
     def aligned(batches):
-        t = tokenizers(*vocabulary.value)
-        for texts, copies in _in_blocks(batches, block_bytes):
-            own = Aligned(t, texts)
-            of, pairs, times = own.links()
-            distinct = np.unique(pairs)
-            at = np.searchsorted(distinct, pairs)
-            held = np.bincount(at, copies[of], len(distinct)).astype(np.int64)
-            digests = [hashlib.sha256(x.encode()).digest() for x in texts]
-            hashes = [hashlib.sha256(w).hexdigest() if w else "" for w in own.written(t)]
-            ends = np.searchsorted(of, np.arange(len(texts)), "right")
-            steps = np.diff(at, prepend=0)
-            steps[ends[:-1][ends[:-1] < len(at)]] = at[ends[:-1][ends[:-1] < len(at)]]  # each text starts anew: small numbers
-            counts = np.stack([own.n_a, own.n_b, own.n_groups, own.n_links])
-            row = [int.from_bytes(digests[0][:8], "little", signed=True), digests, pack(counts), hashes, pack_sorted(distinct), pack(held), pack(ends), pack(steps.astype(np.int32)), pack(times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
+        t, block = tokenizers(*vocabulary.value), Block()
+        for texts, copies, size in _slices(batches, min(SLICE_BYTES, block_bytes)):
+            block.add(t, texts, copies, size)
+            if block.bytes >= block_bytes:
+                yield block.row()
+                block = Block()
+        if block.digests:
+            yield block.row()
 
     return distinct_texts(docs, text).mapInArrow(aligned, BLOCK)
 
@@ -216,13 +240,13 @@ def pair_counts(docs: DataFrame, text: str = "text", byte_bpe: str = BYTE_BPE, p
     return counted(sent_pairs(blocks)).select(F.shiftright("pair", 16).cast("int").alias("a"), F.col("pair").bitwiseAND(0xFFFF).cast("int").alias("b"), "docs", "best")
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> DataFrame:
     """``doc_id, groups``: the alignment itself, written ``a1,a2|b1;a3|b2,b3``; empty without tokens. Each distinct text is aligned once."""
     vocabulary = _vocabulary(docs, byte_bpe, piece_bpe)
 
     def aligned(batches):
         t = tokenizers(*vocabulary.value)
-        for texts, _ in _in_blocks(batches, block_bytes):
+        for texts, _, _ in _slices(batches):
             yield pa.RecordBatch.from_pydict({"digest": [hashlib.sha256(x.encode()).digest() for x in texts], "groups": [w.decode() for w in Aligned(t, texts).written(t)]})
 
     return _joined(docs, distinct_texts(docs, text).mapInArrow(aligned, "digest binary, groups string"), doc_id, text, ["groups"])
