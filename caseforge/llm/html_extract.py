@@ -4,7 +4,8 @@ The standard library's parser streams a page as events. A block element starts a
 line has its text, its number of tags (without those of excluded elements) and the containers it stands in. Lines in elements that
 never hold the article (menus, forms, scripts ... by tag, adverts, notices, comments ... by
 class, id or role) are out; names that articles use, too ("side-effects", "related-work"), put a
-block out only if it is mostly links or none of it is content. On the others the text-to-tag ratio is smoothed by a Gaussian and
+block out only if it is mostly links or none of it is content. Within article and main that goes for each name that says more
+than what is out ("comments-on-the-act", "notice-period"), only for its links: one made of such words alone ("comments", "ad-slot") is out there. On the others the text-to-tag ratio is smoothed by a Gaussian and
 split in two clusters; containers are scored by the upper cluster's text in their whole subtree.
 The content region is what main holds, else what the outermost articles hold (if that is a
 quarter of the page's score or more), else the smallest block that holds nearly all of it; each line of its
@@ -12,12 +13,14 @@ subtree stays, short ones, lists, quotes, code, tables and sections too. Pages a
 rows; nothing is shuffled.
 
 Cases. A null or empty page, or one without text outside the excluded elements, gives an empty
-text. Rows that repeat an id are rows of their own. Unclosed elements end with their container.
+text. Rows that repeat an id are rows of their own. Unclosed elements end with their container; one that is out and
+never closed ends where main or an article begins in it. Work is linear in the page, however deep its elements are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -30,6 +33,7 @@ OUT_TAGS = frozenset("head nav header footer aside form script style noscript te
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGION_TAGS = ("article", "main")
+HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
 OUT_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|comments?|reply|replies|disqus|sidebar|menu|nav\w*|masthead|footer|"
     r"breadcrumbs?|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|contentinfo|complementary)(?:$|[\s_-])",
@@ -37,6 +41,8 @@ OUT_NAMES = re.compile(
 )
 #: Names that articles use in their own blocks, too. Such a block is out if half of its text is links or none of it is content.
 DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:side|header|share|related|recommend\w*|toolbar|widget|skip|search|form)(?:$|[\s_-])", re.I)
+#: Words that say nothing of what a block holds, beside a name that is out.
+PLAIN_NAMES = frozenset("area block body box column container content group holder inner item items left list outer panel right row section slot top bottom unit widget wrap wrapper".split())
 #: Share of the score that the outermost main or articles need to be the region; share that a block needs to stand for its parent.
 REGION_SHARE, NEARLY = 0.25, 0.95
 #: Share of links in the text that a block with a doubtful name is out with.
@@ -46,17 +52,25 @@ SMOOTH /= SMOOTH.sum()
 
 
 class _Lines(HTMLParser):
-    def __init__(self):
+    """One pass over a page. ``broken`` are the out elements, by their number among all elements, that end where main or an article begins in them."""
+
+    def __init__(self, broken: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        #: Open elements: tag, 1 if it is out, number of the container.
-        self.open: list[tuple[str, int, int]] = []
-        self.out = 0
+        #: Open elements: tag, 1 if it is out, number of the container, of the element. How many of each tag are open, how many headings, and articles or mains.
+        self.open: list[tuple[str, int, int, int]] = []
+        self.of_tag: Counter[str] = Counter()
+        self.out = self.headings = self.in_region = self.elements = 0
+        #: How many regions had begun when each open out element did; those that were never closed and in which one began; places of the open broken ones.
+        self.outs: list[int] = []
+        self.begun, self.unclosed = 0, set()
+        self.broken, self.broken_at = broken, []
         #: Of each container the one around it; those of main, and of article or main, that aren't out.
         self.around: list[int] = [0]
         self.mains: set[int] = set()
         self.regions: set[int] = set()
-        #: Containers with a doubtful name.
+        #: Containers with a doubtful name; those within a region that have more to their name than what is out.
         self.doubtful: set[int] = set()
+        self.more: set[int] = set()
         #: Text, tags, container, whether it is a heading; and of each line the characters in links.
         self.lines: list[tuple[str, int, int, bool]] = []
         self.linked: list[int] = []
@@ -68,15 +82,22 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             container = self.open[-1][2] if self.open else 0
-            self.lines.append((text, self.tags, container, any(re.fullmatch(r"h\d", tag) for tag, _, _ in self.open)))
+            self.lines.append((text, self.tags, container, self.headings > 0))
             self.linked.append(self.links)
             self.tags = 0
         self.text, self.links = [], 0
 
-    def _pop(self) -> None:
-        tag, out, _ = self.open.pop()
+    def _pop(self, closed: bool = False) -> None:
+        tag, out, _, number = self.open.pop()
         self.out -= out
         self.in_link -= tag == "a"
+        self.of_tag[tag] -= 1
+        self.headings -= tag in HEADINGS
+        self.in_region -= tag in REGION_TAGS
+        if out and self.outs.pop() < self.begun and not closed:
+            self.unclosed.add(number)
+        if number in self.broken:
+            self.broken_at.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -93,16 +114,30 @@ class _Lines(HTMLParser):
             if at >= 0 and self.open[at][0] == "p":
                 while len(self.open) > at:
                     self._pop()
+        if tag in REGION_TAGS:
+            while self.broken_at:
+                self._pop()
+            self.begun += 1
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label"))
-        out = int(tag in OUT_TAGS or bool(named and tag not in ("html", "body", *REGION_TAGS) and OUT_NAMES.search(named)))
+        by_name = bool(named and tag not in ("html", "body", *REGION_TAGS) and OUT_NAMES.search(named))
+        more = by_name and self.in_region > 0 and not _only_out(named)
+        out = int(tag in OUT_TAGS or by_name and not more)
         container = self.open[-1][2] if self.open else 0
-        doubtful = block and tag not in ("html", "body", *REGION_TAGS) and bool(named and DOUBTFUL_NAMES.search(named))
+        doubtful = block and (more or tag not in ("html", "body", *REGION_TAGS) and bool(named and DOUBTFUL_NAMES.search(named)))
         if doubtful or block and tag != "p" and not re.fullmatch(r"h\d|li|t[drh]|d[dt]", tag):
             self.around.append(container)
             container = len(self.around) - 1
             if doubtful:
-                self.doubtful.add(container)
-        self.open.append((tag, out, container))
+                (self.more if more else self.doubtful).add(container)
+        self.elements += 1
+        if self.elements in self.broken:
+            self.broken_at.append(len(self.open))
+        self.open.append((tag, out, container, self.elements))
+        self.of_tag[tag] += 1
+        self.headings += tag in HEADINGS
+        self.in_region += tag in REGION_TAGS
+        if out:
+            self.outs.append(self.begun)
         self.out += out
         self.in_link += tag == "a"
         if tag in REGION_TAGS and not self.out:
@@ -116,10 +151,11 @@ class _Lines(HTMLParser):
         if block:
             self._end_line()
         self.tags += not self.out
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.of_tag[tag] else ():
             if self.open[i][0] == tag:
-                while len(self.open) > i:
+                while len(self.open) > i + 1:
                     self._pop()
+                self._pop(closed=True)
                 break
             if not block and self.open[i][0] in BLOCK_TAGS:
                 break
@@ -133,6 +169,20 @@ class _Lines(HTMLParser):
     def close(self):
         super().close()
         self._end_line()
+        while self.open:
+            self._pop()
+
+
+def _only_out(named: str) -> bool:
+    """Whether names hold nothing but words that are out, and plain ones."""
+    return all(w.isdigit() or w.lower() in PLAIN_NAMES or OUT_NAMES.fullmatch(w) for w in re.split(r"[\s_-]+", named.strip()) if w)
+
+
+def _read(html: str, broken: frozenset[int] = frozenset()) -> _Lines:
+    page = _Lines(broken)
+    page.feed(html)
+    page.close()
+    return page
 
 
 def smoothed_ratio(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
@@ -154,9 +204,9 @@ def upper_cluster(x: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None) -> str:
-    page = _Lines()
-    page.feed(html or "")
-    page.close()
+    page = _read(html or "")
+    if page.unclosed:
+        page = _read(html or "", frozenset(page.unclosed))
     lines = page.lines
     if not lines:
         return ""
@@ -189,8 +239,8 @@ def main_text(html: str | None) -> str:
 
 
 def _refused(page: _Lines, below: list[int]) -> set[int]:
-    """The containers with a doubtful name that are mostly links or without upper-cluster text."""
-    if not page.doubtful:
+    """The containers with a doubtful name that are mostly links or without upper-cluster text; those within a region that are mostly links."""
+    if not page.doubtful and not page.more:
         return set()
     text, links = [0] * len(below), [0] * len(below)
     for (line, _, container, _), linked in zip(page.lines, page.linked):
@@ -199,7 +249,7 @@ def _refused(page: _Lines, below: list[int]) -> set[int]:
     for k in range(len(below) - 1, 0, -1):
         text[page.around[k]] += text[k]
         links[page.around[k]] += links[k]
-    return {k for k in page.doubtful if not below[k] or links[k] >= LINKED * text[k]}
+    return {k for k in page.doubtful if not below[k] or links[k] >= LINKED * text[k]} | {k for k in page.more if links[k] >= LINKED * max(1, text[k])}
 
 
 def _smallest(around: list[int], below: list[int], leads: set[int]) -> int:

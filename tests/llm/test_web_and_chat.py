@@ -32,6 +32,39 @@ def test_nothing_of_the_content_is_dropped():
     assert got(f"<body>{menu}<article><a href=/t>Teaser</a></article><div>{body}</div></body>")[-len(want):] == want
 
 
+def test_names_within_an_article_and_elements_never_closed():
+    long = "{} has a good number of words in it, so that it reads as content of the page."
+    p = lambda k: f"<p>{long.format(k)}</p>"
+    got = lambda html: html_extract.main_text(html).split("\n\n")
+    named = ['id="comments-on-the-act"', 'class="social history"', 'class="notice-period"', 'id="reply-of-the-king"', 'class="menu-engineering"']
+    body = p("Lead") + "".join(f"<div {n}>{p(f'Part {k}')}</div>" for k, n in enumerate(named))
+    want = [long.format("Lead"), *(long.format(f"Part {k}") for k in range(len(named)))]
+    assert got(f"<body><article>{body}</article></body>") == want == got(f"<body><main>{body}</main></body>")
+    gone = "".join(f'<div class="{c}">{p("Gone")}</div>' for c in ("comments", "comment-list", "ad slot", "ads", "newsletter", "sidebar", "alert"))
+    linked = '<div class="social-work">' + "".join(f'<a href="/{k}">link number {k}</a> ' for k in range(9)) + "</div>"
+    assert got(f"<body><article>{body}{gone}{linked}</article></body>") == want
+    # Out elements that are never closed end where the article begins; closed ones don't.
+    menu = '<ul><li><a href="/">menu</a></li></ul>'
+    for opened in ("<nav>", '<div class="menu">', "<header><nav>", "<form>"):
+        assert got(f"<body>{opened}{menu}<article>{body}</article><footer>me</footer></body>") == want
+        assert got(f"<body>{opened}{menu}<main>{body}</main>") == want
+    assert got(f"<body><article>{body}</article><aside><article>{p('Teaser')}</article></aside></body>") == want
+    assert got(f"<body><nav>{menu}<nav>{menu}</nav><article>{body}</article></body>") == want
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<div>x", "<b>x", "<div class=ad>x</section>", "</div>x", "<p>x<i>", "<h1>x", "<nav><article>x", "<ul><li>x"):
+        html_extract.main_text(piece * 500)
+        took = []
+        for n in (4000, 16000):
+            began = time.process_time()
+            html_extract.main_text(piece * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5, piece
+
+
 def made_page(r):
     """A page without ``article``, its content's blocks: lists, quotes, tables, code, sections and blocks with misleading names."""
     say = lambda n: " ".join(f"{r.choice(['water', 'stone', 'light', 'river', 'garden'])}{r.randrange(90)}" for _ in range(n)) + "."
