@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CONFIDENCE, WEIGHT, coded, ordered_distinct, weight_name
+from .order import filled, running
 from .sets import set_f1
 
 #: Weights of the components, without and with a rationale judge.
@@ -86,64 +89,106 @@ def distinct_subjects(df: DataFrame, time: str, predicted: str, event: str) -> D
 
 
 def comparable_pairs(df: DataFrame, time: str, event: str) -> DataFrame:
-    """``t, pairs``: of each event time how many pairs start there; the later subject lasts longer, from one running sum over the times."""
-    by = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.count("*").alias("n"), F.sum((F.col(event) == 1).cast("long")).alias("events"))
-    later = F.coalesce(F.sum("n").over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("pairs", F.col("events") * later).filter("pairs > 0").select("t", "pairs")
+    """``t, pairs``: of each event time how many pairs start there; the later subject lasts longer, from a running sum over the times."""
+    by = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.count("*").alias("n"), F.sum((F.col(event) == 1).cast("long")).alias("events")).filter("t is not null")
+    later = running(by, "n", F.col("t").desc(), name="later")
+    return later.withColumn("pairs", F.col("events") * F.col("later")).filter("pairs > 0").select("t", "pairs")
 
 
-#: Buckets of the predictions for the pair counts.
-C_BUCKETS = 64
+#: Values by which times and predictions are cut into ranges; a task gets the distinct subjects of one range.
+C_BUCKETS = 256
+
+
+def _wins(t: np.ndarray, p: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Pairs whose first subject had the event and whose second has a later ``t``, weighted by ``n``: how many there are, and those with the larger ``p`` second, equal ones by half.
+
+    Merge counting by the bits of the time's rank: of subjects that agree in the higher bits, those with the bit set are
+    later. They stay sorted by ``p``, so each bit takes one running sum: n log n in all.
+    """
+    rank, by_p = np.unique(t, return_inverse=True)[1], np.argsort(p, kind="stable")
+    rank, p, own, n = rank[by_p], p[by_p], np.where(e[by_p] == 1, n[by_p], 0).astype(np.float64), n[by_p].astype(np.float64)
+    pairs = won = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        order = np.argsort(rank >> (bit + 1), kind="stable")  # by the higher bits, within them by p
+        group, q, later = (rank >> (bit + 1))[order], p[order], (rank[order] >> bit) & 1
+        so_far = np.concatenate([[0.0], np.cumsum(n[order] * later)])
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        ties = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(q, prepend=np.nan) != 0))
+        group_end = np.append(starts[1:], len(q))[np.searchsorted(starts, np.arange(len(q)), "right") - 1]
+        tie = np.searchsorted(ties, np.arange(len(q)), "right") - 1
+        tie_start, tie_end = ties[tie], np.append(ties[1:], len(q))[tie]
+        group_start = starts[np.searchsorted(starts, np.arange(len(q)), "right") - 1]
+        first = own[order] * (1 - later)
+        pairs += float((first * (so_far[group_end] - so_far[group_start])).sum())
+        won += float((first * (so_far[group_end] - so_far[tie_end] + (so_far[tie_end] - so_far[tie_start]) / 2)).sum())
+    return pairs, won
 
 
 def c_index(df: DataFrame, time: str, predicted: str, event: str, buckets: int = C_BUCKETS) -> DataFrame:
-    """Harrell's index over pairs whose earlier subject had the event; null without such a pair.
+    """Harrell's index over pairs whose earlier subject had the event; null without such a pair. A subject without time, prediction or event takes no part; NaN counts as none.
 
-    Predictions are cut into ``buckets`` ranges of ranks. Pairs in different buckets follow from running sums over the times of each
-    bucket's counts; only pairs within a bucket are compared, on counts per distinct time and prediction.
+    Up to ``buckets - 1`` values cut times and predictions into ranges, each of these values a range of its own, so a value of very many
+    subjects leaves nothing to compare within its range. Pairs that differ in both ranges follow from the counts of the grid of
+    ranges (its size goes by ``buckets``, not by the rows). Pairs in one range of times are counted there; pairs in
+    one range of predictions and different ranges of times there. A range of d distinct subjects costs d log d.
     """
-    s = distinct_subjects(df, time, predicted, event)
-    cuts = s.agg(F.array_distinct(F.percentile_approx("p", [i / buckets for i in range(1, buckets)], 10_000)).alias("cuts"))
-    s = s.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("p")))).drop("cuts").persist()
-    # Across buckets: one row a time, an array of counts over the buckets.
-    counts = lambda c: F.transform(F.sequence(F.lit(0), F.lit(buckets)), lambda b: F.coalesce(F.element_at(c, b), F.lit(0)))
-    per = s.groupBy("t", "bucket").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("events"))
-    wide = per.groupBy("t").agg(*(F.map_from_entries(F.collect_list(F.struct("bucket", c))).alias(c) for c in ("n", "events"))).select("t", counts(F.col("n")).alias("n"), counts(F.col("events")).alias("events"))
-    later = [F.coalesce(F.sum(F.get("n", b)).over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for b in range(buckets + 1)]
-    wide = wide.select("t", "events", F.array(*later).alias("later"))
-    own = F.posexplode("events").alias("bucket", "a")
-    x = wide.select("t", "later", own).filter("a > 0")
-    above = F.aggregate(F.expr("slice(later, bucket + 2, 1000)"), F.lit(0).cast("long"), lambda s_, v: s_ + v)
-    every = F.aggregate("later", F.lit(0).cast("long"), lambda s_, v: s_ + v)
-    across = x.agg(F.sum(F.col("a").cast("double") * above).alias("won"), F.sum(F.col("a").cast("double") * every).alias("pairs"))
-    # Within: the distinct subjects of one bucket.
-    a = s.filter("e = 1").select("bucket", F.col("t").alias("ta"), F.col("p").alias("pa"), F.col("n").alias("na"))
-    b = s.select("bucket", F.col("t").alias("tb"), F.col("p").alias("pb"), F.col("n").alias("nb"))
-    w = F.col("na").cast("double") * F.col("nb")
-    won = F.when(F.col("pa") < F.col("pb"), 1.0).when(F.col("pa") == F.col("pb"), 0.5).otherwise(0.0)
-    within = a.join(b, "bucket").filter("ta < tb").agg(F.coalesce(F.sum(w * won), F.lit(0.0)).alias("inside"))
-    return across.crossJoin(within).select(F.try_divide(F.col("won") + F.col("inside"), F.col("pairs")).alias("c_index"), F.coalesce("pairs", F.lit(0.0)).alias("pairs"))
+    given = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(n) for c, n in ((time, "t"), (predicted, "p"))]
+    s = df.select(*given, F.col(event).cast("int").alias("e")).dropna().groupBy("t", "p", "e").agg(F.count("*").alias("n"))
+    at = [i / buckets for i in range(1, buckets)]
+    if at:
+        ends = s.agg(*(F.percentile_approx(c, at, 10_000).alias(c) for c in ("t", "p"))).first()
+        cuts = {c: np.unique(np.array(ends[c] or [], np.float64)) for c in ("t", "p")}
+    else:
+        cuts = {c: np.zeros(0) for c in ("t", "p")}
+
+    def ranged(batches):
+        for b in batches:
+            of = []
+            for c in ("t", "p"):
+                x = b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                below = np.searchsorted(cuts[c], x)
+                of.append(below + np.searchsorted(cuts[c], x, "right"))  # odd where x is a cut
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x.astype(np.int32)) for x in of)], names=[*b.schema.names, "tr", "pr"])
+
+    s = s.mapInArrow(ranged, "t double, p double, e int, n long, tr int, pr int")
+    n_t, n_p = (2 * len(cuts[c]) + 1 for c in ("t", "p"))
+    every, events = np.zeros((n_t, n_p)), np.zeros((n_t, n_p))
+    for r in s.groupBy("tr", "pr").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("e") == 1, F.col("n")).otherwise(0)).alias("events")).collect():
+        every[r["tr"], r["pr"]], events[r["tr"], r["pr"]] = r["n"], r["events"]
+    later = np.cumsum(every[::-1], 0)[::-1] - every  # same range of predictions, later ranges of times
+    above = np.cumsum(later[:, ::-1], 1)[:, ::-1] - later
+    single = np.arange(n_p) % 2 == 1
+    pairs, won = float((events * later.sum(1, keepdims=True)).sum()), float((events * (above + np.where(single, later / 2, 0))).sum())
+
+    def counted(time_column: str):
+        def count(table):
+            same, more = _wins(*(table[c].to_numpy() for c in (time_column, "p", "e", "n")))
+            return pa.table([[same], [more]], names=["pairs", "won"])
+
+        return count
+
+    # Within a range of times all pairs, within one of predictions those whose ranges of times differ: their pairs are in the grid's sum.
+    inside = s.filter("tr % 2 = 0").groupBy("tr").applyInArrow(counted("t"), "pairs double, won double")
+    beside = s.filter("pr % 2 = 0").groupBy("pr").applyInArrow(counted("tr"), "pairs double, won double").withColumn("pairs", F.lit(0.0))
+    total = inside.unionByName(beside).agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("won"), F.lit(0.0)).alias("won"))
+    return total.select(F.try_divide(F.col("won") + won, F.col("pairs") + pairs).alias("c_index"), (F.col("pairs") + pairs).alias("pairs"))
 
 
 def censoring_km(df: DataFrame, time: str, event: str) -> DataFrame:
-    """``t, g``: Kaplan-Meier survival of censoring after each distinct time; 0 stays 0."""
-    by = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.count("*").alias("n"), F.sum((F.col(event) == 0).cast("long")).alias("censored"))
-    order = Window.orderBy("t")
-    # Ordered over distinct times, which don't grow with the rows.
-    at_risk = F.sum("n").over(Window.orderBy(F.col("t").desc()))
-    s = by.withColumn("f", 1 - F.col("censored") / at_risk)
-    log_g = F.sum(F.when(F.col("f") > 0, F.log("f")).otherwise(0.0)).over(order)
-    dead = F.max((F.col("f") <= 0).cast("int")).over(order)
-    return s.select("t", F.when(dead == 1, 0.0).otherwise(F.exp(log_g)).alias("g"))
+    """``t, g``: Kaplan-Meier survival of censoring after each distinct time; 0 stays 0. Running sums over the distinct times, in ranges."""
+    by = df.groupBy(F.col(time).cast("double").alias("t")).agg(F.count("*").alias("n"), F.sum((F.col(event) == 0).cast("long")).alias("censored")).filter("t is not null")
+    s = running(by, "n", F.col("t").desc(), name="later").withColumn("f", 1 - F.col("censored") / (F.col("later") + F.col("n")))
+    s = s.select("t", F.when(F.col("f") > 0, F.log("f")).otherwise(0.0).alias("log"), (F.col("f") <= 0).cast("long").alias("dead"))
+    s = running(running(s, "log", F.col("t"), name="logs"), "dead", F.col("t"), name="deaths")
+    return s.select("t", F.when(F.col("deaths") + F.col("dead") > 0, 0.0).otherwise(F.exp(F.col("logs") + F.col("log"))).alias("g"))
 
 
 def km_at(times: DataFrame, km: DataFrame, at: str) -> DataFrame:
-    """``times`` with ``g``, the last step at or before ``at`` (1 before the first): union and running last value, no range join."""
-    steps = km.select(F.col("t").alias("_at"), "g", F.lit(0).alias("_kind"))
-    asked = times.select(F.col(at).alias("_at"), F.struct(*times.columns).alias("_row"), F.lit(1).alias("_kind"))
-    both = steps.unionByName(asked, allowMissingColumns=True)
-    last = F.last("g", ignorenulls=True).over(Window.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("g", F.coalesce(last, F.lit(1.0))).filter("_kind = 1").select("_row.*", "g")
+    """``times`` with ``g``, the last step at or before ``at`` (1 before the first): of the distinct times asked for, in one order with the steps; no range join."""
+    asked = times.select(F.col(f"`{at}`").alias("_at")).distinct()
+    both = km.select(F.col("t").alias("_at"), "g", F.lit(0).alias("_kind")).unionByName(asked.select("_at", F.lit(None).cast("double").alias("g"), F.lit(1).alias("_kind")))
+    found = filled(both, "g", F.col("_at"), F.col("_kind"), name="_g").filter("_kind = 1").select("_at", F.coalesce("_g", F.lit(1.0)).alias("g"))
+    return times.join(found, F.col(f"`{at}`").eqNullSafe(F.col("_at"))).drop("_at")
 
 
 def time_dependent_auc(df: DataFrame, time: str, predicted: str, event: str, horizons=HORIZONS) -> DataFrame:
@@ -157,7 +202,6 @@ def time_dependent_auc(df: DataFrame, time: str, predicted: str, event: str, hor
     case, control = (F.col("e") == 1) & (F.col("t") <= F.col("h")) & (F.col("g") > 0), (F.col("t") > F.col("h")) & (F.col("gh") > 0)
     w = F.when(case, F.col("n") / F.col("g")).when(control, F.col("n") / F.col("gh"))
     x = x.withColumn("w", w).filter("w is not null").groupBy("h", "p").agg(F.sum(F.when(case, F.col("w")).otherwise(0.0)).alias("wc"), F.sum(F.when(case, 0.0).otherwise(F.col("w"))).alias("wn"))
-    later = F.coalesce(F.sum("wn").over(Window.partitionBy("h").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    x = x.withColumn("won", F.col("wc") * (later + F.col("wn") / 2))
+    x = running(x, "wn", F.col("p").desc(), keys=("h",), name="later").withColumn("won", F.col("wc") * (F.col("later") + F.col("wn") / 2))
     out = x.groupBy("h").agg(F.try_divide(F.sum("won"), F.sum("wc") * F.sum("wn")).alias("auc"))
     return spark.createDataFrame([(float(h),) for h in horizons], "h double").join(out, "h", "left").select(F.col("h").alias("horizon"), "auc")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from .order import placed
 
 
 def hash_order(seed: int, *columns: str) -> Column:
@@ -19,10 +24,10 @@ def stratified_splits(df: DataFrame, key: str, label: str, n_splits: int = 50, s
     return s.withColumn("_at", at).withColumn("role", (F.col("_at") <= quota).cast("int")).select("split", key, label, "role")
 
 
-def fold_index(df: DataFrame, key: str, usable) -> DataFrame:
-    """Place of each usable key in their order from 0, -1 for the rest."""
-    at = F.row_number().over(Window.partitionBy("_u").orderBy(key)) - 1
-    return df.withColumn("_u", usable).withColumn("fold", F.when(F.col("_u"), at).otherwise(-1)).drop("_u")
+def fold_index(df: DataFrame, key: str, usable: Column) -> DataFrame:
+    """Place of each usable key in their order from 0, -1 for the rest; ``order.placed``, so no task sees all keys."""
+    at = placed(df.withColumn("_u", usable), F.col(key), keys=("_u",), name="_place")
+    return at.withColumn("fold", F.when(F.col("_u"), F.col("_place")).otherwise(-1)).drop("_u", "_place")
 
 
 def leave_one_out(df: DataFrame, fold: str) -> DataFrame:
@@ -32,16 +37,16 @@ def leave_one_out(df: DataFrame, fold: str) -> DataFrame:
 
 
 def contiguous_folds(df: DataFrame, order: str, n_folds: int = 3) -> DataFrame:
-    """Blocks in order; the last takes the remainder. Sizes come from one count, places from the ordered rows."""
-    w = Window.partitionBy(F.lit(0))
-    each = F.floor(F.count("*").over(w) / n_folds)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("fold", F.least(F.floor(at / each), F.lit(n_folds - 1)).cast("int"))
+    """Blocks in order; the last takes the remainder (all rows, if they are fewer than the folds). Sizes come from one count, places from ranges of the rows."""
+    each = max(1, df.count() // n_folds)
+    at = placed(df, F.col(order), name="_place")
+    return at.withColumn("fold", F.least(F.floor(F.col("_place") / each), F.lit(n_folds - 1)).cast("int")).drop("_place")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, n_folds: int = 3, seed: int = 42) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, key), key)) - 1
-    return df.withColumn("fold", at % n_folds)
+    """Rows of each class dealt in hash order, so folds differ by one row a class at most."""
+    at = placed(df, hash_order(seed, key), F.col(key), keys=(label,), name="_place")
+    return at.withColumn("fold", (F.col("_place") % n_folds).cast("int")).drop("_place")
 
 
 def fold_roles(splits: DataFrame, key: str) -> DataFrame:
@@ -67,3 +72,30 @@ def subsample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 def class_balance(splits: DataFrame, label: str) -> DataFrame:
     return splits.groupBy("split", "role", label).agg(F.count("*").alias("n"))
+
+
+def digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row ``rows, low, high`` that two runs share if they gave the same rows, in any order and partitioning.
+
+    Each row is hashed twice with its columns in the order of their names; hashes are added up as whole numbers of 32 bits, which no order of addition changes,
+    so rows that repeat count as often as they are. Doubles count by their digits: minus zero as zero, NaN as NaN. Two tables that differ agree by chance in about 2^-64 of the cases.
+    """
+    names = sorted(columns or df.columns)
+    row = [F.to_json(F.struct(F.col(f"`{n}`")), {"ignoreNullFields": "false"}) if not isinstance(df.schema[n].dataType, AtomicType) else F.col(f"`{n}`") for n in names]
+    # A hash of nulls is its seed: which columns are null goes into the hash, too.
+    nulls = F.concat(*(F.col(f"`{n}`").isNull().cast("string") for n in names)) if names else F.lit("")
+    a, b = F.xxhash64(nulls, *row), F.xxhash64(F.lit("again"), nulls, *row)
+    half = lambda h: (F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32)))
+    (al, ah), (bl, bh) = half(a), half(b)
+    return df.agg(F.count("*").alias("rows"), F.xxhash64(F.coalesce(al, F.lit(0)), F.coalesce(ah, F.lit(0))).alias("low"), F.xxhash64(F.coalesce(bl, F.lit(0)), F.coalesce(bh, F.lit(0))).alias("high"))
+
+
+def run_twice(make: Callable[[int], DataFrame], partitions: tuple[int, ...] = (3, 7)) -> DataFrame:
+    """``run, rows, low, high, same``: the digests of what ``make`` gives under different numbers of partitions, and whether they agree with the first."""
+    out = None
+    for k, n in enumerate(partitions):
+        one = digest(make(n)).withColumn("run", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    first = out.filter("run = 0").select(*(F.col(c).alias(f"_{c}") for c in ("rows", "low", "high")))
+    same = (F.col("rows") == F.col("_rows")) & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high"))
+    return out.crossJoin(F.broadcast(first)).select("run", "rows", "low", "high", same.alias("same"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import order as O
 from ..operators import resampling as R
 from ..operators import sets
 from ..sources import readers
@@ -72,7 +73,7 @@ def ordered_alignment(spark, sf_dir):
     ids, rows = table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     if not ids.join(rows, "doc_id", "left_anti").isEmpty():
         raise KeyError("an id has no row")
-    return ids.join(rows, "doc_id").select(F.row_number().over(Window.orderBy(F.col("doc_id").desc())).alias("place"), "doc_id", "n_chars")
+    return O.placed(ids.join(rows, "doc_id"), F.col("doc_id").desc()).select((F.col("place") + 1).alias("place"), "doc_id", "n_chars")
 
 
 @query("joi04_semi_join", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
@@ -198,9 +199,7 @@ def seed_ensemble(spark, sf_dir):
 
 @query("win03_average_ranks", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY floor(value)) + (count(*) OVER (PARTITION BY event_type, floor(value)) - 1) / 2.0::DOUBLE AS rank FROM events")
 def average_ranks(spark, sf_dir):
-    v = F.floor("value")
-    rank = F.rank().over(Window.partitionBy("event_type").orderBy(v)) + (F.count("*").over(Window.partitionBy("event_type", v)) - 1) / 2
-    return table(spark, sf_dir, "events").select("event_id", rank.alias("rank"))
+    return O.average_ranks(table(spark, sf_dir, "events"), F.floor("value"), ("event_type",)).select("event_id", "rank")
 
 
 @query("win06_fold_index", "SELECT user_id, CASE WHEN user_id % 3 <> 0 THEN row_number() OVER (PARTITION BY user_id % 3 <> 0 ORDER BY user_id) - 1 ELSE -1 END AS fold FROM (SELECT DISTINCT user_id FROM events)")
@@ -279,3 +278,10 @@ def stratified_folds(spark, sf_dir):
 @query("spl06_subsample", "SELECT event_id FROM events ORDER BY md5(concat_ws('|', '42', event_id::VARCHAR)), event_id LIMIT 500")
 def subsample(spark, sf_dir):
     return R.subsample(table(spark, sf_dir, "events"), "event_id", 500).select("event_id")
+
+
+@query("spl07_determinism")
+def determinism(spark, sf_dir):
+    """The stratified splits made twice, from differently partitioned rows: their digests agree."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return R.run_twice(lambda n: R.stratified_splits(labels.repartition(n), "doc_id", "quality", 5))
