@@ -21,6 +21,12 @@ def as_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
 
+def unit_rows(base: DataFrame) -> DataFrame:
+    """``base(id, v)`` with rows of length 1."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)) + 1e-12
+    return base.select("id", F.transform("v", lambda x: x / length).alias("v"))
+
+
 def _matrix(t: pa.Table, side: str = "") -> tuple[np.ndarray, np.ndarray]:
     v = t["v" + side].combine_chunks()
     return t["id" + side].to_numpy(), np.asarray(v.flatten()).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
@@ -296,6 +302,17 @@ def correlation_dimension(pairs_: DataFrame, edges: DataFrame, near: int = 10, f
     return c.select(F.try_divide(F.log("in_b") - F.log("in_a"), F.log("b") - F.log("a")).alias("corr_int"))
 
 
+def correlation_in_blocks(base: DataFrame, edges: DataFrame, near: int = 10, far: int = 20) -> float | None:
+    """``correlation_dimension`` with the pairs counted in blocks; null if it isn't defined."""
+    from .pair_sums import pairs_within
+
+    r = edges.agg(F.percentile(F.when(F.col("rk") == near, F.col("dist")), 0.5).alias("a"), F.percentile(F.when(F.col("rk") == far, F.col("dist")), 0.5).alias("b")).first()
+    if not r["a"] or not r["b"] or r["a"] == r["b"]:
+        return None
+    a, b = pairs_within(base, [r["a"], r["b"]])
+    return float((np.log(b) - np.log(a)) / (np.log(r["b"]) - np.log(r["a"]))) if a else None
+
+
 #: Rows of the kernel whose spectrum is taken, and eigenvalues kept.
 SPECTRUM_ROWS, SPECTRUM = 2000, 50
 
@@ -378,52 +395,32 @@ def severity(skewness: Column, antihub_ratio: Column, dimension: Column, dims: C
     return F.struct(score.alias("score"), F.when(score >= 4, "high").when(score >= 2, "medium").otherwise("low").alias("grade"), F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit("nothing to mend"))).alias("advice"))
 
 
-class EdgeCache:
-    """Neighbour tables by name, the last ``most`` used of them persisted; one that falls out is unpersisted."""
-
-    def __init__(self, most: int = 8):
-        self.most, self._kept = most, {}
-
-    def get(self, name, make) -> DataFrame:
-        if name not in self._kept:
-            self._kept[name] = make().persist()
-            while len(self._kept) > self.most:
-                self._kept.pop(next(iter(self._kept))).unpersist()
-        else:
-            self._kept[name] = self._kept.pop(name)  # last used last
-        return self._kept[name]
-
-    def __len__(self) -> int:
-        return len(self._kept)
-
-    def clear(self) -> None:
-        while self._kept:
-            self._kept.popitem()[1].unpersist()
-
-
-def analysis(base: DataFrame, n_max: int = 20_000, cache: EdgeCache | None = None) -> DataFrame:
+def analysis(base: DataFrame, n_max: int | None = None) -> DataFrame:
     """One row with all parts of the report on ``base(id, v)``: structs ``intrinsic``, ``hubness``, ``geometry``, ``kernel``, ``suggested``, ``severity``.
 
-    Above ``n_max`` rows a hash-ordered subsample is analysed; ``input_rows`` tells how many there are.
+    All rows are analysed; ``n_max``, if given, takes the rows with the least hashes, and ``input_rows`` tells how many there are.
+    Neighbours are found once and kept in the shared folder; sums over pairs leave no pair behind.
     """
+    from . import pair_sums as PS
+    from .dimension import danco, fisher_separability
+    from .order import kept
     from .resampling import subsample
 
-    spark, cache = base.sparkSession, EdgeCache() if cache is None else cache
+    spark = base.sparkSession
     n = base.count()
-    sample = base if n <= n_max else subsample(base, "id", n_max)
-    rows = min(n, n_max)
-    k = max(5, round(np.sqrt(rows) / 2))
-    edges = cache.get(("edges", max(k, 20)), lambda: knn(sample, max(k, 20)))
-    p = pairs(sample).persist()
+    sample = base if n_max is None or n <= n_max else subsample(base, "id", n_max)
+    rows = n if n_max is None else min(n, n_max)
+    k = max(5, round(np.sqrt(min(rows, 20_000)) / 2))
+    edges = kept(knn(sample, max(k, 20)))
     near = edges.filter(F.col("rk") <= k)
     hub = hubness(k_occurrence(near, sample), near).withColumn("antihub_ratio", F.col("antihubs") / F.col("n"))
     iso = isotropy(sample)
-    unit = sample.select("id", F.transform("v", lambda x: x / (F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)) + 1e-12)).alias("v"))
-    sigma = median_sigma(p).first()["sigma"] or 0.0
+    sigma = PS.distance_median(sample) or 0.0
     spectrum = kernel_spectrum(sample, sigma)
-    dims = intrinsic_dimension(edges, 20).drop("consensus", "uncertainty").crossJoin(correlation_dimension(p, edges)).withColumn("l_pca", F.lit(iso["l_pca"]))
-    dims = dims.select("*", *consensus("two_nn", "mle", "mom", "l_pca"))
-    geometry = concentration(p).withColumnRenamed("mean", "mean_distance").crossJoin(uniformity(pairs(unit))).crossJoin(neighbours_kept(sample, k))
+    corr = correlation_in_blocks(sample, edges)
+    dims = intrinsic_dimension(edges, 20).drop("consensus", "uncertainty").select("*", F.lit(corr).cast("double").alias("corr_int"), F.lit(iso["l_pca"]).alias("l_pca"), F.lit(danco(sample, edges)).alias("danco"), F.lit(fisher_separability(sample)).alias("fisher_s"))
+    dims = dims.select("*", *consensus("two_nn", "mle", "mom", "l_pca", "corr_int", "danco", "fisher_s"))
+    geometry = PS.concentration(sample).withColumnRenamed("mean", "mean_distance").crossJoin(PS.uniformity(unit_rows(sample))).crossJoin(neighbours_kept(sample, k))
     geometry = geometry.select("*", *(F.lit(iso[c]).alias(c) for c in ("participation_ratio", "effective_rank", "score")))
     struct = lambda d, name: d.select(F.struct(*d.columns).alias(name))
     one = struct(dims, "intrinsic").crossJoin(struct(hub, "hubness")).crossJoin(struct(geometry, "geometry"))

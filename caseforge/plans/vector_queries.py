@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import dimension as D
 from ..operators import features as fe
 from ..operators import metrics as M
 from ..operators import models as MO
+from ..operators import order as O
+from ..operators import pair_sums as PS
 from ..operators import vectors as V
 from .registry import query, table
 
@@ -69,22 +72,20 @@ HUBNESS = f"""WITH {OCC}, m AS (SELECT count(*) AS n, avg(n_k) AS mean, sum(n_k)
 @query("vec05_hubness", HUBNESS)
 def hubness(spark, sf_dir):
     b = _base(spark, sf_dir)
-    edges = V.knn(b, 10).persist()
+    edges = O.kept(V.knn(b, 10))
     h = V.hubness(V.k_occurrence(edges, b), edges)
     return h.withColumns({c: F.round(c, 6) for c in ("mean", "skewness", "robinhood", "gini", "contamination")})
 
 
 @query("vec06_distance_concentration", f"WITH {P} SELECT round((max(dist) - min(dist)) / avg(dist), 6) AS relative_contrast, round(min(dist) / max(dist), 6) AS min_max_ratio, round(avg(dist), 6) AS mean FROM p")
 def distance_concentration(spark, sf_dir):
-    c = V.concentration(V.pairs(_base(spark, sf_dir)))
+    c = PS.concentration(_base(spark, sf_dir))
     return c.select(*(F.round(x, 6).alias(x) for x in c.columns))
 
 
 @query("vec06_distance_histogram", f"WITH {P}, r AS (SELECT min(dist) AS lo, max(dist) AS hi FROM p) SELECT least(floor((dist - lo) / ((hi - lo) / 50)), 49)::INT AS bin, count(*) AS n FROM p, r GROUP BY 1")
 def distance_histogram(spark, sf_dir):
-    from ..operators.aggregates import histogram
-
-    return histogram(V.pairs(_base(spark, sf_dir)).persist(), "dist", 50)
+    return PS.histogram(_base(spark, sf_dir))
 
 
 @query("joi07_all_pairs", f"WITH {P} SELECT i, count(*) AS n, round(sum(dist), 5) AS total FROM p GROUP BY i")
@@ -117,40 +118,38 @@ def _unit(spark, sf_dir):
 
 @query("vec09_uniformity", f"WITH {UNIT} SELECT round(ln(avg(exp(-2 * dist ** 2)) + 1e-10), 6) AS uniformity FROM p")
 def uniformity(spark, sf_dir):
-    u = V.uniformity(V.pairs(_unit(spark, sf_dir)))
+    u = PS.uniformity(_unit(spark, sf_dir))
     return u.select(F.round("uniformity", 6).alias("uniformity"))
 
 
 @query("vec10_median_sigma", f"WITH {P} SELECT round(median(dist), 6) AS sigma FROM p WHERE dist > 0")
 def median_sigma(spark, sf_dir):
-    return V.median_sigma(V.pairs(_base(spark, sf_dir))).select(F.round("sigma", 6).alias("sigma"))
+    return spark.createDataFrame([(PS.distance_median(_base(spark, sf_dir)),)], "sigma double").select(F.round("sigma", 6).alias("sigma"))
 
 
 @query("vec10_kernel_rows", f"WITH {P}, s AS (SELECT median(dist) AS sigma FROM p WHERE dist > 0), k AS (SELECT i, j, exp(-(dist ** 2) / (2 * sigma ** 2)) AS k FROM p, s) SELECT id, round(sum(k), 5) AS row_sum FROM (SELECT i AS id, k FROM k UNION ALL SELECT j, k FROM k UNION ALL SELECT id, 1.0 FROM e) GROUP BY id")
 def kernel_rows(spark, sf_dir):
     b = _base(spark, sf_dir)
-    p = V.pairs(b).persist()
-    return V.kernel_rows(V.rbf(p, V.median_sigma(p)), b).withColumn("row_sum", F.round("row_sum", 5))
+    return PS.kernel_rows(b, PS.distance_median(b)).withColumn("row_sum", F.round("row_sum", 5))
 
 
 @query("vec11_kernel_alignment", f"WITH {P}, s AS (SELECT median(dist) AS sigma FROM p WHERE dist > 0), k AS (SELECT exp(-(dist ** 2) / (2 * sigma ** 2)) AS k, (a.label = b.label)::INT AS l FROM p JOIN e a ON a.id = i JOIN e b ON b.id = j, s), n AS (SELECT count(*) AS n FROM e) SELECT round((2 * sum(k * l) + any_value(n)) / sqrt((2 * sum(k * k) + any_value(n)) * (2 * sum(l) + any_value(n)) + 1e-10), 6) AS alignment FROM k, n")
 def kernel_alignment(spark, sf_dir):
-    p = V.pairs(_base(spark, sf_dir)).persist()
-    return V.kernel_alignment(V.rbf(p, V.median_sigma(p)), _labels(spark, sf_dir)).select(F.round("alignment", 6).alias("alignment"))
+    b = _base(spark, sf_dir)
+    return PS.kernel_alignment(b.join(_labels(spark, sf_dir), "id"), PS.distance_median(b)).select(F.round("alignment", 6).alias("alignment"))
 
 
 @query("vec11_vector_labels", f"WITH {P}, s AS (SELECT median(dist) AS sigma FROM p WHERE dist > 0), k AS (SELECT exp(-(dist ** 2) / (2 * sigma ** 2)) AS k, list_cosine_similarity(a.v[1:3], b.v[1:3]) AS l FROM p JOIN e a ON a.id = i JOIN e b ON b.id = j, s), n AS (SELECT count(*) AS n FROM e) SELECT round((2 * sum(k * l) + any_value(n)) / sqrt((2 * sum(k * k) + any_value(n)) * (2 * sum(l * l) + any_value(n)) + 1e-10), 5) AS alignment FROM k, n")
 def vector_labels(spark, sf_dir):
     b = _base(spark, sf_dir)
-    p = V.pairs(b).persist()
-    return V.vector_label_alignment(V.rbf(p, V.median_sigma(p)), b.select("id", F.slice("v", 1, 3).alias("y"))).select(F.round("alignment", 5).alias("alignment"))
+    return PS.vector_label_alignment(b.withColumn("y", F.slice("v", 1, 3)), PS.distance_median(b)).select(F.round("alignment", 5).alias("alignment"))
 
 
 @query("vec10_kernel_spectrum")
 def kernel_spectrum(spark, sf_dir):
     """Spectrum of the kernel of at most ``V.SPECTRUM_ROWS`` rows, a documented sample."""
     b = _base(spark, sf_dir)
-    k = V.kernel_spectrum(b, V.median_sigma(V.pairs(b)).first()["sigma"])
+    k = V.kernel_spectrum(b, PS.distance_median(b))
     return spark.createDataFrame([tuple(k.values())], ", ".join(f"{c} double" for c in k))
 
 
@@ -171,7 +170,18 @@ def local_dimensions(spark, sf_dir):
 @query("vec12_correlation_dimension", f"WITH {EDGES.replace('rk <= 10', 'rk <= 20')}, r AS (SELECT median(dist) FILTER (rk = 10) AS a, median(dist) FILTER (rk = 20) AS b FROM edges), c AS (SELECT sum((dist < a)::INT) AS na, sum((dist < b)::INT) AS nb, any_value(a) AS a, any_value(b) AS b FROM p, r) SELECT round((ln(nb) - ln(na)) / (ln(b) - ln(a)), 5) AS corr_int FROM c")
 def correlation_dimension(spark, sf_dir):
     b = _base(spark, sf_dir)
-    return V.correlation_dimension(V.pairs(b), V.knn(b, 20)).select(F.round("corr_int", 5).alias("corr_int"))
+    return spark.createDataFrame([(V.correlation_in_blocks(b, V.knn(b, 20)),)], "corr_int double").select(F.round("corr_int", 5).alias("corr_int"))
+
+
+@query("vec12_danco")
+def danco(spark, sf_dir):
+    b = _base(spark, sf_dir)
+    return spark.createDataFrame([(D.danco(b, O.kept(V.knn(b, 11))),)], "danco double")
+
+
+@query("vec12_fisher_separability")
+def fisher_separability(spark, sf_dir):
+    return spark.createDataFrame([(D.fisher_separability(_base(spark, sf_dir)),)], "fisher_s double")
 
 
 @query("vec13_suggested_sizes", f"WITH {DIMENSION} SELECT n, greatest(5, round_even(sqrt(least(n, 20000)) / 2, 0))::BIGINT AS k, least(64, greatest(4, floor(consensus), round_even(1.5 * consensus, 0)))::BIGINT AS dimension FROM dim, (SELECT count(*) AS n FROM embeddings)")
