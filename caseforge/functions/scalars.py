@@ -104,11 +104,37 @@ def guarded_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(_c(b) > 0, _c(a) / _c(b))
 
 
-def clean_tokens(x: Column | str, stopwords=STOPWORDS, lemmas: DataFrame | None = None) -> Column:
-    """Tokens of the training text: no digits, number words, single characters or stopwords but negations."""
+#: Irregular forms and their lemmas.
+IRREGULAR = {
+    "am": "be", "is": "be", "are": "be", "was": "be", "were": "be", "been": "be", "has": "have", "had": "have", "does": "do", "did": "do", "done": "do", "went": "go", "gone": "go",
+    "made": "make", "took": "take", "taken": "take", "gave": "give", "given": "give", "came": "come", "saw": "see", "seen": "see", "said": "say", "got": "get", "found": "find", "felt": "feel",
+    "left": "leave", "led": "lead", "kept": "keep", "held": "hold", "began": "begin", "begun": "begin", "grew": "grow", "grown": "grow", "knew": "know", "known": "know", "shown": "show", "rose": "rise",
+    "risen": "rise", "fell": "fall", "fallen": "fall", "wrote": "write", "written": "write", "underwent": "undergo", "undergone": "undergo", "sent": "send", "met": "meet", "told": "tell", "thought": "think", "brought": "bring",
+    "men": "man", "women": "woman", "children": "child", "feet": "foot", "teeth": "tooth", "mice": "mouse", "people": "person", "diagnoses": "diagnosis", "metastases": "metastasis", "biopsies": "biopsy", "indices": "index",
+    "better": "good", "best": "good", "worse": "bad", "worst": "bad", "further": "far", "this": "this", "his": "his", "as": "as", "its": "its", "during": "during", "nothing": "nothing", "something": "something",
+}
+#: Suffix rules, the first that fits: what ends the word, and what stands in its place.
+SUFFIXES = [
+    (r"^(.{2,})ies$", r"\1y"), (r"^(.+(?:ss|sh|ch|x))es$", r"\1"), (r"^(.{2,}[^sui])s$", r"\1"), (r"^(.{2,})ied$", r"\1y"),
+    (r"^(.*[aeiouy].*(?:bb|dd|gg|mm|nn|pp|rr|tt))(?:ed|ing)$", r"\1 "), (r"^(.*(?:[^aeiou][auo]t|[aeiou]s|iz|bl|[aeiou]v|[aeiou]c|[aeiou].*u|[aeiou][lrd]g|[ch]ang|[^aeiou][aio]k))(?:ed|ing)$", r"\1e"), (r"^(.*[aeiouy].{1,})(?:ed|ing)$", r"\1"),
+]
+
+
+def lemma(w: Column, irregular: dict[str, str] = IRREGULAR) -> Column:
+    """A lower-case word's lemma: its irregular form's, else by the first suffix rule that fits, else itself. Doubled consonants before the suffix become one."""
+    out = F.when(w.isin(*irregular), F.element_at(F.create_map(*(F.lit(x) for pair in irregular.items() for x in pair)), w)) if irregular else F.when(F.lit(False), w)
+    for pattern, put in SUFFIXES:
+        cut = F.regexp_replace(w, pattern, put.replace("\\", "$"))
+        out = out.when(w.rlike(pattern), F.regexp_replace(cut, r"(.) $", "") if put.endswith(" ") else cut)
+    return out.otherwise(w)
+
+
+def clean_tokens(x: Column | str, stopwords=STOPWORDS, lemmas: dict[str, str] | None = None) -> Column:
+    """Lemmas of the training text's tokens: no digits, number words, single characters or stopwords but negations; ``lemmas``, if given, stand for ``IRREGULAR``."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), r"[^a-z0-9\s-]", " "), r"\s+")
     drop = [w for w in (*stopwords, *NUMBER_WORDS) if w not in NEGATIONS]
-    return F.filter(words, lambda w: (F.char_length(w) > 1) & ~w.rlike(r"\d") & ~w.isin(*drop))
+    told = F.transform(F.filter(words, lambda w: ~w.isin(*drop)), lambda w: F.when(w.isin(*NEGATIONS), w).otherwise(lemma(w, IRREGULAR if lemmas is None else lemmas)))
+    return F.filter(told, lambda w: (F.char_length(w) > 1) & ~w.rlike(r"\d"))
 
 
 def clean_tokens_serving(x: Column | str) -> Column:

@@ -103,61 +103,6 @@ def explained(attribution: DataFrame, variables: list[str], thresholds: dict[str
     return wide.withColumn("reveal", reveal_list({v: F.col(v) for v in variables}))
 
 
-#: Prototypes that training fits at most: the rows with the least hashes. Scoring takes all rows.
-MAX_PROTOTYPES = 1000
-
-
-class Kdm:
-    """Prototype weights, bandwidth and, if asked for, prototype labels by gradient descent on the log loss; the training rows are the prototypes.
-
-    A label is a pair of amplitudes whose squares are its probabilities. A hard label has an amplitude of 0, whose
-    gradient is 0, so hard labels stay where they are; smoothed ones (``smooth`` > 0) can drift.
-    """
-
-    def __init__(self, sigma: float | None = None, epochs: int = 300, rate: float = 0.05, train_labels: bool = False, smooth: float = 0.0, seed: int = 0):
-        self.sigma, self.epochs, self.rate, self.train_labels, self.smooth, self.seed = sigma, epochs, rate, train_labels, smooth, seed
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Kdm:
-        d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-        off = ~np.eye(len(x), dtype=bool)
-        if self.sigma is None:
-            self.sigma = float(np.sqrt(np.median(d2[off]) / 2)) if off.any() else 1.0
-        d2f = d2.copy()
-        np.fill_diagonal(d2f, np.inf)
-        logits = np.random.default_rng(self.seed).normal(0, 0.01, len(x))
-        log_sigma, soft = np.log(self.sigma), y * (1 - self.smooth) + self.smooth / 2
-        amplitude = np.sqrt(np.stack([1 - soft, soft], 1))
-        first, self.losses = amplitude.copy(), []
-        for _ in range(self.epochs):
-            w = np.exp(logits - logits.max())
-            w /= w.sum()
-            z = d2f * np.exp(-2 * log_sigma)
-            k = np.exp(-(z - z.min(1, keepdims=True))) * w
-            share = k / k.sum(1, keepdims=True)
-            norm = (amplitude**2).sum(1)
-            label = amplitude[:, 1] ** 2 / norm
-            p = np.clip(share @ label, 1e-6, 1 - 1e-6)
-            self.losses.append(float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()))
-            g = (p - y) / (p * (1 - p)) / len(y)
-            pull = g[:, None] * share * (label[None] - p[:, None])
-            if self.train_labels:
-                to_label = (g[:, None] * share).sum(0)
-                d_amp = np.stack([-2 * amplitude[:, 0] * amplitude[:, 1] ** 2, 2 * amplitude[:, 1] * amplitude[:, 0] ** 2], 1) / norm[:, None] ** 2
-                amplitude = amplitude - self.rate * len(y) * to_label[:, None] * d_amp
-            logits = logits - self.rate * len(y) * pull.sum(0)
-            log_sigma = log_sigma - self.rate * float((pull * 2 * np.where(np.isfinite(z), z, 0)).sum())
-        w = np.exp(logits - logits.max())
-        self.weights, self.sigma = w / w.sum(), float(np.exp(log_sigma))
-        self.labels = amplitude[:, 1] ** 2 / (amplitude**2).sum(1)
-        self.drift = np.abs(amplitude - first).max(1)
-        return self
-
-    def prototypes(self, spark, ids: list[int], x: np.ndarray) -> DataFrame:
-        """``id, v, w, y`` for ``vectors.kernel_sums``."""
-        rows = [(int(i), r.tolist(), float(w), float(y)) for i, r, w, y in zip(ids, x, self.weights, self.labels)]
-        return spark.createDataFrame(rows, "id long, v array<double>, w double, y double")
-
-
 def seeds_averaged(runs: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
     """Over ``seed``: mean probability, its deviation, the vote at 0.5 (no at a draw) and the share of seeds that agree with it."""
     yes = F.avg((F.col(p) >= 0.5).cast("double"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .order import kept
 from .vectors import as_vectors, pca, projected
 
 
@@ -58,23 +63,126 @@ def tfidf(tokens: DataFrame, key: str, words: str, max_features: int | None = No
     return w.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+#: Directions sampled beyond those wanted, and turns of the range finder.
+OVERSAMPLED, TURNS = 10, 3
+
+
+def _per_task(rows: DataFrame, width: int, f) -> DataFrame:
+    """``f(terms, weights, y)`` of each row of ``rows(key, terms, weights[, y])`` is a list of numbers of ``width``."""
+    key = rows.schema.fields[0]
+    schema = T.StructType([key, *(rows.schema[c] for c in ("terms", "weights")), T.StructField("y", T.ArrayType(T.DoubleType()))])
+
+    def each(batches):
+        for b in batches:
+            t = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("terms", "weights")]
+            y = b.column(b.schema.get_field_index("y")).to_pylist() if "y" in b.schema.names else [None] * b.num_rows
+            out = [f(*x).tolist() for x in zip(*t, y)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.float64()))], names=[key.name, "terms", "weights", "y"])
+
+    return rows.mapInArrow(each, schema)
+
+
+def _gram(rows: DataFrame, column: str, width: int) -> np.ndarray:
+    """Sum of the outer products of a column of short vectors: one width x width matrix comes here."""
+
+    def part(batches):
+        g = np.zeros((width, width))
+        for b in batches:
+            m = np.asarray(b.column(0).flatten()).reshape(-1, width)
+            g += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array([g.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    sums = rows.select(column).mapInArrow(part, "g array<double>").select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(width * width)
+    for r in sums:
+        out[r["at"]] = r["x"]
+    return out.reshape(width, width)
+
+
+def _triangles(rows: DataFrame, column: str, width: int, groups: int = 16) -> np.ndarray:
+    """R of the tall matrix whose rows are a column of short vectors: each task's block has its own R, and these are stacked and decomposed again in groups, last on the driver."""
+    of = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("r", T.ArrayType(T.DoubleType()))])
+
+    def own(batches):
+        r = np.zeros((0, width))
+        for b in batches:
+            r = np.linalg.qr(np.concatenate([r, np.asarray(b.column(0).flatten()).reshape(-1, width)]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.pad(r, ((0, width - len(r)), (0, 0))).reshape(-1).tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    def stacked(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        r = np.linalg.qr(np.asarray(table["r"].combine_chunks().flatten()).reshape(-1, width), mode="r")
+        return pa.table([pa.array([table["part"][0].as_py()], pa.int32()), pa.array([r.reshape(-1).tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    blocks = rows.select(column).mapInArrow(own, of).withColumn("part", F.spark_partition_id())
+    top = blocks.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(stacked, of).collect()
+    r = np.linalg.qr(np.array([x["r"] for x in sorted(top, key=lambda x: x["part"])]).reshape(-1, width), mode="r")
+    return np.pad(r, ((0, width - len(r)), (0, 0)))
+
+
+def svd_parts(tfidf_rows: DataFrame, key: str, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Randomised singular value decomposition of ``tfidf_rows(key, term, weight)``: scores ``(key, z)``, loadings ``(term, v)`` and the singular values.
+
+    A row's first image is by Gaussian numbers drawn from the hashes of its terms, so nothing as wide as the terms is sent. Each turn makes the
+    images orthonormal by a tree of triangles (TSQR) and takes them through the table and back; terms are summed and joined by shuffles, whatever their
+    number. The driver holds matrices of k + ``OVERSAMPLED`` columns and rows. Of each component the loading of largest size is positive.
+    """
+    rows = kept(tfidf_rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x")).select(key, F.col("x.term").alias("terms"), F.col("x.weight").alias("weights")))
+    n_rows, n_terms = rows.count(), tfidf_rows.select("term").distinct().count()
+    k = max(0, min(k, n_terms - 1, n_rows))
+    width = min(k + OVERSAMPLED, n_terms, max(1, n_rows))
+
+    def drawn(terms, weights, _):
+        out = np.zeros(width)
+        for t, w in zip(terms, weights):
+            out += w * np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")]).normal(size=width)
+        return out
+
+    def through(images: DataFrame, turn: np.ndarray) -> DataFrame:
+        """``term, b``: the table's transpose times the images times ``turn``."""
+
+        def summed(batches):
+            total: dict[str, np.ndarray] = {}
+            for b in batches:
+                q = np.asarray(b.column(2).flatten()).reshape(-1, width) @ turn
+                for terms, weights, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), q):
+                    for t, w in zip(terms, weights):
+                        total[t] = total[t] + w * v if t in total else w * v
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["term", "b"])
+
+        part = images.select("terms", "weights", "y").mapInArrow(summed, "term string, b array<double>")
+        return part.groupBy("term").agg(*(F.sum(F.get("b", i)).alias(f"b{i}") for i in range(width))).select("term", F.array(*(F.col(f"b{i}") for i in range(width))).alias("b"))
+
+    def back(loads: DataFrame) -> DataFrame:
+        """The table times the loadings, row by row."""
+        long = rows.select(key, F.explode(F.arrays_zip("terms", "weights")).alias("x")).select(key, F.col("x.terms").alias("term"), F.col("x.weights").alias("w"))
+        y = long.join(loads, "term").groupBy(key).agg(*(F.sum(F.col("w") * F.get("b", i)).alias(f"y{i}") for i in range(width)))
+        return rows.join(y.select(key, F.array(*(F.col(f"y{i}") for i in range(width))).alias("y")), key)
+
+    images = kept(_per_task(rows, width, drawn))
+    for turn in range(TURNS + 1):
+        r = _triangles(images, "y", width)
+        loads = kept(through(images, np.linalg.pinv(r)))
+        if turn < TURNS:
+            images = kept(back(loads.select("term", "b")))
+    # The table is Q B^T with Q the last orthonormal images: the values and turns are those of B's small Gram matrix.
+    lam, w = np.linalg.eigh(_gram(loads, "b", width))
+    order = np.argsort(-lam)[:k]
+    sigma, w = np.sqrt(np.maximum(lam[order], 0)), w[:, order]
+    inverse = w / np.where(sigma > 0, sigma, 1)
+    load = loads.select("term", F.array(*(sum((F.get("b", i) * float(inverse[i, j]) for i in range(width)), F.lit(0.0)) for j in range(k))).alias("v"))
+    top = load.agg(*(F.max_by(F.get("v", j), F.struct(F.abs(F.get("v", j)), "term")).alias(f"s{j}") for j in range(k))).first() if k else []
+    sign = np.array([1.0 if x is None or x >= 0 else -1.0 for x in top])
+    scores = np.linalg.pinv(r) @ w * (sigma * sign)
+    z = images.select(key, F.array(*(sum((F.get("y", i) * float(scores[i, j]) for i in range(width)), F.lit(0.0)) for j in range(k))).alias("z"))
+    return z, load.select("term", F.array(*(F.get("v", j) * float(sign[j]) for j in range(k))).alias("v")), sigma
+
+
 def svd(tfidf_rows: DataFrame, key: str, k: int) -> DataFrame:
-    """``key, z``: the k leading right-singular projections, rows of length 1. The Gram matrix of the terms must fit the driver: bound them by ``max_features``."""
-    terms = [r["term"] for r in tfidf_rows.select("term").distinct().orderBy("term").collect()]
-    k = min(k, len(terms) - 1)
-    at = {t: i for i, t in enumerate(terms)}
-    a = tfidf_rows.select(key, F.col("term").alias("t1"), F.col("weight").alias("w1"))
-    b = tfidf_rows.select(key, F.col("term").alias("t2"), F.col("weight").alias("w2"))
-    gram = np.zeros((len(terms), len(terms)))
-    for r in a.join(b, key).groupBy("t1", "t2").agg(F.sum(F.col("w1") * F.col("w2")).alias("g")).toLocalIterator():
-        gram[at[r["t1"]], at[r["t2"]]] = r["g"]
-    w, v = np.linalg.eigh(gram)
-    v = v[:, np.argsort(-w)[:k]]
-    v *= np.sign(v[np.abs(v).argmax(0), np.arange(k)])
-    load = tfidf_rows.sparkSession.createDataFrame([(t, [float(x) for x in v[i]]) for t, i in at.items()], "term string, load array<double>")
-    z = tfidf_rows.join(F.broadcast(load), "term").select(key, F.posexplode("load").alias("dim", "l"), "weight").groupBy(key, "dim").agg(F.sum(F.col("l") * F.col("weight")).alias("z"))
-    length = F.sqrt(F.sum(F.col("z") ** 2).over(Window.partitionBy(key)))
-    return z.select(key, "dim", F.try_divide("z", length).alias("z"))
+    """``key, dim, z``: the k leading right-singular projections (one fewer than the terms at most), rows of length 1."""
+    z = svd_parts(tfidf_rows, key, k)[0]
+    length = F.sqrt(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))
+    return z.select(key, F.posexplode("z").alias("dim", "x"), length.alias("_l")).select(key, "dim", F.try_divide("x", "_l").alias("z"))
 
 
 def ranked(df: DataFrame, columns: list[str], key: str) -> DataFrame:
@@ -137,15 +245,11 @@ def representatives(clusters: dict[str, int], rho: dict[tuple[str, str], float],
 
 
 def pca_scores(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-
-
     base = as_vectors(df, key, vector)
     mean, comps = pca(base, k)
     return projected(base, mean, comps)
 
 
-
-
 #: The signals of each family of the confidence head.
 FAMILIES = {"ici_only": ("ici",), "p_only": ("p_t", "p_m", "p_x"), "ici_plus_p": ("ici", "p_t", "p_m", "p_x")}
 

@@ -10,10 +10,14 @@ from ..functions import scalars as S
 from ..operators import attribution as AT
 from ..operators import evaluator as EV
 from ..operators import features as fe
+from ..operators import kdm as KD
 from ..operators import losses as L
 from ..operators import metrics as M
 from ..operators import models as MO
+from ..operators import order as O
+from ..operators import pair_sums as PS
 from ..operators import resampling as R
+from ..operators import shapley as SH
 from ..operators import trees
 from ..operators import vectors as V
 from ..operators.refine import Refiner
@@ -482,6 +486,14 @@ def exact_shapley(spark, sf_dir):
     return AT.exact_shapley(e.select("id", "v"), x, q, x[:5])
 
 
+@query("att02_kernel_shap")
+def kernel_shap(spark, sf_dir):
+    """All rows, all dimensions: 20 coalitions, 10 features, 5 background rows; the model keeps at most ``SH.MAX_MEMORY`` rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("double").alias("y"))
+    memory, labels = SH.fitted_memory(e)
+    return SH.kernel_shap(e, memory, labels, memory[: SH.BACKGROUND])
+
+
 @query("att03_max_normalised", "SELECT event_id, event_type, round(value / max(value) OVER (PARTITION BY event_type), 6) AS value FROM events")
 def max_normalised(spark, sf_dir):
     return AT.max_normalised(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), ["event_type"], "value").withColumn("value", F.round("value", 6))
@@ -526,30 +538,34 @@ def kdm_entropy(spark, sf_dir):
     return _kdm(spark, sf_dir).select("q", *(F.round(c, 5).alias(c) for c in ("total_entropy", "aleatoric", "epistemic")))
 
 
-def _fit(spark, sf_dir, rows=AT.MAX_PROTOTYPES, **options):
-    """A model fitted to at most ``rows`` rows, those with the least hashes, and its prototypes."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"))
-    mem = R.subsample(e, "vec_id", rows).collect()
-    x, y = np.array([r["v"] for r in mem]), np.array([float(r["y"]) for r in mem])
-    model = AT.Kdm(**options).fit(x, y)
-    return model, model.prototypes(spark, [r["vec_id"] for r in mem], x)
+def _kdm_rows(spark, sf_dir, splits=None):
+    """Vectors, hard labels and roles: all rows train, or the stratified ``splits``."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"))
+    if splits is None:
+        return e.withColumn("roles", F.array(F.lit(0)))
+    return e.join(R.fold_roles(R.stratified_splits(e.select("id", "y"), "id", "y", splits), "id"), "id")
 
 
 @query("kdm01_train")
 def kdm_train(spark, sf_dir):
-    """All rows scored by a model whose prototypes are a bounded sample; a prototype doesn't vote on itself."""
-    model, prototypes = _fit(spark, sf_dir, epochs=100)
-    return AT.kdm_signals(V.kernel_sums(_base(spark, sf_dir), prototypes, model.sigma, leave_self_out=True)).select("q", "p", "total_entropy")
+    """All rows train and are scored; the prototypes are a bounded sample, and one doesn't vote on itself."""
+    t = KD.fit(_kdm_rows(spark, sf_dir), [KD.Config()], epochs=30, rate=0.02)
+    return AT.kdm_signals(V.kernel_sums(_base(spark, sf_dir), t.prototypes(spark), t.sigma(), leave_self_out=True)).select("q", "p", "total_entropy")
+
+
+@query("kdm01_grid")
+def kdm_grid(spark, sf_dir):
+    """The 32 configurations on three stratified splits, trained together: one job an epoch."""
+    return KD.grid(_kdm_rows(spark, sf_dir, 3), epochs=10, rate=0.02, prototypes=100)
 
 
 @query("kdm03_drift")
 def kdm_drift(spark, sf_dir):
-    """How far prototype labels move in training: hard ones not at all, smoothed ones do."""
-    rows = []
-    for smooth in (0.0, 0.1):
-        model, _ = _fit(spark, sf_dir, 200, epochs=50, train_labels=True, smooth=smooth)
-        rows.append((smooth, float(model.drift.max()), bool(model.drift.max() < 1e-9)))
-    return spark.createDataFrame(rows, "smooth double, max_drift double, fixed boolean")
+    """How far prototype labels move in training on all rows: hard ones not at all, smoothed ones do. One row for each prototype and smoothing."""
+    eps = (0.0, 0.1)
+    t = KD.fit(_kdm_rows(spark, sf_dir), [KD.Config(y_train=True, eps=x) for x in eps], epochs=10, rate=0.02)
+    rows = [(x, int(i), float(d), bool(d < 1e-9)) for k, x in enumerate(eps) for i, d in zip(t.ids, t.drift(k))]
+    return spark.createDataFrame(rows, "smooth double, prototype long, drift double, fixed boolean")
 
 
 SEEDS = f"{P}, seed AS (SELECT unnest([1, 2, 3])::BIGINT AS seed), two AS (SELECT i AS q, j AS n, dist FROM p UNION ALL SELECT j, i, dist FROM p), k AS (SELECT seed, q, (label < 5)::INT AS y, (n * seed % 7 + 1) * exp(-(dist ** 2) / (2 * 5.0 ** 2)) ** 2 AS k FROM two JOIN e ON e.id = n, seed), r AS (SELECT seed, q, round(sum(k * y) / sum(k), 9) AS p FROM k GROUP BY ALL)"
@@ -571,46 +587,44 @@ def seed_averages(spark, sf_dir):
 SIM = f"{UNIT}, z AS (SELECT i, j, li = lj AS same, abs(li - lj) AS gap, 1 - dist ** 2 / 2 AS s, dist FROM p UNION ALL SELECT j, i, li = lj, abs(li - lj), 1 - dist ** 2 / 2, dist FROM p)"
 
 
-def _similarities(spark, sf_dir):
-    p = V.pairs(_unit(spark, sf_dir))
-    lab = lambda a, b: table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(a), F.col("label").alias(b))
-    two = p.select("i", "j", "dist").unionAll(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
-    return two.join(lab("i", "li"), "i").join(lab("j", "lj"), "j").withColumn("s", 1 - F.col("dist") ** 2 / 2).withColumn("same", F.col("li") == F.col("lj")).withColumn("gap", F.abs(F.col("li") - F.col("lj"))).persist()
+def _labelled_unit(spark, sf_dir):
+    return _unit(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "label"), "id")
 
 
 @query("los01_nt_xent", f"WITH {SIM} SELECT round(avg(ln(a) - pos), 6) AS loss FROM (SELECT i, sum(exp(s / 0.5)) AS a, max(CASE WHEN j = (i + 1) % (SELECT count(*) FROM e) THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL")
 def nt_xent(spark, sf_dir):
     n = table(spark, sf_dir, "embeddings").count()
-    return L.nt_xent(_similarities(spark, sf_dir), F.col("j") == (F.col("i") + 1) % n).select(F.round("loss", 6).alias("loss"))
+    unit = _labelled_unit(spark, sf_dir).withColumn("next", (F.col("id") + 1) % n)
+    return PS.nt_xent(PS.anchors(unit, positive="next")).select(F.round("loss", 6).alias("loss"))
 
 
 @query("los02_supcon", f"WITH {SIM} SELECT round(avg(ln(a) - pos), 6) AS loss FROM (SELECT i, sum(exp(s / 0.5)) AS a, avg(CASE WHEN same THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL")
 def supcon(spark, sf_dir):
-    return L.supcon(_similarities(spark, sf_dir), F.col("same")).select(F.round("loss", 6).alias("loss"))
+    return PS.supcon(PS.anchors(_labelled_unit(spark, sf_dir))).select(F.round("loss", 6).alias("loss"))
 
 
 @query("los03_align_uniform", f"WITH {SIM} SELECT round(avg(CASE WHEN same THEN dist ** 2 END), 6) AS alignment, round(ln(avg(exp(-2 * dist ** 2))), 6) AS uniformity FROM z")
 def align_uniform(spark, sf_dir):
-    a = L.align_uniform(_similarities(spark, sf_dir), F.col("same"))
+    a = PS.align_uniform(_labelled_unit(spark, sf_dir))
     return a.select(F.round("alignment", 6).alias("alignment"), F.round("uniformity", 6).alias("uniformity"))
 
 
 @query("los04_triplet", f"WITH {SIM}, b AS (SELECT i, max(dist) FILTER (same) AS fp, avg(dist) FILTER (same) AS mp, min(dist) FILTER (NOT same) AS nn, avg(dist) FILTER (NOT same) AS mn FROM z GROUP BY i), c AS (SELECT z.i, min(dist) AS nearest FROM z JOIN b ON z.i = b.i WHERE NOT same AND dist > fp GROUP BY z.i) SELECT round(avg(greatest(0, mp - mn + 0.2)), 6) AS easy, round(avg(greatest(0, fp - nn + 0.2)), 6) AS hard, round(avg(greatest(0, fp - coalesce(nearest, nn) + 0.2)), 6) AS semihard FROM b LEFT JOIN c ON b.i = c.i")
 def triplet(spark, sf_dir):
-    s = _similarities(spark, sf_dir)
-    one = lambda m: L.triplet(s, F.col("same"), mining=m).select(F.round("loss", 6).alias(m))
-    return one("easy").crossJoin(one("hard")).crossJoin(one("semi").withColumnRenamed("semi", "semihard"))
+    unit = _labelled_unit(spark, sf_dir)
+    t = PS.triplet(unit, O.kept(PS.anchors(unit)))
+    return t.select(*(F.round(c, 6).alias(c) for c in t.columns))
 
 
 @query("los05_rank_n_contrast", f"WITH {SIM}, g AS (SELECT i, gap, sum(exp(s / 2.0)) AS e, sum(s / 2.0) AS s, count(*) AS n FROM z GROUP BY ALL), t AS (SELECT n, s, ln(sum(e) OVER (PARTITION BY i ORDER BY gap DESC)) AS tail FROM g) SELECT round(sum(n * tail - s) / sum(n), 6) AS loss FROM t")
 def rank_n_contrast(spark, sf_dir):
-    return L.rank_n_contrast(_similarities(spark, sf_dir), "gap").select(F.round("loss", 6).alias("loss"))
+    return PS.rank_n_contrast(_labelled_unit(spark, sf_dir)).select(F.round("loss", 6).alias("loss"))
 
 
 @query("los06_combined", f"WITH {SIM} SELECT round(1.0 * (SELECT avg(ln(a) - pos) FROM (SELECT i, sum(exp(s / 0.5)) AS a, avg(CASE WHEN same THEN s / 0.5 END) AS pos FROM z GROUP BY i) WHERE pos IS NOT NULL) + 0.5 * (SELECT ln(avg(exp(-2 * dist ** 2))) FROM z), 6) AS loss")
 def combined(spark, sf_dir):
-    s = _similarities(spark, sf_dir)
-    return L.combined([(1.0, L.supcon(s, F.col("same")), "loss"), (0.5, L.align_uniform(s, F.col("same")), "uniformity")]).select(F.round("loss", 6).alias("loss"))
+    unit = _labelled_unit(spark, sf_dir)
+    return L.combined([(1.0, PS.supcon(PS.anchors(unit)), "loss"), (0.5, PS.align_uniform(unit), "uniformity")]).select(F.round("loss", 6).alias("loss"))
 
 
 @query("aug01_noise")
@@ -680,9 +694,10 @@ def one_of(spark, sf_dir):
 
 @query("rep01_refined")
 def refined(spark, sf_dir):
-    b = _base(spark, sf_dir)
-    x = np.array([r["v"] for r in R.subsample(b, "id", 400).collect()])
-    return Refiner(16, epochs=10).fit(x).transform(b)
+    """Trained on all rows, with their labels, and applied to all."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("y"))
+    r = Refiner(16, hidden=64, losses=[(1.0, "supcon"), (0.5, "align_uniform")], epochs=6, eval_every=3).fit(e)
+    return r.transform(e)
 
 
 @query("srv01_fused_decision", f"WITH {F3} SELECT doc_id, round(p_t, 4) AS p_t, round(p_m, 4) AS p_m, round(p_x, 4) AS p_x, CASE WHEN {MEAN3} >= 0.5 THEN 'yes' ELSE 'no' END AS decision FROM f")

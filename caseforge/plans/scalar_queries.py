@@ -98,7 +98,17 @@ def _sql_list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query("sca15_clean_tokens", f"SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT regexp_matches(w, '\\d') AND w NOT IN {_sql_list(w for w in (*S.STOPWORDS, *S.NUMBER_WORDS) if w not in S.NEGATIONS)}), ' ') AS cleaned FROM documents")
+def _lemma_sql(w: str) -> str:
+    """The lemma of ``w`` in DuckDB, from the same dictionary and rules."""
+    keys = ", ".join(f"'{x}'" for x in S.IRREGULAR)
+    rules = ""
+    for pattern, put in S.SUFFIXES:
+        cut = f"regexp_replace({w}, '{pattern}', '{put}')"
+        rules += f" WHEN regexp_matches({w}, '{pattern}') THEN " + (f"regexp_replace({cut}, '(.) $', '')" if put.endswith(" ") else cut)
+    return f"CASE WHEN {w} IN {_sql_list(S.NEGATIONS)} THEN {w} WHEN {w} IN ({keys}) THEN MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in S.IRREGULAR.items())}}}[{w}]{rules} ELSE {w} END"
+
+
+@query("sca15_clean_tokens", f"SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: w NOT IN {_sql_list(w for w in (*S.STOPWORDS, *S.NUMBER_WORDS) if w not in S.NEGATIONS)}), lambda w: {_lemma_sql('w')}), lambda w: length(w) > 1 AND NOT regexp_matches(w, '\\d')), ' ') AS cleaned FROM documents")
 def clean_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(S.clean_tokens("text"), " ").alias("cleaned"))
 

@@ -18,7 +18,6 @@ from caseforge.operators import models as MO
 from caseforge.operators import resampling as R
 from caseforge.operators import sets, trees
 from caseforge.operators import vectors as V
-from caseforge.operators.refine import Refiner, auto_config
 from caseforge.plans import QUERIES
 from caseforge.sources import readers
 from caseforge.streaming import scores
@@ -219,14 +218,10 @@ def test_severity_has_the_seven_groups_of_rules(spark):
 
 
 def test_analysis_gives_the_whole_report(spark, blobs):
-    cache = V.EdgeCache(1)
-    r = V.analysis(frame(spark, blobs), cache=cache).first()
+    r = V.analysis(frame(spark, blobs)).first()
     assert r.input_rows == 120 and r.width == 8 and r.suggested.k == 5 and 4 <= r.suggested.dimension <= 8
     assert 1 <= r.intrinsic.consensus <= 12 and r.kernel.effective_rank > 1 and r.kernel.condition_number >= r.kernel.spectral_gap >= 1
-    assert 0.5 < r.geometry.consistency <= 1 and r.severity.grade in ("low", "medium", "high") and len(cache) == 1
-    cache.get("other", lambda: spark.range(3))
-    assert len(cache) == 1
-    cache.clear()
+    assert 0.5 < r.geometry.consistency <= 1 and r.severity.grade in ("low", "medium", "high")
     small = V.analysis(frame(spark, blobs), n_max=60).first()
     assert small.input_rows == 120 and small.hubness.n == 60
     k = V.kernel_spectrum(frame(spark, blobs), 3.0)
@@ -336,28 +331,6 @@ def test_mcnemar_of_large_counts(spark):
     assert M.mcnemar(even, [], "y", "a", "b").first().p_value == 1.0
 
 
-def test_refiner_improves_and_reloads(spark, blobs):
-    r = Refiner(4, epochs=20).fit(blobs)
-    assert r.history[-1] < 0.999 * r.history[0]
-    a, b = (np.array([x.v for x in m.transform(frame(spark, blobs)).orderBy("id").collect()]) for m in (r, Refiner.load(json.loads(json.dumps(r.save())))))
-    assert np.allclose(a, b) and np.allclose(np.linalg.norm(a, axis=1), 1, atol=1e-6)
-    assert auto_config({"target": 12.0}, True)["losses"][0] == (1.0, "supcon")
-
-
-def test_kdm_training_lowers_the_loss_and_hard_labels_stay(blobs):
-    y = ((np.arange(len(blobs)) < 40) ^ (np.arange(len(blobs)) % 9 == 0)).astype(float)
-    m = AT.Kdm(epochs=60).fit(blobs, y)
-    assert m.weights.sum() == pytest.approx(1) and m.losses[-1] < 0.98 * m.losses[0]
-    # Held-out rows are told better than by the share of the classes.
-    rng = np.random.default_rng(1)
-    held, truth = blobs + rng.normal(0, 0.3, blobs.shape), (np.arange(len(blobs)) < 40).astype(float)
-    k = np.exp(-((held[:, None] - blobs[None]) ** 2).sum(2) / m.sigma**2) * m.weights
-    p = np.clip(k @ m.labels / (k.sum(1) + 1e-300), 1e-3, 1 - 1e-3)
-    assert -(truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean() < 0.5
-    assert AT.Kdm(epochs=30, train_labels=True).fit(blobs, y).drift.max() < 1e-12
-    assert AT.Kdm(epochs=30, train_labels=True, smooth=0.2).fit(blobs, y).drift.max() > 1e-4
-
-
 def test_clusters_and_representatives():
     rho = {("a", "b"): 0.95, ("a", "c"): 0.1, ("b", "c"): 0.2, ("c", "d"): 0.9, ("a", "d"): 0.1, ("b", "d"): 0.1}
     c = fe.complete_linkage(list("abcd"), rho, 0.8)
@@ -413,3 +386,43 @@ def test_checks_raise(spark):
     with pytest.raises(ValueError, match="expected 3"):
         S.with_prefixes(spark.range(1), "id", "i", expect=3)
     assert math.isclose(S.CERTAINTY["borderline"], 0.5)
+
+
+def test_lemmas(spark):
+    said = {"studies": "study", "classes": "class", "watches": "watch", "cats": "cat", "bus": "bus", "tried": "try", "stopped": "stop", "scanning": "scan", "dated": "date", "treated": "treat", "used": "use", "increased": "increase", "making": "make", "showing": "show", "enlarged": "enlarge", "sizes": "size", "men": "man", "was": "be", "biopsies": "biopsy", "bed": "bed", "mri-guided": "mri-guid", "": ""}
+    got = {r.w: r.l for r in spark.createDataFrame([(w,) for w in said], "w string").select("w", S.lemma(F.col("w")).alias("l")).collect()}
+    assert got == said
+    df = spark.createDataFrame([("The studies were not stopped; 3 scans, three x",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.clean_tokens("t")).collect()][0][:3] == ["study", "not", "stop"]
+    assert df.select(S.clean_tokens("t", lemmas={"studies": "work"})).first()[0][0] == "work"
+
+
+def test_digests_see_rows_not_their_order(spark):
+    rows = [(i, None if i % 7 == 0 else float(i), str(i % 5), [i, i + 1]) for i in range(200)]
+    one = spark.createDataFrame(rows, "a long, b double, c string, d array<int>")
+    base = R.digest(one).first()
+    assert R.digest(one.repartition(7, "c").select("d", "c", "a", "b")).first() == base
+    assert R.digest(one.unionAll(one.limit(1))).first() != base and R.digest(one.withColumn("b", F.coalesce("b", F.lit(0.0)))).first() != base
+    swapped = one.select("a", F.lit(None).cast("double").alias("b"), "c", "d")
+    assert R.digest(swapped.limit(1)).first() != R.digest(one.filter("a = 1")).first() and R.digest(one.limit(0)).first().rows == 0
+    assert [r.same for r in R.run_twice(lambda n: one.repartition(n)).collect()] == [True, True]
+    assert [r.same for r in R.run_twice(lambda n: one.limit(10 * n)).orderBy("run").collect()] == [True, False]
+
+
+def test_randomised_svd_equals_the_dense_one(spark):
+    rng = np.random.default_rng(4)
+    dense = (rng.normal(size=(60, 6)) * [9, 7, 5, 3, 2, 1]) @ rng.normal(size=(6, 40)) * (rng.random((60, 40)) < 0.6)
+    rows = spark.createDataFrame([(i, f"t{j:02}", float(dense[i, j])) for i in range(60) for j in range(40) if dense[i, j]], "doc long, term string, weight double").repartition(5)
+    z, load, sigma = fe.svd_parts(rows, "doc", 4)
+    u, s, v = np.linalg.svd(dense)
+    assert sigma == pytest.approx(s[:4], rel=1e-3)
+    got = np.array([r.z for r in z.orderBy("doc").collect()])
+    loads = np.array([r.v for r in load.orderBy("term").collect()])
+    # The residual is hardly above the best one, and scores are the table times the loadings.
+    best = np.linalg.norm(dense - u[:, :4] * s[:4] @ v[:4])
+    assert np.linalg.norm(dense - got @ loads.T) < 1.01 * best and np.allclose(dense @ loads, got, atol=0.02 * s[0])
+    assert (loads[np.abs(loads).argmax(0), range(4)] > 0).all()
+    unit = fe.svd(rows, "doc", 4).groupBy("doc").agg(F.sum(F.col("z") ** 2).alias("l")).collect()
+    assert all(r.l == pytest.approx(1) for r in unit)
+    few = fe.svd_parts(rows.filter("term < 't03'"), "doc", 10)
+    assert len(few[2]) == 2
