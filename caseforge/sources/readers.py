@@ -66,9 +66,9 @@ def interface_key(slugs: Column) -> Column:
     return F.concat_ws("|", F.array_sort(slugs))
 
 
-def jobs(spark: SparkSession, path: str, routes: dict[str, str]) -> DataFrame:
-    """``pk, task, inputs, outputs`` of a job dump; the sorted input slugs name the task, jobs of no task go."""
-    j = spark.read.schema(JOBS).option("multiLine", True).json(path)
+def jobs(spark: SparkSession, path: str, routes: dict[str, str], lines: bool = False) -> DataFrame:
+    """``pk, task, inputs, outputs`` of a job dump, one JSON array a file or a job a line; the sorted input slugs name the task, jobs of no task go."""
+    j = spark.read.schema(JOBS).option("multiLine", not lines).json(path)
     j = j.withColumn("key", interface_key(F.transform("inputs", lambda i: i["socket"]["slug"])))
     names = F.broadcast(spark.createDataFrame(list(routes.items()), "key string, task string"))
     return j.join(names, "key").drop("key")
