@@ -95,7 +95,8 @@ def rounded(units: DataFrame, cell: int = CELL, seed: int = SEED) -> DataFrame:
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for source, own in pdf.groupby("source", dropna=False, sort=False):
-            own = own.sort_values(["size", "unit"], kind="stable")
+            # Large ones first, so that what stays unresolved, and is settled by a last draw, is small.
+            own = own.sort_values(["size", "unit"], ascending=[False, True], kind="stable")
             p, held = pivot(own["unit"].to_numpy(), own["size"].to_numpy(), own["p"].to_numpy(), seed)
             out.append(pd.DataFrame({"source": own["source"], "unit": own["unit"], "size": own["size"], "p": p, "done": np.arange(len(p)) != held}))
         return pd.concat(out)
