@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order import kept
-from .vectors import as_vectors, pca, projected
+from .order import average_ranks, kept
+from .vectors import as_vectors, moments, pca, projected
 
 
 def with_indicators(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -222,16 +222,36 @@ def associations(df: DataFrame, key: str, numeric: list[str], categorical: list[
     return p.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("rho").alias("rho"))
 
 
+def spearman_matrix(df: DataFrame, key: str, vector: str) -> np.ndarray:
+    """Absolute rank correlations of all dimensions of a vector column, a width x width matrix; ranks are average ones, ordered in ranges of all dimensions together. A dimension that doesn't vary has no correlation (NaN)."""
+    long = df.select(F.col(key).cast("long").alias("id"), F.posexplode(F.col(vector).cast("array<double>")).alias("dim", "x"))
+    ranked_ = average_ranks(long, F.col("x"), ("dim",))
+    rows = ranked_.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "rank"))), lambda r: r["rank"].cast("double")).alias("v"))
+    _, _, scatter = moments(rows)
+    sd = np.sqrt(np.diag(scatter))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.abs(scatter / np.outer(sd, sd))
+
+
 def complete_linkage(names: list[str], rho: dict[tuple[str, str], float], tau: float) -> dict[str, int]:
-    """Clusters of columns by complete linkage on ``1 - rho``, cut at ``1 - tau``. Columns are the width of a table, not its rows."""
-    groups = [[n] for n in names]
-    d = lambda a, b: 1 - rho.get((a, b), rho.get((b, a), 0.0))
-    while len(groups) > 1:
-        far, i, j = min((max(d(a, b) for a in x for b in y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
-        if far > 1 - tau:
+    """Clusters of columns by complete linkage on ``1 - rho``, cut at ``1 - tau``. Columns are the width of a table, not its rows; a pair without ``rho`` is at distance 1."""
+    n, at = len(names), {c: i for i, c in enumerate(names)}
+    d = np.ones((n, n))
+    for (a, b), r in rho.items():
+        d[at[a], at[b]] = d[at[b], at[a]] = 1 - r
+    d[np.tril_indices(n)] = np.inf  # each pair once, the first of equals by its place
+    members = {i: [i] for i in range(n)}
+    while len(members) > 1:
+        i, j = divmod(int(d.argmin()), n)
+        if d[i, j] > 1 - tau:
             break
-        groups[i] += groups.pop(j)
-    return {n: k for k, g in enumerate(groups) for n in g}
+        members[i] += members.pop(j)
+        for k in members:
+            if k != i:
+                x, y = (min(i, k), max(i, k)), (min(j, k), max(j, k))
+                d[x] = max(d[x], d[y])
+        d[j, :] = d[:, j] = np.inf
+    return {names[x]: k for k, own in enumerate(members.values()) for x in own}
 
 
 def representatives(clusters: dict[str, int], rho: dict[tuple[str, str], float], essential: set[str] = frozenset()) -> list[str]:

@@ -36,6 +36,15 @@ def leave_one_out(df: DataFrame, fold: str) -> DataFrame:
     return df.join(folds, F.col(fold) != F.col("held_out"))
 
 
+def left_out_sums(df: DataFrame, fold: str, values: list[str]) -> DataFrame:
+    """``held_out, n`` and the sum of each of ``values`` over the rows that train for it, those of all other folds: the whole less the fold, so no pair of rows is made. A fold without others has nulls."""
+    whole = df.agg(F.count("*").alias("_n"), *(F.sum(v).alias(f"_all_{v}") for v in values))
+    own = df.groupBy(F.col(fold).alias("held_out")).agg(F.count("*").alias("_own"), *(F.sum(v).alias(f"_own_{v}") for v in values))
+    n = F.col("_n") - F.col("_own")
+    less = lambda v: F.when(n > 0, F.coalesce(f"_all_{v}", F.lit(0)) - F.coalesce(f"_own_{v}", F.lit(0)))
+    return own.crossJoin(F.broadcast(whole)).select("held_out", n.alias("n"), *(less(v).alias(v) for v in values))
+
+
 def contiguous_folds(df: DataFrame, order: str, n_folds: int = 3) -> DataFrame:
     """Blocks in order; the last takes the remainder (all rows, if they are fewer than the folds). Sizes come from one count, places from ranges of the rows."""
     each = max(1, df.count() // n_folds)

@@ -39,3 +39,12 @@ def assert_disjoint(**views: list[str]) -> None:
             if c in seen:
                 raise ValueError(f"{c} is in {seen[c]} and {view}")
             seen[c] = view
+
+
+def equal_columns(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
+    """``a, b, differ, duplicate, leak`` of each pair of columns: in how many rows they differ, whether in none, and whether one of two alike is the target. One pass; nulls are equal."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    differ = lambda a, b: F.sum((~F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`"))).cast("long"))
+    one = df.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(differ(a, b), F.lit(0)).alias("differ")) for a, b in pairs)).alias("x"))
+    out = one.select(F.explode("x").alias("x")).select("x.*").withColumn("duplicate", F.col("differ") == 0)
+    return out.withColumn("leak", F.col("duplicate") & (F.col("a").eqNullSafe(F.lit(target)) | F.col("b").eqNullSafe(F.lit(target))))

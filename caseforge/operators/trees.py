@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import kept
+
 
 def _sum(xs: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, xs)
@@ -74,7 +76,7 @@ def grown(train: DataFrame, keys: list[str], features: list[str], level: str, le
     rows = weighted(train, keys, level, balanced, len(levels)).withColumn("node", F.lit(1).cast("long"))
     splits = None
     for d in range(depth):
-        best = best_splits(rows, keys, features, level, levels, criterion, min_leaf).persist()
+        best = kept(best_splits(rows, keys, features, level, levels, criterion, min_leaf))
         splits = best if splits is None else splits.unionByName(best)
         if d + 1 < depth:
             # Rows whose node isn't split are done.

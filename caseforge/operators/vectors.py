@@ -350,6 +350,8 @@ def vector_label_alignment(kernel: DataFrame, labels: DataFrame, eps: float = 1e
 
 def neighbours_kept(base: DataFrame, k: int = 10, noise: float = 0.01, perturbations: int = 3, metric: str = "euclidean") -> DataFrame:
     """One row ``consistency``: mean share of the k neighbours that stay after Gaussian noise of ``noise`` deviations of all values, from hashes."""
+    from .order import kept
+
     sd = base.select(F.explode("v").alias("x")).agg(F.stddev_pop("x").alias("sd"))
     unit = lambda i, s: (F.pmod(F.xxhash64("id", i, s), F.lit(1 << 30)) + 0.5) / float(1 << 30)
 
@@ -358,7 +360,7 @@ def neighbours_kept(base: DataFrame, k: int = 10, noise: float = 0.01, perturbat
         return base.crossJoin(F.broadcast(sd)).select("id", F.transform("v", lambda x, i: x + noise * F.col("sd") * normal(i)).alias("v"))
 
     near = lambda d, c: knn(d, k, metric).groupBy("q").agg(F.collect_set("n").alias(c))
-    own, out = near(base, "a").persist(), None
+    own, out = kept(near(base, "a")), None
     for seed in range(perturbations):
         one = own.join(near(shaken(seed), "b"), "q").select((F.size(F.array_intersect("a", "b")) / float(k)).alias("kept"))
         out = one if out is None else out.union(one)

@@ -21,6 +21,7 @@ from ..operators import shapley as SH
 from ..operators import trees
 from ..operators import vectors as V
 from ..operators.refine import Refiner
+from ..operators.refine import refined as refined_by
 from .registry import query, table
 from .vector_queries import UNIT, P, _base, _unit
 
@@ -55,9 +56,9 @@ def minmax_per_split(spark, sf_dir):
     return fe.minmax(o, "split", "role", ["price", "one"]).select("k", "split", F.round("price", 6).alias("price"), "one")
 
 
-@query("fea05_standard_scale", "WITH l AS (SELECT vec_id % 2 AS split, (vec_id % 5 = 0)::INT AS role, vec_id, unnest(embedding[1:8]::DOUBLE[]) AS x, unnest(range(8)) AS dim FROM embeddings), f AS (SELECT split, dim, avg(x) AS m, stddev_pop(x) AS s FROM l WHERE role = 0 GROUP BY ALL) SELECT l.split, vec_id, l.dim, round((x - m) / s, 5) AS z FROM l JOIN f ON l.split = f.split AND l.dim = f.dim")
+@query("fea05_standard_scale", "WITH l AS (SELECT vec_id % 2 AS split, (vec_id % 5 = 0)::INT AS role, vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS dim FROM embeddings), f AS (SELECT split, dim, avg(x) AS m, stddev_pop(x) AS s FROM l WHERE role = 0 GROUP BY ALL) SELECT l.split, vec_id, l.dim, round((x - m) / s, 5) AS z FROM l JOIN f ON l.split = f.split AND l.dim = f.dim")
 def standard_scale(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("split"), (F.col("vec_id") % 5 == 0).cast("int").alias("role"), "vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("v"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 2).alias("split"), (F.col("vec_id") % 5 == 0).cast("int").alias("role"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return fe.standard_scaled(e, "split", "role", "vec_id", "v").withColumn("z", F.round("z", 5))
 
 
@@ -661,7 +662,7 @@ def knn_positive(spark, sf_dir):
 def random_mixup(spark, sf_dir):
     """Two views of each row, each mixed with a random one of five neighbours by a share of its own from Beta(0.4, 0.4)."""
     b = _base(spark, sf_dir)
-    edges, out = V.knn(b, 5).persist(), None
+    edges, out = O.kept(V.knn(b, 5)), None
     for view in (1, 2):
         one = L.mixed_up(b, "id", "v", L.random_neighbour(edges, view), L.beta_share("id", seed=10 * view)).withColumn("view", F.lit(view))
         out = one if out is None else out.union(one)
@@ -700,12 +701,52 @@ def refined(spark, sf_dir):
     return r.transform(e)
 
 
+@query("rep02_training_history")
+def training_history(spark, sf_dir):
+    """Each epoch's mean loss, and what the held-out rows were evaluated to; plateau schedule, early stop."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    r = Refiner(16, hidden=64, epochs=6, eval_every=2, schedule="plateau", monitor="isotropy", patience=2, rate=3e-3).fit(e)
+    rows = [("loss", k + 1, x) for k, x in enumerate(r.history["loss"])] + [(r.monitor, r.eval_every * (k + 1), x) for k, x in enumerate(r.history.get(r.monitor, []))]
+    return spark.createDataFrame(rows, "metric string, epoch int, value double")
+
+
+@query("rep03_auto_refined")
+def auto_refined(spark, sf_dir):
+    """From the report to refined vectors: the report's width, five neighbours as positives, contrast and half of alignment and uniformity."""
+    b = _base(spark, sf_dir)
+    return refined_by(b, V.analysis(b), hidden=64, epochs=4, eval_every=4).transform(b)
+
+
 @query("srv01_fused_decision", f"WITH {F3} SELECT doc_id, round(p_t, 4) AS p_t, round(p_m, 4) AS p_m, round(p_x, 4) AS p_x, CASE WHEN {MEAN3} >= 0.5 THEN 'yes' ELSE 'no' END AS decision FROM f")
 def fused_decision(spark, sf_dir):
     mean, _ = MO.spread("p_t", "p_m", "p_x")
     return _fusion(spark, sf_dir).select("doc_id", *(F.round(c, 4).alias(c) for c in ("p_t", "p_m", "p_x")), F.when(mean >= 0.5, "yes").otherwise("no").alias("decision"))
 
 
+THREE = """lab AS (SELECT vec_id AS id, label, (label < 5)::INT AS y, embedding::DOUBLE[] AS v FROM embeddings),
+ x AS (SELECT id, y, v[1:8] AS tab, v[9:40] AS img, v[41:64] AS txt FROM lab),
+ mem AS (SELECT * FROM x WHERE id % 3 <> 0),
+ d AS (SELECT q.id AS q, m.y, m.id AS n, unnest(['t', 'm', 'x']) AS part, unnest([list_distance(q.tab, m.tab), list_distance(q.img, m.img), list_distance(q.txt, m.txt)]) AS dist FROM x q JOIN mem m ON q.id <> m.id),
+ r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY q, part ORDER BY dist, n) <= 5),
+ p AS (SELECT q, part, sum(y / (dist + 1e-8)) / sum(1 / (dist + 1e-8)) AS p FROM r GROUP BY q, part),
+ w AS (SELECT q AS id, max(p) FILTER (part = 't') AS p_t, max(p) FILTER (part = 'm') AS p_m, max(p) FILTER (part = 'x') AS p_x FROM p GROUP BY q)"""
+
+
+@query("srv01_three_models", f"WITH {THREE} SELECT id, round(p_t, 4) AS p_t, round(p_m, 4) AS p_m, round(p_x, 4) AS p_x, CASE WHEN (p_t + p_m + p_x) / 3 >= 0.5 THEN 'yes' ELSE 'no' END AS decision FROM w")
+def three_models(spark, sf_dir):
+    """The serving route: three neighbour models, each on a part of the vectors, their memories two thirds of the rows, fused with equal weights; every row is asked."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("int").alias("y"))
+    out, memory = None, F.col("id") % 3 != 0
+    for name, first, width in (("p_t", 1, 8), ("p_m", 9, 32), ("p_x", 41, 24)):
+        part = e.select("id", F.slice("v", first, width).alias("v"))
+        w = 1 / (F.col("dist") + 1e-8)
+        near = V.knn(part.filter(memory), 5, queries=part).join(e.select(F.col("id").alias("n"), "y"), "n")
+        p = near.groupBy(F.col("q").alias("id")).agg((F.sum(F.col("y") * w) / F.sum(w)).alias(name))
+        out = p if out is None else out.join(p, "id")
+    mean, _ = MO.spread("p_t", "p_m", "p_x")
+    return out.select("id", *(F.round(c, 4).alias(c) for c in ("p_t", "p_m", "p_x")), F.when(mean >= 0.5, "yes").otherwise("no").alias("decision"))
+
+
 @query("srv02_confidence", f"WITH {F3}, r AS (SELECT doc_id, round(2 * abs(0.65::DOUBLE * {MEAN3} - 0.5), 4) AS risk FROM f) SELECT doc_id, risk, CASE WHEN risk >= 0.6 THEN 'clear' WHEN risk >= 0.3 THEN 'borderline' ELSE 'uncertain' END AS confidence FROM r")
 def serving_confidence(spark, sf_dir):
     mean, _ = MO.spread("p_t", "p_m", "p_x")
@@ -724,6 +765,17 @@ def explanation(spark, sf_dir):
     return x.withColumn("reveal", F.array_join("reveal", ","))
 
 
+@query("srv03_shapley_explanation")
+def shapley_explanation(spark, sf_dir):
+    """The explaining tool as it serves: kernel Shapley values of the neighbour vote over all dimensions, their mean size per variable, scaled by the largest of the table, cut into classes and turned into sections."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 5).cast("double").alias("y"))
+    names = ["pirads", "psav", "months", "age"]
+    families = [f"{names[i * len(names) // 64]}__{i}" for i in range(64)]
+    memory, labels = SH.fitted_memory(e)
+    found = SH.by_family(SH.kernel_shap(e, memory, labels, memory[: SH.BACKGROUND]), families)
+    return AT.explained(O.kept(found), names, dict.fromkeys(names, (0.1, 0.3, 0.6))).withColumn("reveal", F.array_join("reveal", ","))
+
+
 @query("srv04_record", f"WITH {F3}, r AS (SELECT doc_id, {MEAN3} AS p, round(2 * abs(0.65::DOUBLE * {MEAN3} - 0.5), 4) AS risk, doc_id % 9 <> 0 AS has FROM f) SELECT doc_id, CASE WHEN p >= 0.5 THEN 'yes' ELSE 'no' END AS decision, CASE WHEN risk >= 0.6 THEN 'clear' WHEN risk >= 0.3 THEN 'borderline' ELSE 'uncertain' END AS confidence, has AS ok, CASE WHEN has THEN 'ok' ELSE 'variable_weights must be an object' END AS reason FROM r")
 def record(spark, sf_dir):
     """The tools' outputs joined into one record, as they are, and checked."""

@@ -255,6 +255,26 @@ def shared_columns(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, view string").groupBy("name").agg(F.countDistinct("view").cast("int").alias("views")).filter("views > 1")
 
 
+PRICED = "t AS (SELECT l_quantity AS quantity, l_tax AS tax, l_discount AS discount, l_quantity + 0 AS again, CASE WHEN l_discount >= 0 THEN l_discount END AS target FROM lineitem)"
+
+
+@query("set04_equal_columns", f"WITH {PRICED} SELECT a, b, differ::BIGINT AS differ, differ = 0 AS duplicate, differ = 0 AND b = 'target' AS leak FROM (SELECT unnest(['quantity', 'quantity', 'quantity', 'quantity', 'tax', 'tax', 'tax', 'discount', 'discount', 'again']) AS a, unnest(['tax', 'discount', 'again', 'target', 'discount', 'again', 'target', 'again', 'target', 'target']) AS b, unnest([sum((quantity <> tax)::INT), sum((quantity <> discount)::INT), sum((quantity <> again)::INT), sum((quantity <> target)::INT), sum((tax <> discount)::INT), sum((tax <> again)::INT), sum((tax <> target)::INT), sum((discount <> again)::INT), sum((discount <> target)::INT), sum((again <> target)::INT)]) AS differ FROM t)")
+def equal_columns(spark, sf_dir):
+    """No feature twice and no target among them, by the columns' values in all rows."""
+    q, d = F.col("l_quantity"), F.col("l_discount")
+    t = table(spark, sf_dir, "lineitem").select(q.alias("quantity"), F.col("l_tax").alias("tax"), d.alias("discount"), (q + 0).alias("again"), F.when(d >= 0, d).alias("target"))
+    return sets.equal_columns(t, t.columns, "target")
+
+
+@query("spl02_left_out_sums", "SELECT c_nationkey AS held_out, any_value(n) - count(*) AS n, round(any_value(s) - sum(c_acctbal), 4) AS c_acctbal FROM customer, (SELECT count(*) AS n, sum(c_acctbal) AS s FROM customer) GROUP BY c_nationkey UNION ALL SELECT -c_custkey, any_value(n) - count(*), round(any_value(s) - sum(c_acctbal), 4) FROM customer, (SELECT count(*) AS n, sum(c_acctbal) AS s FROM customer) GROUP BY c_custkey")
+def left_out_sums(spark, sf_dir):
+    """Leave one nation out, and leave one customer out, over the whole table."""
+    c = table(spark, sf_dir, "customer")
+    one = R.left_out_sums(c.withColumn("own", -F.col("c_custkey")), "own", ["c_acctbal"])
+    both = R.left_out_sums(c, "c_nationkey", ["c_acctbal"]).unionByName(one)
+    return both.withColumn("c_acctbal", F.round("c_acctbal", 4))
+
+
 @query("spl01_stratified_split", f"{SPLITS} SELECT split, doc_id, quality, role FROM splits")
 def stratified_split(spark, sf_dir):
     return R.stratified_splits(table(spark, sf_dir, "labels"), "doc_id", "quality", 5)

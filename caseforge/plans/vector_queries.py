@@ -334,7 +334,7 @@ def meta_model(spark, sf_dir):
     """The confidence head: a tree on the disagreement of the inner probabilities says the class of the outer held-out rows."""
     from ..operators import trees
 
-    n = _nested(spark, sf_dir).withColumn("ici", MO.ici("p_t", "p_m", "p_x")).withColumn("cls", (F.col("id") % 3).cast("int")).persist()
+    n = _nested(spark, sf_dir).withColumn("ici", MO.ici("p_t", "p_m", "p_x")).withColumn("cls", (F.col("id") % 3).cast("int"))
     inner, outer = n.filter("role = 0"), n.filter("role = 1")
     splits = trees.grown(inner, ["split"], ["ici"], "cls", [0.0, 1.0, 2.0], max_leaves=3, min_leaf=5)
     return trees.predicted(inner, outer, splits, ["split"], ["ici"], "cls", [0.0, 1.0, 2.0]).select("split", "id", "ici", "predicted")
@@ -356,17 +356,21 @@ def pca_scores(spark, sf_dir):
     return fe.pca_scores(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1).select("id", F.get("z", 0).alias("z"))
 
 
-@query("fea10_spearman_dims", "WITH l AS (SELECT vec_id, unnest(embedding[1:6]) AS x, unnest(range(6)) AS d FROM embeddings), r AS (SELECT vec_id, d, rank() OVER (PARTITION BY d ORDER BY x) + (count(*) OVER (PARTITION BY d, x) - 1) / 2.0 AS r FROM l) SELECT 'd' || a.d AS a, 'd' || b.d AS b, round(abs(corr(a.r, b.r)), 6) AS rho FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL")
+def _spearman(spark, sf_dir):
+    rho = fe.spearman_matrix(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return [f"d{i}" for i in range(len(rho))], {(f"d{i}", f"d{j}"): float(rho[i, j]) for i in range(len(rho)) for j in range(i + 1, len(rho))}
+
+
+@query("fea10_spearman_dims", "WITH l AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS d FROM embeddings), r AS (SELECT vec_id, d, rank() OVER (PARTITION BY d ORDER BY x) + (count(*) OVER (PARTITION BY d, x) - 1) / 2.0 AS r FROM l) SELECT 'd' || a.d AS a, 'd' || b.d AS b, round(abs(corr(a.r, b.r)), 6) AS rho FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL")
 def spearman_dims(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", i).alias(f"d{i}") for i in range(6)))
-    return fe.spearman_pairs(e, [f"d{i}" for i in range(6)], "vec_id").withColumn("rho", F.round("rho", 6))
+    """All pairs of all dimensions."""
+    _, rho = _spearman(spark, sf_dir)
+    return spark.createDataFrame([(a, b, r) for (a, b), r in rho.items()], "a string, b string, rho double").withColumn("rho", F.round("rho", 6))
 
 
 @query("fea11_complete_linkage")
 def complete_linkage(spark, sf_dir):
-    names = [f"d{i}" for i in range(12)]
-    e = table(spark, sf_dir, "embeddings").select("vec_id", *(F.get("embedding", i).alias(n) for i, n in enumerate(names)))
-    rho = {(r["a"], r["b"]): r["rho"] for r in fe.spearman_pairs(e, names, "vec_id").collect()}
+    names, rho = _spearman(spark, sf_dir)
     c = fe.complete_linkage(names, rho, 0.1)
     kept = set(fe.representatives(c, rho))
     return spark.createDataFrame([(n, k, n in kept) for n, k in c.items()], "column string, cluster int, representative boolean")

@@ -9,7 +9,6 @@ import __spark_entry__
 from caseforge.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: The losses name 500 rows in their SQL, as sf0.001 and sf0.01 have.
 ROWS_ONLY = [n for n in QUERIES if n not in ORACLES]
 
 
