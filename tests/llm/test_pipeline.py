@@ -34,5 +34,5 @@ def test_empty_tables(spark, empty, items, tmp_path):
 
 
 def test_every_query_is_registered():
-    assert {n.split("_")[0] for n in queries.queries()} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in queries.queries()} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
     assert prose(1, 3).count(" ") == 2
