@@ -52,7 +52,7 @@ def whole(df: DataFrame, vec_id: str, vector: str, scale: int = SCALE) -> DataFr
     """``id, v``: components ``floor(scale * x)``, without the vectors that take no part."""
     v = F.col(f"`{vector}`").cast("array<double>")
     fit = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return df.filter(v.isNotNull() & fit).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(scale * x)).alias("v"))
+    return df.filter(v.isNotNull() & fit).select(F.col(f"`{vec_id}`").try_cast("long").alias("id"), F.transform(v, lambda x: F.floor(scale * x)).alias("v"))
 
 
 def _dense(v: pa.ListArray, width: int | None = None) -> np.ndarray:
