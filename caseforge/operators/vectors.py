@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pair_sums import squared_distances
+
 BLOCK = 4096
 EDGES = "q long, n long, dist double"
 
@@ -42,6 +44,12 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.stack([((b - x) ** 2).sum(1) for x in a]))
 
 
+def _by_difference(a: np.ndarray, row: np.ndarray, b: np.ndarray, col: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """Distances of the pairs ``a[row], b[col]``, some at a time."""
+    parts = [np.sqrt(((b[col[x : x + at_once]] - a[row[x : x + at_once]]) ** 2).sum(1)) for x in range(0, len(row), at_once)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _grid(queries: DataFrame, base: DataFrame, block: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     nq, nb = (max(1, -(-d.count() // block)) for d in (queries, base))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -60,13 +68,18 @@ def knn(base: DataFrame, k: int, metric: str = "euclidean", queries: DataFrame |
         bi, b = _matrix(bs, "_b")
         out = []
         for x in range(0, len(qi) if len(bi) else 0, 256):
-            d = distances(q[x : x + 256], b, metric)
+            own = q[x : x + 256]
+            d = squared_distances(own, b) if metric == "euclidean" else distances(own, b, metric)
             d[qi[x : x + 256, None] == bi[None, :]] = np.inf
             m = min(k, d.shape[1])
             # All within the k-th distance go on, so ties are settled by id later.
             reach = np.partition(d, m - 1, 1)[:, m - 1]
+            if metric == "euclidean":
+                # The product bounds the distances to its rounding; the few within are computed from differences.
+                reach = reach + 1e-9 * ((own * own).sum(1) + (b * b).sum(1).max())
             row, col = np.nonzero((d <= reach[:, None]) & np.isfinite(d))
-            out.append((qi[x : x + 256][row], bi[col], d[row, col]))
+            dist = _by_difference(own, row, b, col) if metric == "euclidean" else d[row, col]
+            out.append((qi[x : x + 256][row], bi[col], dist))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(cols, names=["q", "n", "dist"])
 
@@ -126,7 +139,7 @@ def kernel_sums(queries: DataFrame, prototypes: DataFrame, sigma: float, leave_s
         h = -sum(np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0) for x in (y, 1 - y))
         out = []
         for x in range(0, len(qi), 256):
-            d2 = np.stack([((b - r) ** 2).sum(1) for r in q[x : x + 256]])
+            d2 = squared_distances(q[x : x + 256], b)
             if leave_self_out:
                 d2[qi[x : x + 256, None] == bi[None, :]] = np.inf
             k = w * np.exp(-d2 / (2 * sigma**2)) ** 2
