@@ -26,7 +26,7 @@ MAX_TRAIN = 20_000
 #: Words in host names that stand for unwanted sites.
 SEED_WORDS = ("adult", "ads", "bet", "bets", "casino", "cheap", "crack", "free", "pills", "poker", "porn", "sex", "spam", "track", "warez", "xxx")
 #: (verdict, rule), host and path in one.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 NUMBERS = ("url_length", "host_length", "host_labels", "host_hyphens", "depth", "digit_ratio", "entropy", "n_params", "suffix_log_count", "suffix_block_share")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
