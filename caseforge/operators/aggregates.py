@@ -76,8 +76,14 @@ def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 
 def pearson(x: str, y: str) -> Column:
-    """Correlation; null if either doesn't vary (``corr`` would divide by zero)."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Correlation of the rows that have both; null if either doesn't vary (``corr`` would divide by zero).
+
+    Whether it varies is told by its ends: merged in parts, the deviation of equal values needn't be 0.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys)))
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

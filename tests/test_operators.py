@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseforge.functions import scalars as S
+from caseforge.operators import aggregates as AG
 from caseforge.operators import attribution as AT
 from caseforge.operators import evaluator as EV
 from caseforge.operators import features as fe
@@ -426,3 +427,10 @@ def test_randomised_svd_equals_the_dense_one(spark):
     assert all(r.l == pytest.approx(1) for r in unit)
     few = fe.svd_parts(rows.filter("term < 't03'"), "doc", 10)
     assert len(few[2]) == 2
+
+
+def test_correlation_with_a_constant_merged_from_parts(spark):
+    # 49 * (1 / 49) isn't 1: parts of 49 rows merge to a mean that differs from that of the other.
+    r = spark.range(0, 98, 1, 2).selectExpr("cast(id as double) as x", "1.0D as one", "case when id % 7 > 0 then 2.0D * id end as y")
+    got = r.agg(AG.pearson("x", "one").alias("flat"), AG.pearson("x", "y").alias("line")).first()
+    assert got.flat is None and got.line == pytest.approx(1)
