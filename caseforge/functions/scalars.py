@@ -207,3 +207,8 @@ def smoothed_label(y: Column | str, eps: float) -> Column:
 
 def soft_target(y: Column | str, certainty: Column | str) -> Column:
     return F.when(_c(y) == 1, 0.5 + 0.5 * _c(certainty)).otherwise(0.5 - 0.5 * _c(certainty))
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """With so many decimals, rounded by the exact value of the double, a half to even; ``format_string`` rounds its shortest digits, halves up."""
+    return F.udf(lambda v: None if v is None else f"{v:.{digits}f}", "string", useArrow=True)(_c(x))

@@ -434,3 +434,9 @@ def test_correlation_with_a_constant_merged_from_parts(spark):
     r = spark.range(0, 98, 1, 2).selectExpr("cast(id as double) as x", "1.0D as one", "case when id % 7 > 0 then 2.0D * id end as y")
     got = r.agg(AG.pearson("x", "one").alias("flat"), AG.pearson("x", "y").alias("line")).first()
     assert got.flat is None and got.line == pytest.approx(1)
+
+
+def test_decimals_by_the_exact_value(spark):
+    want = {0.365: "0.36", 0.725: "0.72", 0.125: "0.12", 0.375: "0.38", 0.005: "0.01", 1.0: "1.00", 0.815: "0.81", None: None}
+    r = spark.createDataFrame([(x,) for x in want], "x double").select("x", S.fixed("x", 2).alias("t"))
+    assert {x.x: x.t for x in r.collect()} == want
