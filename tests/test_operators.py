@@ -185,6 +185,9 @@ def test_folds_at_once_equal_folds_one_by_one(spark, blobs):
             of = lambda k: frame(spark, x).filter(F.col("id").isin([i for i, r in role.items() if r == k]))
             want |= {(f, r.q, r.n, r.rk) for r in V.knn(of(0), 4, queries=of(1)).collect()}
         assert got == want
+        # Too short a list for any fold: what it lacks is found in the folds themselves.
+        e = V.knn_folds(d.select("id", "v").join(R.fold_roles(splits, "id"), "id"), 4, block=block, wide=3)
+        assert {(r.fold, r.q, r.n, r.rk) for r in e.collect()} == want
     nested = R.nested_roles(splits, "id", "y").collect()
     for r in nested:
         for s in range(3):
