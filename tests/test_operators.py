@@ -443,3 +443,23 @@ def test_decimals_by_the_exact_value(spark):
     want = {0.365: "0.36", 0.725: "0.72", 0.125: "0.12", 0.375: "0.38", 0.005: "0.01", 1.0: "1.00", 0.815: "0.81", None: None}
     r = spark.createDataFrame([(x,) for x in want], "x double").select("x", S.fixed("x", 2).alias("t"))
     assert {x.x: x.t for x in r.collect()} == want
+
+
+def test_the_meta_model_reads_nested_probabilities_once(spark, sf, monkeypatch):
+    from caseforge.plans import vector_queries as Q
+
+    reads, plain = spark.sparkContext.accumulator(0), Q._nested
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    def nested(*a):
+        n = plain(*a)
+        return n.mapInArrow(counted, n.schema)
+
+    monkeypatch.setattr(Q, "_nested", nested)
+    rows = Q.meta_model(spark, sf).count()
+    assert rows == 5 * 100
+    assert reads.value <= 2 * 5 * 500  # each level of the tree read them before
