@@ -28,3 +28,15 @@ def test_blocks_stay_bounded():
     for n in (1, 500, 10_000, 100_000, 600_000, 10_000_000):
         rows = B.block_rows(n, 64)
         assert rows <= 4 * B.BLOCK and (n > 64 * 4 * B.BLOCK or -(-n // rows) <= 64) and B.block_rows(n, 1 << 20) <= 64
+
+
+def test_single_precision_stays_so_in_blocks_and_nothing_else_is_lost(spark):
+    x = np.random.default_rng(5).normal(size=(200, 64))
+    size = {}
+    for kind in (np.float32, float):
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x.astype(kind))], "id long, v array<double>")
+        own = B.packed(df)
+        size[kind] = own.agg(F.sum(F.length("rows"))).first()[0]
+        held = {i: v for _, t, _, _ in B.unpacked([b for b in B.met(own, own, half=True).filter("qb = bb").toArrow().to_batches()]) for i, v in zip(t["id"].to_pylist(), t["v"].to_pylist())}
+        assert np.array_equal(np.array([held[i] for i in range(200)]), x.astype(kind))
+    assert size[np.float32] < 0.6 * size[float]
