@@ -2,6 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from caseforge.operators import blocks as B
+from caseforge.operators import dimension as D
+from caseforge.operators import pair_sums as PS
 from caseforge.operators import vectors as V
 
 
@@ -40,3 +42,14 @@ def test_single_precision_stays_so_in_blocks_and_nothing_else_is_lost(spark):
         held = {i: v for _, t, _, _ in B.unpacked([b for b in B.met(own, own, half=True).filter("qb = bb").toArrow().to_batches()]) for i, v in zip(t["id"].to_pylist(), t["v"].to_pylist())}
         assert np.array_equal(np.array([held[i] for i in range(200)]), x.astype(kind))
     assert size[np.float32] < 0.6 * size[float]
+
+
+def test_a_report_packs_its_rows_once(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(80, 5))
+    df, times = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>"), []
+    plain = B.packed
+    for module in (V, PS, D):
+        monkeypatch.setattr(module, "packed", lambda rows, *a: times.append(rows.columns) or plain(rows, *a))
+    r = V.analysis(df).first()
+    # The rows, those with their neighbours, on the sphere, whitened, and three times with noise.
+    assert len(times) == 7 and r.input_rows == 80 and 0 < r.geometry.consistency <= 1
