@@ -65,6 +65,8 @@ def tfidf(tokens: DataFrame, key: str, words: str, max_features: int | None = No
 
 #: Directions sampled beyond those wanted, and turns of the range finder.
 OVERSAMPLED, TURNS = 10, 3
+#: Terms whose drawn numbers a task keeps at once.
+KNOWN_TERMS = 100_000
 
 
 def _per_task(rows: DataFrame, width: int, f) -> DataFrame:
@@ -120,6 +122,10 @@ def _triangles(rows: DataFrame, column: str, width: int, groups: int = 16) -> np
     return np.pad(r, ((0, width - len(r)), (0, 0)))
 
 
+def _drawn(term: str, seed: int, width: int) -> np.ndarray:
+    return np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big")]).normal(size=width)
+
+
 def svd_parts(tfidf_rows: DataFrame, key: str, k: int, seed: int = 42) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Randomised singular value decomposition of ``tfidf_rows(key, term, weight)``: scores ``(key, z)``, loadings ``(term, v)`` and the singular values.
 
@@ -132,10 +138,16 @@ def svd_parts(tfidf_rows: DataFrame, key: str, k: int, seed: int = 42) -> tuple[
     k = max(0, min(k, n_terms - 1, n_rows))
     width = min(k + OVERSAMPLED, n_terms, max(1, n_rows))
 
+    known: dict[str, np.ndarray] = {}  # of the task: a generator for each occurrence would cost far more than its numbers
+
     def drawn(terms, weights, _):
         out = np.zeros(width)
         for t, w in zip(terms, weights):
-            out += w * np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")]).normal(size=width)
+            if (x := known.get(t)) is None:
+                if len(known) >= KNOWN_TERMS:
+                    known.clear()
+                x = known[t] = _drawn(t, seed, width)
+            out += w * x
         return out
 
     def through(images: DataFrame, turn: np.ndarray) -> DataFrame:

@@ -463,3 +463,22 @@ def test_the_meta_model_reads_nested_probabilities_once(spark, sf, monkeypatch):
     rows = Q.meta_model(spark, sf).count()
     assert rows == 5 * 100
     assert reads.value <= 2 * 5 * 500  # each level of the tree read them before
+
+
+def test_a_term_of_the_svd_is_drawn_once_a_task(spark, monkeypatch):
+    taken, drawn, plain = [], [], fe._drawn
+
+    class Taken(Exception):
+        pass
+
+    def take(rows, width, f):
+        taken.append(f)
+        raise Taken
+
+    monkeypatch.setattr(fe, "_per_task", take)
+    monkeypatch.setattr(fe, "_drawn", lambda t, *a: drawn.append(t) or plain(t, *a))
+    with pytest.raises(Taken):
+        fe.svd_parts(spark.createDataFrame([(d, t, 1.0) for d in range(4) for t in "abc"], "doc long, term string, weight double"), "doc", 2)
+    x = {t: plain(t, 42, 3) for t in "ab"}
+    assert taken[0](["a", "b"], [1.0, 2.0], None) == pytest.approx(x["a"] + 2 * x["b"]) and taken[0](["b"], [1.0], None) == pytest.approx(x["b"])
+    assert drawn == ["a", "b"]
