@@ -10,11 +10,11 @@
 3. A document whose shared weight is below the threshold can't reach it with any other. The
    rest draw 96 consistent weighted samples (Ioffe 2010), in 24 bands of 4.
 4. Members of a bucket are compared with its hub, the least edited member, and in a large bucket
-   with the hub of their chunk of members; what links then is one class. Of the buckets that have two
-   classes or more, small ones compare all members of different classes; large ones are split
-   by twice as many samples (the band's and those after it, in a ring), and the parts are treated
-   alike, until none is left. Pairs whose weights and shared weights exclude the threshold are
-   dropped unread, and so are members that can't reach it with any in their bucket.
+   with the hub of their chunk of members; what links then is one class. Buckets that have two
+   classes or more compare all members of different classes, whatever their size: small ones
+   pair by pair, large ones chunk by chunk (``bucket_pairs``). Pairs whose weights and shared
+   weights exclude the threshold are dropped unread, and so are members that can't reach it
+   with any in their bucket.
 5. Verification is exact: weighted Jaccard over TF-IDF, or over plain term counts, of
    ``threshold`` or more.
 
@@ -23,10 +23,8 @@ node, is kept: one text a class, whatever ids its rows share or lack.
 
 Chance of a miss. Two documents with similarity s under TF-IDF share no band with probability
 (1 - s^4)^24: 3e-6 at 0.8. Similarity 0.8 under plain counts is two thirds or more under these
-weights, as they lie between 1 and 2: 5e-3 at worst. In a large bucket of several classes, a pair
-that neither links with hubs is seen if it shares 8 samples there: (1 - s^8)^24, 0.01 at 0.8, and
-(1 - s^16)^24 where that bucket is large, too. That is for the pair alone; a class holds together
-if any path of its links is seen.
+weights, as they lie between 1 and 2: 5e-3 at worst. No pair of a bucket is left out, however
+large the bucket. That is for the pair alone; a class holds together if any path of its links is seen.
 
 Cases. A text under five words has one shingle, all its words. Texts without words (null,
 empty, blank) are copies of each other. Rows that repeat an id are rows of their own. A null
@@ -42,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bucket_pairs import class_links
 from .graph import components
 from .store import fresh, saved
 from .words import (
@@ -71,7 +70,7 @@ BANDS, ROWS = 24, 4
 NO_ID = (1 << 63) - 1
 #: Shingles that the sampler takes at once.
 SLICE = 1024
-#: Members of a bucket in a chunk with a hub of its own; members up to which a bucket compares all its classes.
+#: Members of a bucket in a chunk with a hub of its own; members up to which a bucket's pairs are read one by one.
 HUB_MEMBERS, SMALL = 256, 32
 
 
@@ -237,13 +236,12 @@ def _can_reach(threshold: float, slack: float = 1e-4) -> Column:
     return room("weight", "own_weight") | room("terms", "own_terms")
 
 
-def _spread(vecs: DataFrame, depth: int) -> DataFrame:
-    """A row for each node and band whose first ``depth`` samples from the band on, in a ring, all are shared shingles."""
-    of = f"slice(drawn, {ROWS} * j + 1, {depth})"
-    bands = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), j -> named_struct('j', j, 'none', array_contains({of}, 0L), 'band', xxhash64(j, {of}))), x -> not x.none)")
+def _spread(vecs: DataFrame) -> DataFrame:
+    """A row for each node and band whose samples all are shared shingles."""
+    of = f"slice(drawn, {ROWS} * j + 1, {ROWS})"
+    bands = F.expr(f"filter(transform(sequence(0, {BANDS - 1}), j -> named_struct('none', array_contains({of}, 0L), 'band', xxhash64(j, {of}))), x -> not x.none)")
     sizes = [F.col(c).cast("float").alias(c) for c in SIZES]
-    ring = vecs.select("node", *sizes, F.concat("drawn", "drawn").alias("drawn"))
-    return ring.select("node", *SIZES, F.explode(bands).alias("x")).select("node", "x.j", "x.band", *SIZES)
+    return vecs.select("node", *sizes, F.explode(bands).alias("x")).select("node", "x.band", *SIZES)
 
 
 HUB = ["node", "root", *SIZES]
@@ -286,13 +284,13 @@ class _Linker:
         buckets = saved(buckets.filter("low < high").drop("low", "high"), let_go=False)
         if buckets.isEmpty():
             return None
-        return saved(rooted.join(buckets, "band").filter(_can_reach(self.threshold)).select("band", "j", "n", "hub", *HUB), let_go=False)
+        return saved(rooted.join(buckets, "band").filter(_can_reach(self.threshold)).select("band", "n", "hub", *HUB), let_go=False)
 
-    def hub_pairs(self, members: DataFrame, salt: int) -> DataFrame:
+    def hub_pairs(self, members: DataFrame) -> DataFrame:
         to_hub = members.select("node", "root", *SIZES, *_against("hub"))
         # A power of two, so that buckets of like size are cut alike and share hubs.
         chunks = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / self.hub_members))).cast("long")
-        cut = members.filter(F.col("n") > self.hub_members).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), chunks)).drop("hub")
+        cut = members.filter(F.col("n") > self.hub_members).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks)).drop("hub")
         to_chunk = cut.join(cut.groupBy("band", "chunk").agg(_hub()), ["band", "chunk"]).select("node", "root", *SIZES, *_against("hub"))
         return _pairs(to_hub, self.threshold).union(_pairs(to_chunk, self.threshold))
 
@@ -303,37 +301,31 @@ class _Linker:
 
     def compare(self, pairs: DataFrame) -> None:
         pairs = saved(pairs.distinct(), let_go=False)
-        found = saved(_verified(pairs, self.vecs, self.threshold), let_go=False)
+        self.add(_verified(pairs, self.vecs, self.threshold))
+
+    def add(self, links: DataFrame) -> None:
+        found = saved(links, let_go=False)
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.union(found)
 
 
 def linked(vecs: DataFrame, threshold: float = THRESHOLD, hub_members: int = HUB_MEMBERS, small: int = SMALL) -> DataFrame:
     """``(node, root)`` of the nodes that have a near copy of other words."""
-    linker, depth = _Linker(vecs, threshold, hub_members), ROWS
+    linker = _Linker(vecs, threshold, hub_members)
     none = vecs.select("node", F.col("node").alias("root")).limit(0)
-    members = linker.members(_spread(vecs, depth))
+    members = linker.members(_spread(vecs))
     if members is None:
         return none
-    linker.compare(linker.hub_pairs(members, depth))
+    linker.compare(linker.hub_pairs(members))
     if linker.links is not None:
         linker.roots = components(linker.links)
     now = linker.rooted(members.drop("root", "hub"))
     mixed = saved(now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band"), let_go=False)
     now = saved(now.join(mixed, "band"), let_go=False)
-    pairs = linker.all_pairs(now.filter(F.col("n") <= small))
-    while True:
-        linker.compare(pairs)
-        large = now.filter(F.col("n") > small).select("node", "j")
-        depth = min(2 * depth, BANDS * ROWS)
-        now = linker.members(_spread(vecs, depth).join(large, ["node", "j"], "left_semi"))
-        if now is None:
-            break
-        last = depth == BANDS * ROWS
-        pairs = linker.hub_pairs(now, depth).union(linker.all_pairs(now if last else now.filter(F.col("n") <= small)))
-        if last:
-            linker.compare(pairs)
-            break
+    linker.compare(linker.all_pairs(now.filter(F.col("n") <= small)))
+    large = now.filter(F.col("n") > small)
+    if not large.isEmpty():
+        linker.add(class_links(large, vecs, threshold))
     return none if linker.links is None else components(linker.links)
 
 

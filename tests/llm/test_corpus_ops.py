@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from caseforge.llm import chunk_dedup, decontaminate, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, words
+from caseforge.llm import bucket_pairs, chunk_dedup, decontaminate, line_dedup, lm_scoring, mixing, near_dedup, quality_rules, words
 from caseforge.llm.words import block_of, collapsed, pack, pack_sorted, requests, shingle_hashes, unpack, unpack_sorted
 
 from .conftest import prose
@@ -278,6 +278,42 @@ def test_near_duplicate_recall_against_all_pairs(spark):
         assert len(hits) > 50 and sum(hits) >= 0.99 * len(hits)
 
 
+@pytest.mark.parametrize("linking", [{}, {"small": 3}])
+def test_pairs_of_a_large_bucket_that_share_no_more_samples(spark, linking):
+    """Five pairs in one bucket; the hub is far from four of them, and a pair shares the bucket's four samples only."""
+    rows = []
+    for node in range(1, 11):
+        pair = (node + 1) // 2
+        keys = np.array(sorted([*range(100 * pair, 100 * pair + 9), 100 * pair + 50 + node]), np.uint64)
+        drawn = [1, 2, 3, 4, *(1000 * node + k for k in range(92))]
+        rows.append((node, 10.0, 10.0, 10.0, 10.0, drawn, bytearray(pack_sorted(keys)), bytearray(pack(np.ones(10, np.uint32))), bytearray(pack(np.ones(10, np.float32)))))
+    found = near_dedup.linked(spark.createDataFrame(rows, near_dedup.VECTORS), **linking)
+    assert {x.node: x.root for x in found.collect()} == {n: n - 1 + n % 2 for n in range(1, 11)}
+
+
+@pytest.mark.parametrize("sizes", [(40, 30), (1, 7)])
+def test_common_shingles_of_two_chunks(monkeypatch, sizes):
+    monkeypatch.setattr(bucket_pairs, "HOLDERS", 100)
+    rng, weights = np.random.default_rng(1), np.random.default_rng(5).random(2000).astype(np.float32) + 1
+
+    def bags(n):
+        keys = [np.unique(np.concatenate([rng.integers(0, 50, 30), rng.integers(50, 2000, 40)])) for _ in range(n)]
+        return [(k, np.where(rng.random(len(k)) < 0.2, rng.integers(2, 6, len(k)), 1).astype(np.uint32)) for k in keys]
+
+    def chunk(rows):
+        t = {"root": range(len(rows)), "weight": [1.0] * len(rows), "terms": [1.0] * len(rows)}
+        t |= {"keys": [words.pack_sorted(k.astype(np.uint64)) for k, _ in rows], "tf": [words.pack(f) for _, f in rows], "idf": [words.pack(weights[k]) for k, _ in rows]}
+        return bucket_pairs._Chunk(bucket_pairs._packed(pa.table(t)))
+
+    a, b = map(bags, sizes)
+    terms, weight = bucket_pairs.common(chunk(a), chunk(b))
+    for i, (k, f) in enumerate(a):
+        for j, (k2, f2) in enumerate(b):
+            both, x, y = np.intersect1d(k, k2, return_indices=True)
+            least = np.minimum(f[x], f2[y]).astype(float)
+            assert terms[i, j] == least.sum() and abs(weight[i, j] - (least * weights[both]).sum()) < 1e-9
+
+
 def test_near_duplicates_empty(empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.deduplicated(empty).count() == 0
 
