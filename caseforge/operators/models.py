@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +61,91 @@ def knn_grid(edges: DataFrame, ks: list[int], y: str = "y", certainty: str = "c"
     return long.select(F.concat_ws("_", "kind", F.concat(F.lit("k"), F.col("k").cast("string"))).alias("config"), *keys, query, "p")
 
 
-def grid_over_splits(rows: DataFrame, truth: DataFrame, splits: DataFrame, ks=GRID_KS, metrics=GRID_METRICS) -> DataFrame:
-    """``config, fold, q, p``: of every split the held-out rows' probabilities under every configuration.
+#: Folds whose roles, two bits each, one number of a code holds exactly.
+FOLDS_A_NUMBER = 26
+GRID_KINDS = ("standard_uniform", "standard_distance", "fuzzy_uniform", "fuzzy_distance")
 
-    ``rows(id, v)``, ``truth(id, y, c)``, ``splits(split, id, role)``; splits are numbered from 0. Distances are taken once for
-    all splits, edges once for all neighbour counts, weightings and variants.
+
+def _votes(roles: np.ndarray, dist: np.ndarray, y: np.ndarray, c: np.ndarray, ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fold: how many of the listed rows are in its memory, and the four votes of its first k, for each k; NaN where none has a say. ``roles[row, fold]``; a missing ``y`` or ``c`` is NaN."""
+    held = (roles == 0).T
+    place = held.cumsum(1)
+    w, q = 1 / np.maximum(dist, EPS), 0.5 + c * (y - 0.5)
+    each = np.stack([~np.isnan(y), np.nan_to_num(y), np.nan_to_num(w * y), w, ~np.isnan(q), np.nan_to_num(q), np.nan_to_num(w * q)])
+    sums = (each[:, None] * held).cumsum(2)
+    at = np.minimum((place[:, :, None] < ks).sum(1), len(dist) - 1)
+    said, sy, swy, sw, told, sq, swq = sums[:, np.arange(len(held))[:, None], at]
+    found = place[:, -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.stack([sy / said, np.where(said > 0, swy / sw, np.nan), sq / (np.minimum(found[:, None], ks) + EPS), swq / (sw + EPS)])
+    p[2:, told == 0] = np.nan
+    return found, p
+
+
+def grid_over_splits(rows: DataFrame, truth: DataFrame, splits: DataFrame, ks=GRID_KS, metrics=GRID_METRICS, wide: int | None = None) -> DataFrame:
+    """``config, fold, q, y, p``: of every split the held-out rows' truth and probabilities under every configuration.
+
+    ``rows(id, v)``, ``truth(id, y, c)``, ``splits(split, id, role)``; splits are numbered from 0. Distances are taken once for all splits: each row's
+    ``wide`` neighbours among all rows, whose roles and truths the walk hands on, and a task votes from that list in every fold and configuration; neither edges
+    nor votes are shuffled. What a list lacks of a fold's memory is walked over that memory itself, so the result is exact whatever ``wide`` is.
     """
     from . import vectors
+    from .order import kept
     from .resampling import fold_roles
 
-    folds, out = rows.join(fold_roles(splits, "id"), "id"), None
-    memory = truth.withColumnRenamed("id", "n")
+    spark, most = rows.sparkSession, max(ks)
+    folds = kept(rows.filter("v is not null").select("id", "v").join(fold_roles(splits, "id"), "id").join(truth, "id"))
+    shares = folds.select(F.posexplode("roles").alias("fold", "role")).groupBy("fold").agg(F.count("*").alias("n"), F.sum((F.col("role") == 0).cast("long")).alias("held")).filter("held > 0").collect()
+    if not shares:
+        return spark.createDataFrame([], "config string, fold long, q long, y int, p double")
+    held, n = {r["fold"]: r["held"] for r in shares}, max(r["n"] for r in shares)
+    listed = wide or vectors.wide_enough(most, min(r["held"] / r["n"] for r in shares))
+    size = folds.agg(F.max(F.size("roles"))).first()[0]
+    words = [F.aggregate(F.slice("roles", x + 1, FOLDS_A_NUMBER), F.lit(0.0), lambda a, r: a * 4 + r) for x in range(0, size, FOLDS_A_NUMBER)]
+    said = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in ("y", "c")]
+    coded = folds.select("id", "v", F.array(*words, *said).alias("code"))
+    k_each, whole = np.array(ks), listed >= n - 1
+    enough = np.array([min(held.get(f, 0), most) for f in range(size)])
+    shift = [(x // FOLDS_A_NUMBER, 2 * (min(FOLDS_A_NUMBER, size - x // FOLDS_A_NUMBER * FOLDS_A_NUMBER) - 1 - x % FOLDS_A_NUMBER)) for x in range(size)]
+    word, bits = np.array([w for w, _ in shift]), np.array([b for _, b in shift])
+
+    def asked(batches, lacking: bool):
+        for q, own, dist, code in vectors.unpacked_lists(batches):
+            of = np.flatnonzero((own[:-2].astype(np.int64)[word] >> bits & 3 == 1) & (enough > 0))
+            if not len(of):
+                continue
+            if not len(dist):
+                found, p = np.zeros(len(of), np.int64), np.zeros((4, len(of), len(k_each)))
+            else:
+                found, p = _votes(code[:, :-2].astype(np.int64)[:, word[of]] >> bits[of] & 3, dist, code[:, -2], code[:, -1], k_each)
+            short = (found < enough[of]) & (not whole)
+            for x in np.flatnonzero(short if lacking else ~short & (found > 0)):
+                yield q, int(of[x]), own[-2], p[:, x].reshape(-1)
+
+    def votes(batches):
+        of = iter(asked(batches, False))
+        while some := list(islice(of, 2000)):
+            q, fold, y, p = zip(*some)
+            flat = pa.array(np.concatenate(p), pa.float64(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(q, pa.int64()), pa.array(np.array(y), pa.float64(), from_pandas=True).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * 4 * len(k_each), pa.int32()), flat)], names=["fold", "q", "y", "p"])
+
+    def short(batches):
+        some = list(asked(batches, True))
+        yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in some], pa.int64()), pa.array([x[0] for x in some], pa.int64())], names=["fold", "q"])
+
+    out, memory = None, truth.withColumnRenamed("id", "n")
     for metric in metrics:
-        edges = vectors.knn_folds(folds, max(ks), metric).join(memory, "n")
-        one = knn_grid(edges, list(ks), keys=("fold",)).withColumn("config", F.concat_ws("_", "config", F.lit(metric)))
-        out = one if out is None else out.union(one)
+        lists = vectors.knn_lists(coded, listed, metric)
+        names = F.array(*(F.lit(f"{kind}_k{k}_{metric}") for kind in GRID_KINDS for k in ks))
+        p = lists.mapInArrow(votes, "fold long, q long, y int, p array<double>").select("fold", "q", "y", F.explode(F.arrays_zip(names.alias("config"), F.col("p").alias("p"))).alias("x"))
+        parts = [p.select("x.config", "fold", "q", "y", "x.p")]
+        few = None if whole else kept(lists.mapInArrow(short, "fold long, q long"))
+        for r in [] if few is None else few.select("fold").distinct().orderBy("fold").collect():
+            lacking = folds.join(few.filter(F.col("fold") == r["fold"]).select(F.col("q").alias("id")), "id", "left_semi")
+            edges = vectors.knn(folds.filter(F.get("roles", F.lit(r["fold"])) == 0), most, metric, lacking).join(memory, "n")
+            one = knn_grid(edges, list(ks)).join(lacking.select(F.col("id").alias("q"), F.col("y").cast("int").alias("y")), "q")
+            parts.append(one.select(F.concat_ws("_", "config", F.lit(metric)).alias("config"), F.lit(r["fold"]).cast("long").alias("fold"), "q", "y", "p"))
+        out = reduce(DataFrame.unionByName, parts if out is None else [out, *parts])
     return out
 
 

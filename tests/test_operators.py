@@ -195,6 +195,23 @@ def test_folds_at_once_equal_folds_one_by_one(spark, blobs):
             assert inner == [2, 2, 2] if outer else sorted(inner) == [0, 0, 1]
 
 
+@pytest.mark.parametrize("wide, n_splits", [(None, 30), (4, 2)])
+def test_grid_over_splits_equals_votes_of_ranked_edges_and_shuffles_no_votes(spark, blobs, wide, n_splits):
+    d = frame(spark, blobs[:60]).withColumn("y", F.when(F.col("id") != 7, (F.col("id") % 2).cast("int"))).withColumn("c", 1.0 / (1 + F.col("id") % 3))
+    splits = R.stratified_splits(d.select("id", "y"), "id", "y", n_splits)
+    truth, ks = d.select("id", "y", "c"), (1, 3, 5)
+    got = MO.grid_over_splits(d.select("id", "v"), truth, splits, ks, wide=wide)
+    if wide is None:
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for metric in MO.GRID_METRICS:
+        e = V.knn_folds(d.select("id", "v").join(R.fold_roles(splits, "id"), "id"), 5, metric).join(truth.withColumnRenamed("id", "n"), "n")
+        want |= {(f"{r.config}_{metric}", r.fold, r.q): r.p for r in MO.knn_grid(e, list(ks), keys=("fold",)).collect()}
+    got = {(r.config, r.fold, r.q): (r.p, r.y) for r in got.collect()}
+    assert got.keys() == want.keys() and all(p == (None if want[x] is None else pytest.approx(want[x])) for x, (p, _) in got.items())
+    assert all(y == (None if q == 7 else q % 2) for (_, _, q), (_, y) in got.items())
+
+
 def test_kernel_sums_and_signals_equal_brute_force(spark, blobs):
     x = blobs[:50]
     w, y = np.arange(50) % 5 + 1.0, (np.arange(50) % 3) / 2
