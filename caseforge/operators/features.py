@@ -52,10 +52,12 @@ def tfidf(tokens: DataFrame, key: str, words: str, max_features: int | None = No
     Terms of two word characters or more; the ``max_features`` most frequent in the rows that
     ``fit`` selects (all, if none is given).
     """
-    long = tokens.select(key, F.explode(words).alias("term"), (F.lit(True) if fit is None else fit).alias("_fit")).filter(F.char_length("term") >= 2)
+    # Words are computed once: ``explode`` would have them twice, for Spark first filters the rows that have any, and both uses of
+    # ``tf`` read one shuffle only if they read the same columns.
+    long = tokens.select(key, F.explode_outer(words).alias("term"), (F.lit(True) if fit is None else fit).alias("_fit")).filter(F.char_length("term") >= 2)
     tf = long.groupBy(key, "term", "_fit").agg(F.count("*").alias("tf"))
     n = tokens.filter(F.lit(True) if fit is None else fit).count()
-    df_ = tf.filter("_fit").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    df_ = tf.filter("_fit").groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"), F.sum("tf").alias("total"))
     if max_features is not None:
         df_ = df_.orderBy(F.col("total").desc(), "term").limit(max_features)
     w = tf.join(df_, "term").select(key, "term", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))

@@ -212,6 +212,17 @@ def test_grid_over_splits_equals_votes_of_ranked_edges_and_shuffles_no_votes(spa
     assert all(y == (None if q == 7 else q % 2) for (_, _, q), (_, y) in got.items())
 
 
+def test_tfidf_reads_its_words_once(spark):
+    words = F.filter(F.split(F.regexp_replace("text", "[0-9]", ""), " "), lambda w: F.char_length(w) > 1)
+    d = spark.createDataFrame([(1, "ab ab cd 12"), (2, "ab"), (3, "7"), (4, None)], "id long, text string").select("id", words.alias("w"))
+    t = fe.tfidf(d, "id", "w")
+    got = {(r.id, r.term): r.weight for r in t.collect()}
+    plan = t._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("regexp_replace") == 1
+    a, c = 2 * (math.log(5 / 3) + 1), math.log(5 / 2) + 1
+    assert got == {(1, "ab"): pytest.approx(a / math.hypot(a, c)), (1, "cd"): pytest.approx(c / math.hypot(a, c)), (2, "ab"): 1.0}
+
+
 def test_kernel_sums_and_signals_equal_brute_force(spark, blobs):
     x = blobs[:50]
     w, y = np.arange(50) % 5 + 1.0, (np.arange(50) % 3) / 2
