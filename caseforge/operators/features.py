@@ -136,7 +136,7 @@ def svd_parts(tfidf_rows: DataFrame, key: str, k: int, seed: int = 42) -> tuple[
     number. The driver holds matrices of k + ``OVERSAMPLED`` columns and rows. Of each component the loading of largest size is positive.
     """
     rows = kept(tfidf_rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x")).select(key, F.col("x.term").alias("terms"), F.col("x.weight").alias("weights")))
-    n_rows, n_terms = rows.count(), tfidf_rows.select("term").distinct().count()
+    n_rows, n_terms = rows.count(), rows.select(F.explode("terms").alias("term")).distinct().count()
     k = max(0, min(k, n_terms - 1, n_rows))
     width = min(k + OVERSAMPLED, n_terms, max(1, n_rows))
 

@@ -223,6 +223,19 @@ def test_tfidf_reads_its_words_once(spark):
     assert got == {(1, "ab"): pytest.approx(a / math.hypot(a, c)), (1, "cd"): pytest.approx(c / math.hypot(a, c)), (2, "ab"): 1.0}
 
 
+def test_svd_computes_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    t = spark.createDataFrame([(i, f"t{j}", 1.0 + i * j) for i in range(5) for j in range(4)], "id long, term string, weight double")
+    fe.svd_parts(t.mapInArrow(counted, t.schema), "id", 1)
+    assert read.value == 20
+
+
 def test_kernel_sums_and_signals_equal_brute_force(spark, blobs):
     x = blobs[:50]
     w, y = np.arange(50) % 5 + 1.0, (np.arange(50) % 3) / 2
